@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litspark import constants as K
+from litspark.functions.binding import let
 from litspark.functions.text import or_else, strip
 
 
@@ -41,8 +42,12 @@ def strip_invalid_tags(text: Column, num_docs: Column) -> Column:
     """Remove only the tags that point at no document, in one regular-expression pass."""
     digits = F.array_distinct(F.regexp_extract_all(text, F.lit(K.CITATION_TAG), F.lit(1)))
     bad = F.filter(digits, lambda d: ~in_range(F.coalesce(d.try_cast("bigint"), F.lit(-1)), num_docs))
-    pattern = F.concat(F.lit(r"(?i)\s*\[Doc (?:"), F.array_join(bad, "|"), F.lit(r")\]"))
-    return strip(F.when(F.size(bad) > 0, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text))
+
+    def cut(numbers: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)\s*\[Doc (?:"), F.array_join(numbers, "|"), F.lit(r")\]"))
+        return F.when(F.size(numbers) > 0, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text)
+
+    return strip(let(bad, cut))
 
 
 def removed_notice(answer: Column, removed: Column) -> Column:

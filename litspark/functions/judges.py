@@ -6,10 +6,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litspark import constants as K
+from litspark.functions.binding import let
 from litspark.functions.citations import cited_loose, in_range
 from litspark.functions.text import is_blank, key_terms
 
@@ -19,13 +22,14 @@ def _share(hits: Column, total: Column, empty: float) -> Column:
 
 
 def _covered(terms: Column, text: Column, empty: float) -> Column:
-    low = F.lower(text)
-    return _share(F.size(F.filter(terms, lambda t: low.contains(t))), F.size(terms), empty)
+    return let(
+        F.struct(terms.alias("terms"), F.lower(text).alias("low")),
+        lambda v: _share(F.size(F.filter(v["terms"], lambda t: v["low"].contains(t))), F.size(v["terms"]), empty))
 
 
 def faithfulness(answer: Column, chunks: Column) -> Column:
-    cites = cited_loose(answer)
-    return _share(F.size(F.filter(cites, lambda n: in_range(n, F.size(chunks)))), F.size(cites), 0.85)
+    return let(cited_loose(answer), lambda cites: _share(
+        F.size(F.filter(cites, lambda n: in_range(n, F.size(chunks)))), F.size(cites), 0.85))
 
 
 def answer_relevance(question: Column, answer: Column) -> Column:
@@ -33,14 +37,16 @@ def answer_relevance(question: Column, answer: Column) -> Column:
 
 
 def context_precision(question: Column, chunks: Column) -> Column:
-    terms = key_terms(question)
-    low = F.transform(chunks, lambda c: F.lower(F.coalesce(c["text"], F.lit(""))))
-    hit = F.filter(low, lambda text: F.exists(terms, lambda t: text.contains(t)))
-    return (
-        F.when(F.size(chunks) == 0, F.lit(0.0))
-        .when(F.size(terms) == 0, F.lit(1.0))
-        .otherwise(F.bround(F.size(hit) / F.size(chunks), 4))
-    )
+    def precision(terms: Column) -> Column:
+        low = F.transform(chunks, lambda c: F.lower(F.coalesce(c["text"], F.lit(""))))
+        hit = F.filter(low, lambda text: F.exists(terms, lambda t: text.contains(t)))
+        return (
+            F.when(F.size(chunks) == 0, F.lit(0.0))
+            .when(F.size(terms) == 0, F.lit(1.0))
+            .otherwise(F.bround(F.size(hit) / F.size(chunks), 4))
+        )
+
+    return let(key_terms(question), precision)
 
 
 def context_recall(answer: Column, ground_truth: Column) -> Column:
@@ -53,12 +59,15 @@ def clinical_safety(answer: Column) -> Column:
 
 
 def citation_accuracy(answer: Column, chunks: Column) -> Column:
-    cites = cited_loose(answer)
     filled = F.transform(chunks, lambda c: ~is_blank(c["text"]))
-    good = F.filter(
-        cites, lambda n: F.when(in_range(n, F.size(filled)),
-                                F.get(filled, (n - 1).cast("int"))).otherwise(F.lit(False)))
-    return _share(F.size(good), F.size(cites), 1.0)
+
+    def accuracy(v: Column) -> Column:
+        good = F.filter(
+            v["cites"], lambda n: F.when(in_range(n, F.size(v["filled"])),
+                                         F.get(v["filled"], (n - 1).cast("int"))).otherwise(F.lit(False)))
+        return _share(F.size(good), F.size(v["cites"]), 1.0)
+
+    return let(F.struct(cited_loose(answer).alias("cites"), filled.alias("filled")), accuracy)
 
 
 def evidence_appropriate(answer: Column, chunks: Column) -> Column:
@@ -91,14 +100,10 @@ def extractive_answer(texts: Column, keep: int = 3) -> Column:
 
 
 def contains_all(answer: Column, terms: Column) -> Column:
-    low = F.lower(answer)
     wanted = F.coalesce(terms, F.array().cast("array<string>"))
-    return F.forall(wanted, lambda t: low.contains(F.lower(t)))
+    return let(F.lower(answer), lambda low: F.forall(wanted, lambda t: low.contains(F.lower(t))))
 
 
 def is_refusal(answer: Column) -> Column:
-    low = F.lower(answer)
-    hit = F.lit(False)
-    for marker in K.REFUSAL_MARKERS:
-        hit = hit | low.contains(marker)
-    return hit
+    return let(F.lower(answer), lambda low: reduce(
+        lambda hit, marker: hit | low.contains(marker), K.REFUSAL_MARKERS, F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litspark import constants as K
+from litspark.functions.binding import let
 
 # Java's \s is ASCII only; this is the full Unicode whitespace class.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -57,13 +58,14 @@ def clean_legacy(text: Column) -> Column:
 
 def section_label(heading: Column) -> Column:
     """Canonical section label of a heading; rules apply in list order."""
-    low = strip(F.lower(heading))
-    rules = [(keyword, label) for label, keywords in K.SECTION_RULES for keyword in keywords]
-    first, *rest = rules
-    chain = F.when(low.contains(first[0]), first[1])
-    for keyword, label in rest:
-        chain = chain.when(low.contains(keyword), label)
-    return F.coalesce(chain.otherwise("other"), F.lit("other"))
+    def chain(low: Column) -> Column:
+        cases = F.when(low.isNull(), "other")
+        for label, keywords in K.SECTION_RULES:
+            for keyword in keywords:
+                cases = cases.when(low.contains(keyword), label)
+        return cases.otherwise("other")
+
+    return let(F.lower(heading), chain)
 
 
 def inherit_label(labels: Column) -> Column:
@@ -72,12 +74,15 @@ def inherit_label(labels: Column) -> Column:
     ``labels`` runs from the outermost to the innermost heading. A section
     below a skipped one is skipped; ``other`` takes the nearest known label.
     """
-    known = F.filter(labels, lambda x: x != "other")
-    return (
-        F.when(F.array_contains(labels, K.SKIP_SECTION), K.SKIP_SECTION)
-        .when(F.size(known) > 0, F.element_at(known, -1))
-        .otherwise("other")
-    )
+    def nearest(own: Column) -> Column:
+        known = F.filter(own, lambda x: x != "other")
+        return (
+            F.when(F.array_contains(own, K.SKIP_SECTION), K.SKIP_SECTION)
+            .when(F.size(known) > 0, F.element_at(known, -1))
+            .otherwise("other")
+        )
+
+    return let(labels, nearest)
 
 
 def normalise_topic(raw: Column) -> Column:

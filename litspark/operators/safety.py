@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark import constants as K
+from litspark.functions.binding import let
 from litspark.functions.records import localised_warning
 from litspark.functions.text import rstrip
 from litspark.sizing import LITERAL_ROWS, fits, join_small
@@ -86,9 +87,8 @@ def match_entries(
     with_message = entries.where("entry.message <> ''")
     if fits(with_message, literal_rows):
         table = with_message.agg(F.array_sort(F.collect_list("entry"))).scalar()
-        low_name, low_gate = F.lower(name_text), F.lower(gate_text)
-        return rows.withColumn("_n", low_name).withColumn("_g", low_gate).withColumn(
-            out, F.filter(table, lambda e: hit(e, F.col("_n"), F.col("_g")))).drop("_n", "_g")
+        texts = F.struct(F.lower(name_text).alias("n"), F.lower(gate_text).alias("g"))
+        return rows.withColumn(out, let(texts, lambda t: F.filter(table, lambda e: hit(e, t["n"], t["g"]))))
     texts = rows.select(key, F.lower(name_text).alias("_n"), F.lower(gate_text).alias("_g"))
     named = with_message.select("entry", F.explode(
         F.filter(F.coalesce("entry.names", F.array().cast("array<string>")), lambda n: n != "")).alias("_name"))

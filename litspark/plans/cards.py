@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark import constants as K
 from litspark.functions import citations as C
+from litspark.functions.binding import let
 from litspark.operators.safety import treatment_warnings
 
 CHUNK_FIELDS = ["chunk_id", "text", "title", "authors", "journal", "year", "study_design", "sample_size",
@@ -15,11 +16,10 @@ CHUNK_FIELDS = ["chunk_id", "text", "title", "authors", "journal", "year", "stud
 
 def _intent(drug: Column, intent_map: Column, given: Column) -> Column:
     """First map entry whose key contains the drug or is contained in it wins."""
-    low = F.lower(F.coalesce(drug, F.lit("")))
-    hits = F.filter(
-        F.coalesce(intent_map, F.array().cast("array<struct<key:string,intent:string>>")),
-        lambda e: low.contains(F.lower(e["key"])) | F.lower(e["key"]).contains(low))
-    return F.when(F.size(hits) > 0, hits[0]["intent"]).otherwise(given)
+    entries = F.coalesce(intent_map, F.array().cast("array<struct<key:string,intent:string>>"))
+    hits = let(F.lower(F.coalesce(drug, F.lit(""))), lambda low: F.filter(
+        entries, lambda e: low.contains(F.lower(e["key"])) | F.lower(e["key"]).contains(low)))
+    return let(hits, lambda h: F.when(F.size(h) > 0, F.get(h, F.lit(0))["intent"]).otherwise(given))
 
 
 def reclassify_intents(cards: DataFrame) -> DataFrame:
