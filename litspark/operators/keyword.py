@@ -44,6 +44,8 @@ class KeywordIndex:
 
 
 def _tokenised(chunks: DataFrame, carry: list[str]) -> DataFrame:
+    """Chunks hashed by id, then tokenised: counting terms per chunk and summing
+    scores per (query, chunk) both happen inside that partitioning."""
     placed = chunks.select("chunk_id", "text", *carry).repartition("chunk_id")
     return placed.select("chunk_id", *carry, tokens(F.col("text")).alias("tokens")).withColumn(
         "dl", F.size("tokens"))
@@ -57,16 +59,36 @@ def build_keyword_index(chunks: DataFrame, carry: list[str] | None = None) -> Ke
     """
     carry = carry or []
     toks = _tokenised(chunks, carry)
-    stats = toks.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    postings = (
-        toks.select("chunk_id", "dl", *carry, F.explode("tokens").alias("term"))
-        .groupBy("chunk_id", "dl", *carry, "term").agg(F.count("*").alias("tf"))
-    )
-    terms = (
-        postings.groupBy("term").agg(F.count("*").alias("df"))
-        .withColumn("idf", idf(stats.select("n_chunks").scalar(), F.col("df")))
-    )
-    return KeywordIndex(postings, terms, stats)
+    postings = _count_terms(_exploded(toks, carry), carry)
+    stats = _corpus_stats(chunks)
+    return KeywordIndex(postings, _term_table(postings, stats), stats)
+
+
+def _exploded(toks: DataFrame, carry: list[str]) -> DataFrame:
+    # The outer form keeps the optimizer from adding a filter on the array's
+    # size, which would tokenise every text a second time.
+    return toks.select("chunk_id", "dl", *carry, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
+def _count_terms(exploded: DataFrame, carry: list[str]) -> DataFrame:
+    return exploded.groupBy("chunk_id", "dl", *carry, "term").agg(F.count("*").alias("tf"))
+
+
+def _corpus_stats(chunks: DataFrame) -> DataFrame:
+    lengths = chunks.select(F.size(tokens(F.col("text"))).alias("dl"))
+    return lengths.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+
+
+def _stat(stats: DataFrame, name: str) -> Column:
+    # Always the whole row, so all uses are one subquery that runs once.
+    return stats.select(F.struct("n_chunks", "avgdl")).scalar()[name]
+
+
+def _term_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    # Counts through ``tf``, so this branch needs the same columns as the
+    # postings themselves and shares their exchange instead of repeating it.
+    df = postings.groupBy("term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
+    return df.withColumn("idf", idf(_stat(stats, "n_chunks"), F.col("df")))
 
 
 def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
@@ -85,20 +107,12 @@ def prune_index(chunks: DataFrame, queries: DataFrame, carry: list[str] | None =
     terms are dropped right after tokenising, before anything is aggregated.
     """
     carry = carry or []
-    toks = chunks.select("chunk_id", *carry, tokens(F.col("text")).alias("tokens")).withColumn(
-        "dl", F.size("tokens"))
-    stats = toks.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    toks = _tokenised(chunks, carry)
     vocabulary = query_terms(queries, text).select("term").distinct()
-    exploded = toks.select("chunk_id", "dl", *carry, F.explode("tokens").alias("term"))
-    postings = (
-        join_small(exploded, vocabulary, ["term"], spread=F.col("chunk_id"))
-        .groupBy("chunk_id", "dl", *carry, "term").agg(F.count("*").alias("tf"))
-    )
-    terms = (
-        postings.groupBy("term").agg(F.count("*").alias("df"))
-        .withColumn("idf", idf(stats.select("n_chunks").scalar(), F.col("df")))
-    )
-    return KeywordIndex(postings, terms, stats)
+    pruned = join_small(_exploded(toks, carry), vocabulary, ["term"], spread=F.col("chunk_id"))
+    postings = _count_terms(pruned, carry)
+    stats = _corpus_stats(chunks)
+    return KeywordIndex(postings, _term_table(postings, stats), stats)
 
 
 def keyword_scores(index: KeywordIndex, queries: DataFrame, text: str = "question",
@@ -113,7 +127,7 @@ def keyword_scores(index: KeywordIndex, queries: DataFrame, text: str = "questio
     carry = carry or []
     asked = query_terms(queries, text)
     wanted = asked.join(index.terms.where("idf > 0"), "term").select("term", "query_id", "qtf", "idf")
-    avgdl = index.stats.select("avgdl").scalar()
+    avgdl = _stat(index.stats, "avgdl")
     hits = join_small(index.postings, wanted, ["term"], spread=F.col("chunk_id"), bounded_by=asked)
     weight = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("dl"), avgdl)
     return (

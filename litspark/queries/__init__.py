@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, with their SQL equivalents."""
 
-from litspark.queries import chunking, papers
+from litspark.queries import chunking, papers, retrieval
 
-GROUPS = (chunking, papers)
+GROUPS = (chunking, papers, retrieval)
 QUERIES = {name: fn for group in GROUPS for name, fn in group.QUERIES.items()}
 ORACLE = {name: sql for group in GROUPS for name, sql in group.ORACLE.items()}

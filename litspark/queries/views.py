@@ -6,6 +6,8 @@ Columns the tables lack are derived from keys the same way on both sides.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from litspark import constants as K
 from litspark.functions.scores import evidence_level
 from litspark.functions.text import section_label
 from litspark.operators.corpus import chunk_papers
+from litspark.session import store
+from litspark.sizing import spread
 
 HEADINGS = ["Introduction", "Patients and Methods", "Outcomes in patients", "Results", "Discussion",
             "Conclusions", "Statistical Analysis", "Case presentation", "Funding", "Summary of findings",
@@ -20,8 +24,13 @@ HEADINGS = ["Introduction", "Patients and Methods", "Outcomes in patients", "Res
 NOW_YEAR = 2026
 
 
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -42,6 +51,7 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
 
+@lru_cache(maxsize=16)
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers with their sections: one line of a document is one section."""
     d = F.col("doc_id")
@@ -73,17 +83,26 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "evidence_level", evidence_level(F.col("study_design")))
 
 
+@lru_cache(maxsize=16)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_papers(papers(spark, sf_dir))
 
 
+@lru_cache(maxsize=16)
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a written table, as retrieval finds them in a built corpus."""
+    return store(chunks(spark, sf_dir), "chunks")
+
+
+@lru_cache(maxsize=16)
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with the vector of its document, where the document has one."""
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("paper_key"), "embedding")
-    return chunks(spark, sf_dir).drop("text").join(emb, "paper_key")
+    return chunk_table(spark, sf_dir).drop("text").join(emb, "paper_key")
 
 
+@lru_cache(maxsize=16)
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions, with a vector and some with filters."""
     i = F.col("item_id")
@@ -95,6 +114,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, F.lit(4)).alias("f_evidence_level_max"))
 
 
+@lru_cache(maxsize=16)
 def legacy_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers in the collection layout; some lack fields, some years are not numbers."""
     d = F.col("doc_id")
@@ -110,6 +130,7 @@ def legacy_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- conversations -------------------------------------------------------------
 
+@lru_cache(maxsize=16)
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns that an assistant turn follows, as question and cited answer."""
     c, t = F.col("conv_id"), F.col("turn")
@@ -133,6 +154,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array().cast("array<string>")).alias("must_contain_terms"))
 
 
+@lru_cache(maxsize=16)
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked chunks per question: the first five assistant turns of its conversation."""
     c = F.col("conv_id")
@@ -260,10 +282,10 @@ CTES = {
           FROM fused_v f JOIN chunks_v c USING (chunk_id))
         WHERE study_design <> 'review' OR seen <= 3"""),
     "reranked_v": (("capped_v", "cos_v"), f"""
-        SELECT * EXCLUDE (judged, rank, rel), rank AS fused_rank,
+        SELECT * EXCLUDE (judged, rank, rel, place), rank AS fused_rank, place AS rank,
                CASE WHEN judged THEN rel ELSE score END AS relevance_score,
-               CASE WHEN judged THEN pow(rel, 0.7) * pow(dw, 0.15) * pow(rw * tb, 0.15) ELSE score END AS final_score,
-               row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN judged THEN rel END DESC NULLS LAST, rank, chunk_id) AS rank
+               CASE WHEN judged THEN pow(rel, 0.7) * pow(dw, 0.15) * pow(rw * tb, 0.15) ELSE score END AS final_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN judged THEN rel END DESC NULLS LAST, rank, chunk_id) AS place
         FROM (SELECT k.*, x.score AS rel, count(x.score) OVER (PARTITION BY k.query_id) > 0 AS judged,
                      CASE study_design WHEN 'rct' THEN 0.9 WHEN 'meta_analysis' THEN 1.0 WHEN 'cohort' THEN 0.6
                           WHEN 'review' THEN 0.3 WHEN 'case_report' THEN 0.5 ELSE 0.5 END AS dw,
@@ -271,8 +293,7 @@ CTES = {
                           WHEN {NOW_YEAR} - k.year <= 10 THEN 0.8 WHEN {NOW_YEAR} - k.year <= 15 THEN 0.7 ELSE 0.6 END AS rw,
                      CASE WHEN study_design = 'rct' AND {NOW_YEAR} - k.year <= 2 THEN 1.1 ELSE 1.0 END AS tb
               FROM capped_v k LEFT JOIN cos_v x ON x.query_id = k.query_id AND x.chunk_id = k.chunk_id)
-        WHERE NOT judged OR rel IS NOT NULL
-        QUALIFY rank <= 5"""),
+        WHERE NOT judged OR rel IS NOT NULL) WHERE place <= 5"""),
     "graded_v": (("reranked_v",), """
         SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
         FROM reranked_v WHERE relevance_score >= 0.45"""),

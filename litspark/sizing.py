@@ -14,6 +14,17 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash ``df`` over all cores when its scan has fewer partitions than that.
+
+    A small table in one file would otherwise be processed by one task. A large
+    scan already has more partitions than cores and comes back unchanged, so no
+    shuffle is added where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_small(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     spread: Column | None = None, salts: int = 32, max_rows: int = BROADCAST_ROWS,
