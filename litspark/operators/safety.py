@@ -17,7 +17,7 @@ from litspark import constants as K
 from litspark.functions.binding import let
 from litspark.functions.records import localised_warning
 from litspark.functions.text import rstrip
-from litspark.sizing import LITERAL_ROWS, fits, join_small
+from litspark.sizing import LITERAL_ROWS, join_small
 
 GRAM = 4
 WITHDRAWAL_FIELDS = ["drug", "aliases", "indication_keywords", "jurisdiction", "warning", "warning_fr"]
@@ -85,8 +85,10 @@ def match_entries(
     ``key`` identifies a row and is only used when the reference table is large.
     """
     with_message = entries.where("entry.message <> ''")
-    if fits(with_message, literal_rows):
-        table = with_message.agg(F.array_sort(F.collect_list("entry"))).scalar()
+    few = with_message.orderBy("entry.ord").select(F.to_json("entry").alias("j")).limit(literal_rows + 1).collect()
+    if len(few) <= literal_rows:
+        kind = f"array<{entries.schema['entry'].dataType.simpleString()}>"
+        table = F.from_json(F.lit("[" + ",".join(r["j"] for r in few) + "]"), kind)
         texts = F.struct(F.lower(name_text).alias("n"), F.lower(gate_text).alias("g"))
         return rows.withColumn(out, let(texts, lambda t: F.filter(table, lambda e: hit(e, t["n"], t["g"]))))
     texts = rows.select(key, F.lower(name_text).alias("_n"), F.lower(gate_text).alias("_g"))
@@ -94,12 +96,18 @@ def match_entries(
         F.filter(F.coalesce("entry.names", F.array().cast("array<string>")), lambda n: n != "")).alias("_name"))
     named = named.select("entry", F.lower("_name").alias("_name")).withColumn(
         "_gram", F.left("_name", F.lit(GRAM)))
-    lengths = named.select(F.length("_gram").alias("l")).distinct()
     # Names shorter than a full gram are looked up by grams of their own length.
-    sizes = lengths.agg(F.collect_set("l")).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_n"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(
-        sizes, lambda size: F.transform(starts, lambda i: F.substr(F.col("_n"), i, size)))))
+    sizes = sorted(r["l"] for r in named.select(F.length("_gram").alias("l")).distinct().collect())
+
+    def gram_list(letters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)))
+
+        def of_size(size: int) -> Column:
+            return F.transform(starts, lambda i: F.array_join(F.slice(letters, i, size), ""))
+
+        return F.array_distinct(F.concat(*map(of_size, sizes)))
+
+    grams = let(F.split("_n", ""), gram_list)
     pairs = join_small(texts.withColumn("_gram", F.explode(grams)), named, ["_gram"], spread=F.col(key))
     found = (
         pairs.where(F.col("_n").contains(F.col("_name")) & hit(F.col("entry"), F.col("_n"), F.col("_g")))

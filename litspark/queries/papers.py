@@ -19,7 +19,7 @@ def _big(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(n, 10) for n in names})
 
 
 # --- quality -------------------------------------------------------------------
@@ -459,12 +459,12 @@ ORACLE = {
         WHERE n > 1 GROUP BY topic"""),
     "missing_fields": sql("body_v", _MISSING),
     "missing_percent": sql("body_v", f"""
-        SELECT topic, replace(field, 'missing_', '') AS field, missing, round(missing / papers * 100, 6) AS percent
+        SELECT topic, replace(field, 'missing_', '') AS field, missing, round(missing / papers * 100, 10) AS percent
         FROM (UNPIVOT ({_MISSING}) ON COLUMNS('missing_.*') INTO NAME field VALUE missing)"""),
     "section_distribution": sql("kept_v legacy_v", f"SELECT topic, section_name, count(*) AS n FROM ({_HEAD}) GROUP BY ALL"),
     "section_coverage": sql("body_v", f"""
-        SELECT topic, papers, round(avg_sections, 6) AS avg_sections, coalesce(u, 0) AS unique_sections,
-               {', '.join(f"round(coalesce(c{i}, 0) / papers * 100, 6) AS {p}_percent" for i, p in enumerate(['introduction', 'method', 'result', 'discussion']))}
+        SELECT topic, papers, round(avg_sections, 10) AS avg_sections, coalesce(u, 0) AS unique_sections,
+               {', '.join(f"round(coalesce(c{i}, 0) / papers * 100, 10) AS {p}_percent" for i, p in enumerate(['introduction', 'method', 'result', 'discussion']))}
         FROM (SELECT topic, count(*) AS papers, avg(n_sections) AS avg_sections FROM body_v GROUP BY topic)
         LEFT JOIN (SELECT topic, count(DISTINCT section_name) AS u,
                    {', '.join(f"count(*) FILTER (contains(lower(section_name), '{p}')) AS c{i}" for i, p in enumerate(['introduction', 'method', 'result', 'discussion']))}
@@ -473,10 +473,10 @@ ORACLE = {
         SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, section_name) AS place
         FROM (SELECT topic, section_name, count(*) AS n FROM ({_HEAD}) GROUP BY ALL) QUALIFY place <= 10"""),
     "length_stats": sql("body_v", """
-        SELECT topic, round(avg(chars), 6) AS chars_avg, min(chars) AS chars_min, max(chars) AS chars_max,
+        SELECT topic, round(avg(chars), 10) AS chars_avg, min(chars) AS chars_min, max(chars) AS chars_max,
                list(chars ORDER BY chars)[count(*) // 2 + 1] AS chars_median,
-               round(avg(n_sections), 6) AS sections_avg, min(n_sections) AS sections_min, max(n_sections) AS sections_max,
-               round(avg(length(abstract)), 6) AS abstract_avg, min(length(abstract)) AS abstract_min, max(length(abstract)) AS abstract_max
+               round(avg(n_sections), 10) AS sections_avg, min(n_sections) AS sections_min, max(n_sections) AS sections_max,
+               round(avg(length(abstract)), 10) AS abstract_avg, min(length(abstract)) AS abstract_min, max(length(abstract)) AS abstract_max
         FROM body_v GROUP BY topic"""),
     "problem_papers": sql("issues_v", """
         SELECT topic, pmc_id, pmid, CASE WHEN length(title) > 60 THEN left(title, 60) || '...' ELSE title END AS title,
@@ -492,7 +492,7 @@ ORACLE = {
                CASE WHEN quality_score >= 90 THEN 'A (Excellent)' WHEN quality_score >= 80 THEN 'B (Good)' WHEN quality_score >= 70 THEN 'C (Acceptable)'
                     WHEN quality_score >= 60 THEN 'D (Needs Improvement)' ELSE 'F (Poor)' END AS grade FROM grade_v"""),
     "corpus_summary": _with("issues_v", _GRADE, """
-        SELECT CAST(sum(total_papers) AS BIGINT) AS total_papers, round(avg(quality_score), 6) AS avg_quality FROM grade_v"""),
+        SELECT CAST(sum(total_papers) AS BIGINT) AS total_papers, round(avg(quality_score), 10) AS avg_quality FROM grade_v"""),
     "corpus_stats": sql("papers_v chunks_v", """
         SELECT 'papers' AS facet, NULL::VARCHAR AS value, count(*) AS n FROM papers_v
         UNION ALL SELECT 'chunks', NULL, count(*) FROM chunks_v
@@ -508,7 +508,7 @@ ORACLE = {
     "ingest_summary": _with("chunks_v papers_v", _INGEST, """
         SELECT topic, CAST(sum(pf) AS BIGINT) AS papers_fetched, CAST(sum(ps) AS BIGINT) AS papers_skipped,
                CAST(sum(coalesce(cp, 0)) AS BIGINT) AS chunks_produced, CAST(sum(coalesce(ce, 0)) AS BIGINT) AS chunks_embedded,
-               round(sum(coalesce(w, 0)) * 1.3::DOUBLE / 1000 * 0.00002::DOUBLE, 6) AS estimated_cost_usd
+               round(sum(coalesce(w, 0)) * 1.3::DOUBLE / 1000 * 0.00002::DOUBLE, 10) AS estimated_cost_usd
         FROM topic_v LEFT JOIN made_t USING (topic) GROUP BY ROLLUP (topic)"""),
     "incremental_skip": sql("papers_v", "SELECT topic, count(*) AS new_papers FROM papers_v WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY topic"),
     "first_topic_wins": sql("papers_v", f"""

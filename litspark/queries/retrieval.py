@@ -38,7 +38,7 @@ def keyword_doc_stats(spark, sf_dir):
     """Corpus size and mean length, with the size of the index."""
     index = build_keyword_index(V.chunk_table(spark, sf_dir))
     posted = index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
-    return index.stats.join(posted).select("n_chunks", F.round("avgdl", 6).alias("avgdl"), "postings", "tokens")
+    return index.stats.join(posted).select("n_chunks", F.round("avgdl", 10).alias("avgdl"), "postings", "tokens")
 
 
 def _questions(spark, sf_dir):
@@ -85,7 +85,7 @@ def embedding_cosine(spark, sf_dir):
     """Cosine of every vector with the mean vector of its label."""
     c = _centroids(spark, sf_dir).withColumnRenamed("embedding", "center")
     return V.table(spark, sf_dir, "embeddings").join(c, "label").select(
-        "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("center")), 6).alias("cosine"))
+        "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("center")), 10).alias("cosine"))
 
 
 def _points(spark, sf_dir):
@@ -171,14 +171,14 @@ def diversity_cap(spark, sf_dir):
 def hybrid_retrieve(spark, sf_dir):
     """Graded chunks of every question with relevance and weighted score."""
     r = _run(spark, sf_dir).ranked
-    return _ints(r.select("query_id", "rank", "chunk_id", F.round("relevance_score", 6).alias("relevance_score"),
-                          F.round("final_score", 6).alias("final_score"), F.md5("text").alias("text_md5")), "rank")
+    return _ints(r.select("query_id", "rank", "chunk_id", F.round("relevance_score", 10).alias("relevance_score"),
+                          F.round("final_score", 10).alias("final_score"), F.md5("text").alias("text_md5")), "rank")
 
 
 def retrieval_confidence(spark, sf_dir):
     """Summary per question: confidence, candidates, chunks."""
     s = _run(spark, sf_dir).summary
-    return s.select("query_id", F.round("retrieval_confidence", 6).alias("retrieval_confidence"), "num_chunks", "num_candidates")
+    return s.select("query_id", F.round("retrieval_confidence", 10).alias("retrieval_confidence"), "num_chunks", "num_candidates")
 
 
 def fallback_union(spark, sf_dir):
@@ -190,7 +190,7 @@ def fallback_union(spark, sf_dir):
         F.when(i % 7 != 0, F.col("text")).otherwise("").alias("abstract"), (i % 20 + 2000).cast("string").alias("year"))
     r = _run(spark, sf_dir, external=external_evidence(ext), floor=0.9).ranked
     return r.groupBy("query_id", "used_fallback").agg(
-        F.count("*").alias("n"), F.round(F.avg("relevance_score"), 6).alias("mean_relevance"),
+        F.count("*").alias("n"), F.round(F.avg("relevance_score"), 10).alias("mean_relevance"),
         F.md5(F.min("chunk_id")).alias("first_md5"))
 
 
@@ -208,13 +208,13 @@ def answer_confidence_scores(spark, sf_dir):
     """Confidence of every question from its graded chunks."""
     q = V.questions(spark, sf_dir).select("query_id", F.col("f_cancer_type").alias("query_topics"))
     conf = answer_confidence(q, _run(spark, sf_dir).ranked)
-    return conf.withColumn("score", F.round("score", 6))
+    return conf.withColumn("score", F.round("score", 10))
 
 
 def evidence_confidence(spark, sf_dir):
     """Confidence of every answered conversation turn, topic check included."""
     q = V.answered(spark, sf_dir).select("query_id", F.array("cancer_type").alias("query_topics"))
-    return answer_confidence(q, V.evidence(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return answer_confidence(q, V.evidence(spark, sf_dir)).withColumn("score", F.round("score", 10))
 
 
 def gate_counts(spark, sf_dir):
@@ -334,7 +334,7 @@ _SUFFIX = ("concat_ws(', ', nullif(study_design, ''), CASE WHEN sample_size <> 0
 ORACLE = {
     "keyword_index_df": sql("idf_v", "SELECT term, df, round(idf, 9) AS idf FROM idf_v"),
     "keyword_doc_stats": sql("tok_v post_v", """
-        SELECT (SELECT count(*) FROM tok_v) AS n_chunks, (SELECT round(avg(dl), 6) FROM tok_v) AS avgdl, count(*) AS postings,
+        SELECT (SELECT count(*) FROM tok_v) AS n_chunks, (SELECT round(avg(dl), 10) FROM tok_v) AS avgdl, count(*) AS postings,
                CAST(sum(tf) AS BIGINT) AS tokens FROM post_v"""),
     "keyword_topk": sql("kw_scored_v", """
         SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
@@ -342,7 +342,7 @@ ORACLE = {
     "keyword_matches": sql("kw_scored_v", "SELECT query_id, count(*) AS chunks, round(sum(score), 4) AS total FROM kw_scored_v GROUP BY query_id"),
     "keyword_topk_filtered": sql("kw_v", "SELECT query_id, chunk_id, score, rank FROM kw_v"),
     "embedding_cosine": "WITH " + _CENTER.strip() + """
-        SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS cosine FROM embeddings JOIN center_v USING (label)""",
+        SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 10) AS cosine FROM embeddings JOIN center_v USING (label)""",
     "dense_topk": "WITH " + _CENTER.strip() + _NEAREST.format("true"),
     "dense_topk_filtered": "WITH " + _CENTER.strip() + _NEAREST.format("e.label % 2 = 0"),
     "dense_topk_blocks": "WITH " + _CENTER.strip() + _NEAREST.format("true"),
@@ -355,16 +355,16 @@ ORACLE = {
     "rrf_fusion": sql("fused_v", "SELECT query_id, chunk_id, dense_rank, keyword_rank, round(score::DOUBLE, 9) AS score, rank FROM fused_v"),
     "diversity_cap": sql("capped_v", "SELECT query_id, study_design, count(*) AS n, max(rank) AS last_rank FROM capped_v GROUP BY ALL"),
     "hybrid_retrieve": sql("graded_v", """
-        SELECT query_id, rank, chunk_id, round(relevance_score, 6) AS relevance_score, round(final_score, 6) AS final_score, md5(text) AS text_md5 FROM graded_v"""),
+        SELECT query_id, rank, chunk_id, round(relevance_score, 10) AS relevance_score, round(final_score, 10) AS final_score, md5(text) AS text_md5 FROM graded_v"""),
     "retrieval_confidence": sql("graded_v capped_v questions_v", """
-        SELECT q.query_id, round(coalesce(c, 0), 6)::DOUBLE AS retrieval_confidence, coalesce(n, 0) AS num_chunks, coalesce(k, 0) AS num_candidates
+        SELECT q.query_id, round(coalesce(c, 0), 10)::DOUBLE AS retrieval_confidence, coalesce(n, 0) AS num_chunks, coalesce(k, 0) AS num_candidates
         FROM questions_v q LEFT JOIN (SELECT query_id, avg(relevance_score) AS c, count(*) AS n FROM graded_v GROUP BY 1) USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS k FROM capped_v GROUP BY 1) USING (query_id)"""),
     "fallback_union": _with("reranked_v questions_v", """
         own AS (SELECT query_id, chunk_id, relevance_score FROM reranked_v WHERE relevance_score >= 0.9),
         ext AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, 'pubmed:' || doc_id AS chunk_id, 0.45::DOUBLE AS relevance_score
                 FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark) AND doc_id % 7 <> 0)""", """
-        SELECT query_id, used_fallback, count(*) AS n, round(avg(relevance_score), 6) AS mean_relevance, md5(min(chunk_id)) AS first_md5
+        SELECT query_id, used_fallback, count(*) AS n, round(avg(relevance_score), 10) AS mean_relevance, md5(min(chunk_id)) AS first_md5
         FROM (SELECT *, false AS used_fallback FROM own UNION ALL SELECT *, true FROM ext WHERE query_id NOT IN (SELECT query_id FROM own)
               AND query_id IN (SELECT query_id FROM questions_v))
         GROUP BY ALL"""),
@@ -376,9 +376,9 @@ ORACLE = {
                      WHEN {NOW_YEAR} - year <= 10 THEN 0.8 WHEN {NOW_YEAR} - year <= 15 THEN 0.7 ELSE 0.6 END AS rw,
                 CASE WHEN study_design = 'rct' AND {NOW_YEAR} - year <= 2 THEN 1.1 ELSE 1.0 END AS tb FROM papers_v)"""),
     "answer_confidence_scores": _with("graded_v questions_v", _conf(_TOPIC_GRADED, _GRADED_SRC, "questions_v"),
-                                      "SELECT * REPLACE (round(score, 6) AS score) FROM conf_v"),
+                                      "SELECT * REPLACE (round(score, 10) AS score) FROM conf_v"),
     "evidence_confidence": _with("ev_v qa_v", _conf("NOT coalesce(list_contains(topics, cancer_type), false)", "ev_v", "qa_v"),
-                                 "SELECT * REPLACE (round(score, 6) AS score) FROM conf_v"),
+                                 "SELECT * REPLACE (round(score, 10) AS score) FROM conf_v"),
     "gate_counts": _with("ev_v qa_v", _conf("false", "ev_v", "qa_v"), "SELECT gate, evidence_quality, count(*) AS n FROM conf_v GROUP BY ALL"),
     "weak_suppressed": sql("ev_v", """
         SELECT query_id, CASE WHEN avg(relevance_score - 0.4) < 0.2 THEN 0 ELSE count(*) END AS kept FROM ev_v GROUP BY query_id"""),

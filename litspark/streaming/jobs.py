@@ -111,9 +111,7 @@ class _FixedWindow(StatefulProcessor):
         state = self._state.get() if self._state.exists() else None
         start, used = (state[0], state[1]) if state else (None, 0)
         for frame in rows:
-            frame = frame.sort_values("ts", kind="stable")
-            at = frame["ts"].astype("int64").to_numpy() / 1e9 if str(frame["ts"].dtype).endswith("[ns]") \
-                else frame["ts"].map(lambda t: t.timestamp()).to_numpy()
+            at = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6
             verdicts = []
             for now, limit in zip(at, frame["limit"]):
                 if start is None or now - start >= K.WINDOW_SECONDS:
@@ -135,8 +133,12 @@ def limit_requests(keyed: DataFrame) -> DataFrame:
     """Admit or reject every request in windows that start at a key's first request.
 
     Constant state per key; rows of a key stream through the task, they are
-    never collected. Runs on a stream, and on a batch for replay.
+    never collected. Runs on a stream, where requests count in arrival order, and
+    on a batch for replay, where they are put in time order first.
     """
+    if not keyed.isStreaming:
+        keyed.sparkSession.streams  # starts the session's state coordinator, which batches also use
+        keyed = keyed.repartition("key").sortWithinPartitions("key", "ts")
     return keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_FixedWindow(), outputStructType="key string, ts timestamp, allowed boolean, remaining int",
         outputMode="append", timeMode="none")
