@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from litspark.operators import evaluate, stats
 from litspark.operators.quantiles import positional_quantiles
 from litspark.queries import views as V
+from litspark.queries.papers import _SCORED
+from litspark.queries.papers import _with as _quality_sql
 from litspark.session import shared_dir
 from litspark.streaming import jobs
 
@@ -178,5 +180,12 @@ ORACLE = {
     "latest_run": """
         SELECT event_id AS run_id, 'completed' AS status, value FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 1""",
     "candidate_ranks": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events",
+    # A window is written once the watermark, two minutes behind the newest request, has passed its end.
+    "minute_stream": f"""
+        SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (
+          SELECT key, date_trunc('hour', ts) AS h, count(*) AS n FROM ({_KEYED}) GROUP BY ALL)
+        WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ({_KEYED})) - INTERVAL 2 MINUTE GROUP BY key""",
+    "ingest_stream": _quality_sql("papers_v kept_v chunks_v", _SCORED, """
+        SELECT c.topic, count(*) AS chunks, count(DISTINCT doc_id) AS papers FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) GROUP BY c.topic"""),
     "audit_stream": V.sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5, false AS flagged FROM qa_v"),
 }
