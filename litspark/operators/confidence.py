@@ -48,4 +48,5 @@ def answer_confidence(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         "query_id", "score", (F.col("score") >= K.CONFIDENCE_LOW).alias("sufficient"),
         F.when(F.col("n").isNull(), "no_chunks").when(reasons == "", "nominal").otherwise(reasons).alias("reason"),
         gate(F.col("score")).alias("gate"), evidence_quality(F.col("score")).alias("evidence_quality"),
+        F.coalesce("n", F.lit(0)).alias("n_chunks"),
     )

@@ -76,6 +76,16 @@ def biomarker_entries(table: DataFrame, language: str = "en") -> DataFrame:
     return _entries(table, F.col("drug_patterns"), language)
 
 
+def literal_table(entries: DataFrame, max_rows: int = LITERAL_ROWS) -> Column | None:
+    """Entries that have a message, in order, as one array value; None when there are too many."""
+    few = entries.where("entry.message <> ''").orderBy("entry.ord").select(F.to_json("entry").alias("j")).limit(
+        max_rows + 1).collect()
+    if len(few) > max_rows:
+        return None
+    kind = f"array<{entries.schema['entry'].dataType.simpleString()}>"
+    return F.from_json(F.lit("[" + ",".join(r["j"] for r in few) + "]"), kind)
+
+
 def match_entries(
     rows: DataFrame, key: str, name_text: Column, gate_text: Column, entries: DataFrame,
     hit=_withdrawal_hit, out: str = "matches", literal_rows: int = LITERAL_ROWS,
@@ -84,15 +94,12 @@ def match_entries(
 
     ``key`` identifies a row and is only used when the reference table is large.
     """
-    with_message = entries.where("entry.message <> ''")
-    few = with_message.orderBy("entry.ord").select(F.to_json("entry").alias("j")).limit(literal_rows + 1).collect()
-    if len(few) <= literal_rows:
-        kind = f"array<{entries.schema['entry'].dataType.simpleString()}>"
-        table = F.from_json(F.lit("[" + ",".join(r["j"] for r in few) + "]"), kind)
+    table = literal_table(entries, literal_rows)
+    if table is not None:
         texts = F.struct(F.lower(name_text).alias("n"), F.lower(gate_text).alias("g"))
         return rows.withColumn(out, let(texts, lambda t: F.filter(table, lambda e: hit(e, t["n"], t["g"]))))
     texts = rows.select(key, F.lower(name_text).alias("_n"), F.lower(gate_text).alias("_g"))
-    named = with_message.select("entry", F.explode(
+    named = entries.where("entry.message <> ''").select("entry", F.explode(
         F.filter(F.coalesce("entry.names", F.array().cast("array<string>")), lambda n: n != "")).alias("_name"))
     named = named.select("entry", F.lower("_name").alias("_name")).withColumn(
         "_gram", F.left("_name", F.lit(GRAM)))
@@ -138,32 +145,40 @@ def treatment_warnings(
     """Attach regulatory, then biomarker warnings to every drug of every card.
 
     Names are looked for in the drug text, keywords in the patient context
-    (topic and history). One row per drug, regrouped in treatment order.
+    (topic and history). Reference tables of checked size are tested inside the
+    treatment array, so a card never leaves its row. Larger ones are joined: one
+    row per drug, regrouped in treatment order.
     """
-    drugs = cards.select(
-        key, F.concat(F.coalesce("cancer_type", F.lit("")), F.lit(" "),
-                      F.coalesce("clinical_history", F.lit(""))).alias("_context"),
-        F.posexplode("treatment").alias("_pos", "_t"),
-    ).withColumn("_drug_key", F.concat_ws("|", F.col(key).cast("string"), F.col("_pos")))
-    drugs = match_entries(drugs, "_drug_key", F.col("_t.drug"), F.col("_context"),
-                          withdrawal_entries(withdrawals, language), out="_w", literal_rows=literal_rows)
-    drugs = match_entries(drugs, "_drug_key", F.col("_t.drug"), F.col("_context"),
-                          biomarker_entries(biomarkers, language), hit=_biomarker_hit, out="_b",
-                          literal_rows=literal_rows)
-
-    def warning(kind: str, place: Column | None):
-        return lambda m: F.struct(
-            F.lit(kind).alias("type"), F.coalesce(m["drug"], F.col("_t.drug")).alias("drug"),
-            (place if place is not None else F.coalesce(m["jurisdiction"], F.lit(""))).alias("jurisdiction"),
-            m["message"].alias("message"))
-
-    warned = drugs.withColumn("_all", F.concat(
-        F.transform("_w", warning("regulatory", None)),
-        F.transform("_b", warning("biomarker", F.lit("biomarker")))))
-    regrouped = warned.groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(
-            "_pos", F.struct(F.col("_t.drug").alias("drug"), F.col("_t.intent").alias("intent"),
-                             F.col("_t.level").alias("level"), F.col("_all").alias("warnings")).alias("t")))),
+    context = F.concat(F.coalesce("cancer_type", F.lit("")), F.lit(" "), F.coalesce("clinical_history", F.lit("")))
+    regulatory, eligibility = withdrawal_entries(withdrawals, language), biomarker_entries(biomarkers, language)
+
+    def warnings(matches: Column, kind: str, drug: Column) -> Column:
+        return F.transform(matches, lambda m: F.struct(
+            F.lit(kind).alias("type"), F.coalesce(m["drug"], drug).alias("drug"),
+            (F.lit(kind) if kind == "biomarker" else F.coalesce(m["jurisdiction"], F.lit(""))).alias("jurisdiction"),
+            m["message"].alias("message")))
+
+    def treated(t: Column, found: Column) -> Column:
+        return F.struct(t["drug"].alias("drug"), t["intent"].alias("intent"), t["level"].alias("level"),
+                        found.alias("warnings"))
+
+    w, b = literal_table(regulatory, literal_rows), literal_table(eligibility, literal_rows)
+    if w is not None and b is not None:
+        def one(t: Column, text: Column) -> Column:
+            return let(F.lower(t["drug"]), lambda low: treated(t, F.concat(
+                warnings(F.filter(w, lambda e: _withdrawal_hit(e, low, text)), "regulatory", t["drug"]),
+                warnings(F.filter(b, lambda e: _biomarker_hit(e, low, text)), "biomarker", t["drug"]))))
+
+        return cards.withColumn("treatment", let(
+            F.lower(context), lambda text: F.transform("treatment", lambda t: one(t, text))))
+    drugs = cards.select(key, context.alias("_context"), F.posexplode("treatment").alias("_pos", "_t")).withColumn(
+        "_drug_key", F.concat_ws("|", F.col(key).cast("string"), F.col("_pos")))
+    for entries, hit, out in ((regulatory, _withdrawal_hit, "_w"), (eligibility, _biomarker_hit, "_b")):
+        drugs = match_entries(drugs, "_drug_key", F.col("_t.drug"), F.col("_context"), entries, hit, out, literal_rows)
+    found = F.concat(warnings(F.col("_w"), "regulatory", F.col("_t.drug")),
+                     warnings(F.col("_b"), "biomarker", F.col("_t.drug")))
+    regrouped = drugs.groupBy(key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_pos", treated(F.col("_t"), found).alias("t")))),
         lambda x: x["t"]).alias("treatment"))
     none = F.array().cast(regrouped.schema["treatment"].dataType)
     return cards.drop("treatment").join(regrouped, key, "left").withColumn(

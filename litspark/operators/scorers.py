@@ -73,7 +73,7 @@ def score_relevance(pairs: DataFrame, fn: Callable[[list], list], batch: int = B
 def cosine_relevance(candidates: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
     """Default relevance: cosine of query and chunk vector, for candidates only.
 
-    The candidate list is small per query; chunk vectors are fetched by key.
+    ``vectors`` need only hold the candidates' vectors; a candidate without one gets null.
     """
     q = query_vectors.select("query_id", F.col("embedding").alias("_q"))
     v = vectors.select("chunk_id", F.col("embedding").alias("_v"))

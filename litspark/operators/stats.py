@@ -31,17 +31,20 @@ def collection_stats(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count("*").alias("point_count"), F.max(F.size("embedding")).alias("dense_vector_size"))
 
 
-def ingest_summary(papers: DataFrame, chunks: DataFrame, state: DataFrame) -> DataFrame:
+def ingest_summary(found: DataFrame, new: DataFrame, fetched: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per topic and in total: papers fetched and skipped, chunks, embedded chunks, cost.
 
-    ``papers(paper_key, topic)`` are all offered papers, ``state`` the ids already
-    ingested; ``chunks(paper_key, topic, embed_text, embedded)`` come from the new
-    ones. The total row has a null topic.
+    ``found(paper_key, topic)`` is what the search offered, ``new`` what was left
+    after known ids and ids of earlier topics, ``fetched`` the papers that passed
+    the gate; ``chunks(topic, embed_text, embedded)`` come from those. The total
+    row has a null topic.
     """
-    seen = papers.join(state.select("paper_key", F.lit(True).alias("_seen")), "paper_key", "left")
-    by_paper = seen.groupBy("topic").agg(
-        F.count_if(F.col("_seen").isNull()).alias("papers_fetched"),
-        F.count_if(F.col("_seen").isNotNull()).alias("papers_skipped"))
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("topic").agg(F.count("*").alias(name))
+
+    by_paper = counted(found, "_found").join(counted(new, "_new"), "topic", "left").join(
+        counted(fetched, "papers_fetched"), "topic", "left").withColumn(
+        "papers_skipped", F.col("_found") - F.coalesce("_new", F.lit(0))).drop("_found", "_new")
     by_chunk = chunks.groupBy("topic").agg(
         F.count("*").alias("chunks_produced"), F.count_if("embedded").alias("chunks_embedded"),
         F.sum(F.when(F.col("embedded"), word_count(F.col("embed_text")))).alias("_words"))

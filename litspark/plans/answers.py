@@ -29,10 +29,8 @@ def post_process(answers: DataFrame, ranked: DataFrame, withdrawals: DataFrame,
     :func:`litspark.operators.confidence.answer_confidence`. A refused answer
     cites nothing.
     """
-    docs = ranked.groupBy("query_id").agg(F.count("*").alias("num_docs"))
-    conf = answer_confidence(answers, ranked).withColumnRenamed("score", "confidence_score")
-    joined = answers.join(docs, "query_id", "left").join(conf, "query_id", "left").withColumn(
-        "num_docs", F.coalesce("num_docs", F.lit(0)))
+    conf = answer_confidence(answers, ranked).withColumnsRenamed({"score": "confidence_score", "n_chunks": "num_docs"})
+    joined = answers.join(conf, "query_id")
     refused = F.col("gate") == "refused"
     checked = check_citations(joined.withColumn("_raw", F.col("answer")))
     none = F.array().cast("array<bigint>")

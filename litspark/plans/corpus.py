@@ -22,12 +22,12 @@ class CorpusBuild:
     papers: DataFrame
     chunks: DataFrame
     rejected: DataFrame
-    offered: DataFrame
-    state: DataFrame
+    found: DataFrame
+    new: DataFrame
 
     def would_fetch(self) -> DataFrame:
         """Dry run: how many papers per topic a build would take."""
-        return corpus.skip_known(self.offered, self.state).groupBy("topic").agg(F.count("*").alias("would_fetch"))
+        return self.new.groupBy("topic").agg(F.count("*").alias("would_fetch"))
 
 
 def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = None,
@@ -35,13 +35,16 @@ def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = N
                  size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> CorpusBuild:
     """Skip known papers, settle topics, gate quality, attach metadata, chunk.
 
-    Chunking is row-local, so the only shuffles are the skip join, the topic
-    dedupe and the metadata join, all on paper keys.
+    Which papers are new, and under which topic, is decided on ids alone; whole
+    papers move once, to meet that list. Gate and chunking are row-local. Give
+    it a stored table: the ids and the papers are read separately.
     """
-    # The per-topic cap limits what is offered (a search limit), before known ids are skipped.
-    offered = corpus.first_topic_wins(papers if max_papers_per_topic is None
-                                      else corpus.cap_per_topic(papers, max_papers_per_topic))
-    fresh = corpus.skip_known(offered, state)
+    # The per-topic cap limits what a search offers, before known ids are skipped.
+    offered = papers if max_papers_per_topic is None else corpus.cap_per_topic(papers, max_papers_per_topic)
+    found = offered.select("paper_key", "topic")
+    new = corpus.skip_known(corpus.first_topic_wins(found), state)
+    fresh = offered.join(new.withColumnRenamed("topic", "_won"), "paper_key").where(
+        F.col("topic") == F.col("_won")).drop("_won").dropDuplicates(["paper_key"])
     scored = quality.score_papers(fresh)
     kept = quality.passed(scored) if skip_low_quality else scored.drop("score", "passed", "reasons")
     if meta is None:
@@ -51,7 +54,7 @@ def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = N
     ready = corpus.attach_metadata(kept, meta)
     return CorpusBuild(
         papers=ready, chunks=corpus.with_embedding_text(corpus.chunk_papers(ready, size, overlap)),
-        rejected=quality.rejections(scored), offered=offered, state=state)
+        rejected=quality.rejections(scored), found=found, new=new)
 
 
 def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, mode: str = "append") -> DataFrame:
@@ -74,8 +77,7 @@ def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, mode
     empty = build.papers.join(written.select("paper_key").distinct(), "paper_key", "left_anti")
     finished = build.papers.join(done, "paper_key", "left_semi").unionByName(empty).select("paper_key", "topic")
     summary = stats.ingest_summary(
-        build.offered.select("paper_key", "topic"),
-        written.withColumn("embedded", F.col("embedding").isNotNull()), build.state)
+        build.found, build.new, build.papers, written.withColumn("embedded", F.col("embedding").isNotNull()))
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     records.commit_state(finished, f"{path}/state")
     return spark.read.parquet(f"{path}/summary")

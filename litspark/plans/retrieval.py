@@ -13,7 +13,8 @@ from litspark.operators.dense import dense_topk
 from litspark.operators.filters import ChunkFilter, query_filter_condition
 from litspark.operators.keyword import KeywordIndex, keyword_topk
 from litspark.operators.scorers import cosine_relevance, score_relevance
-from litspark.sizing import LITERAL_ROWS, fits
+from litspark.session import store
+from litspark.sizing import BROADCAST_ROWS, LITERAL_ROWS, fits, join_small
 
 META = ["cancer_type", "section", "study_design", "chunk_type", "year", "evidence_level"]
 
@@ -48,11 +49,20 @@ def _request_conditions(queries: DataFrame) -> tuple[DataFrame, list | None]:
     return numbered, conditions
 
 
+def _fetch(big: DataFrame, few: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rows of a large table for a few keys: the keys travel, the table is only scanned.
+
+    ``few`` has at most ``k`` rows per query, so the query count bounds it.
+    """
+    return join_small(big, few, ["chunk_id"], max_rows=BROADCAST_ROWS // max(k, 1),
+                      bounded_by=queries.select("query_id"))
+
+
 def retrieve(
     queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: KeywordIndex, now_year: int,
     k: int = K.TOP_K_RETRIEVAL, top_n: int = K.TOP_K_RERANK, diversity_cap: int | None = K.DIVERSITY_CAP,
     scorer=None, passthrough: bool = False, external: DataFrame | None = None,
-    order_by: str = "relevance", floor: float = K.CONFIDENCE_LOW,
+    order_by: str = "relevance", floor: float = K.CONFIDENCE_LOW, materialise: bool = True,
 ) -> Retrieval:
     """Dense and keyword top-k, fusion, cap, rerank, grading and fallback.
 
@@ -60,7 +70,12 @@ def retrieve(
     ``vectors(chunk_id, embedding, <META>)``; ``index`` built with ``carry=META``
     when queries carry filters. Relevance is the cosine unless ``scorer`` is
     given; ``passthrough`` keeps the fused score, which never reaches ``floor``
-    at its default. Chunk texts are joined last, for graded rows only.
+    at its default.
+
+    The searches run once: their candidates, at most ``k`` rows per query with
+    text and metadata, are written to the shared folder, and ranking, grading,
+    fallback and summary all read that small table. ``materialise=False`` keeps
+    one lazy plan instead.
     """
     numbered, conditions = _request_conditions(queries)
     dense = dense_topk(numbered.select("query_id", "embedding", *(["filter_no"] if conditions else [])),
@@ -70,21 +85,22 @@ def retrieve(
         index, queries.select("query_id", "question", *filters), k,
         condition=query_filter_condition(null_passes=True) if filters else None,
         carry=META if filters else None)
-    fused = fusion.fuse(dense, keyword, top_k=k)
-    meta = chunks.select("chunk_id", *[c for c in chunks.columns if c not in ("chunk_id", "text", "embedding")])
-    candidates = fused.join(meta, "chunk_id", "left")
-    if diversity_cap is not None:
-        candidates = fusion.cap_designs(candidates, diversity_cap)
+    found = fusion.fuse(dense, keyword, top_k=k)
+    found = _fetch(chunks.select(*[c for c in chunks.columns if c != "embedding"]), found, queries, k)
+    if materialise:
+        found = store(found, "candidates")
+    fused = found.select("query_id", "chunk_id", "dense_rank", "keyword_rank", "score", "rank")
+    candidates = found if diversity_cap is None else fusion.cap_designs(found, diversity_cap)
     if passthrough:
         judged = candidates.withColumn("relevance_score", F.lit(None).cast("double"))
     elif scorer is not None:
-        texts = candidates.join(queries.select("query_id", "question"), "query_id").join(
-            chunks.select("chunk_id", "text"), "chunk_id", "left")
-        judged = score_relevance(texts, scorer).drop("question", "text")
+        judged = score_relevance(candidates.join(queries.select("query_id", "question"), "query_id"), scorer).drop("question")
     else:
-        judged = cosine_relevance(candidates, queries, vectors)
+        near = _fetch(vectors.select("chunk_id", "embedding"), candidates.select("chunk_id").distinct(), queries, k)
+        judged = cosine_relevance(candidates, queries, near)
+    if materialise and not passthrough:
+        judged = store(judged, "judged")
     ranked = fusion.graded_and_renumbered(fusion.rerank(judged, now_year, top_n, order_by), floor)
-    with_text = ranked.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
     if external is not None:
-        with_text = fusion.with_fallback(queries, with_text, external, top_n)
-    return Retrieval(fused, with_text, fusion.retrieval_summary(queries, candidates, with_text))
+        ranked = fusion.with_fallback(queries, ranked, external, top_n)
+    return Retrieval(fused, ranked, fusion.retrieval_summary(queries, candidates, ranked))

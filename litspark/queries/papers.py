@@ -9,6 +9,7 @@ from litspark.functions import citations as C
 from litspark.functions import text as X
 from litspark.functions.records import extraction
 from litspark.operators import corpus, filters, merge, quality, report, stats
+from litspark.plans.corpus import build_corpus
 from litspark.queries import views as V
 from litspark.queries.views import WORDS, sql
 from litspark.sources import records, tables
@@ -114,10 +115,9 @@ def processing_stats(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     """Counters and cost per topic and in total; labelled documents count as already ingested."""
     p, state = _offered(spark, sf_dir)
-    fresh = corpus.skip_known(p, state)
-    made = corpus.with_embedding_text(corpus.chunk_papers(fresh)).withColumn(
-        "embedded", F.col("chunk_index") % 10 != 9)
-    return _rounded(stats.ingest_summary(p, made, state), "estimated_cost_usd")
+    build = build_corpus(p, state)
+    made = build.chunks.withColumn("embedded", F.col("chunk_index") % 10 != 9)
+    return _rounded(stats.ingest_summary(build.found, build.new, build.papers, made), "estimated_cost_usd")
 
 
 def _offered(spark, sf_dir):
@@ -405,10 +405,10 @@ _INGEST = f"""
 state_v AS (SELECT DISTINCT doc_id, true AS seen FROM labels),
 made_v AS (SELECT c.*, chunk_index % 10 <> 9 AS embedded,
                   {_NW.format("(CASE WHEN title <> '' OR section <> '' THEN title || ' | ' || section || chr(10) || text ELSE text END)")} AS nw
-           FROM chunks_v c WHERE doc_id NOT IN (SELECT doc_id FROM state_v)),
+           FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM state_v)),
 topic_v AS (
-  SELECT p.topic, count(*) FILTER (seen IS NULL) AS pf, count(*) FILTER (seen) AS ps
-  FROM papers_v p LEFT JOIN state_v USING (doc_id) GROUP BY p.topic),
+  SELECT topic, count(*) FILTER (seen IS NULL AND passed) AS pf, count(*) FILTER (seen) AS ps
+  FROM verdict_v LEFT JOIN state_v USING (doc_id) GROUP BY topic),
 made_t AS (SELECT topic, count(*) AS cp, count(*) FILTER (embedded) AS ce, sum(CASE WHEN embedded THEN nw END) AS w FROM made_v GROUP BY topic)
 """
 _ENTRY = f"""
@@ -505,7 +505,7 @@ ORACLE = {
                round(sum(n_sections) / count(*), 1) AS avg_sections_per_paper, round(sum(chunks) / count(*), 1) AS avg_chunks_per_paper,
                round(sum(words) / sum(chunks), 1) AS avg_chunk_length
         FROM body_v LEFT JOIN chunk_n USING (doc_id) GROUP BY ROLLUP (topic)"""),
-    "ingest_summary": _with("chunks_v papers_v", _INGEST, """
+    "ingest_summary": _with("chunks_v papers_v kept_v", _SCORED.rstrip() + "," + _INGEST, """
         SELECT topic, CAST(sum(pf) AS BIGINT) AS papers_fetched, CAST(sum(ps) AS BIGINT) AS papers_skipped,
                CAST(sum(coalesce(cp, 0)) AS BIGINT) AS chunks_produced, CAST(sum(coalesce(ce, 0)) AS BIGINT) AS chunks_embedded,
                round(sum(coalesce(w, 0)) * 1.3::DOUBLE / 1000 * 0.00002::DOUBLE, 10) AS estimated_cost_usd

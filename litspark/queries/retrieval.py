@@ -208,13 +208,13 @@ def answer_confidence_scores(spark, sf_dir):
     """Confidence of every question from its graded chunks."""
     q = V.questions(spark, sf_dir).select("query_id", F.col("f_cancer_type").alias("query_topics"))
     conf = answer_confidence(q, _run(spark, sf_dir).ranked)
-    return conf.withColumn("score", F.round("score", 10))
+    return conf.withColumn("score", F.round("score", 10)).drop("n_chunks")
 
 
 def evidence_confidence(spark, sf_dir):
     """Confidence of every answered conversation turn, topic check included."""
     q = V.answered(spark, sf_dir).select("query_id", F.array("cancer_type").alias("query_topics"))
-    return answer_confidence(q, V.evidence(spark, sf_dir)).withColumn("score", F.round("score", 10))
+    return answer_confidence(q, V.evidence(spark, sf_dir)).withColumn("score", F.round("score", 10)).drop("n_chunks")
 
 
 def gate_counts(spark, sf_dir):
