@@ -19,7 +19,8 @@ def read_legacy_papers(spark: SparkSession, glob: str) -> DataFrame:
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Chunks partitioned by topic; within a topic rows are spread by paper, so a
     topic that holds a third of the corpus still writes in parallel."""
-    chunks.repartition("topic", "paper_key").sortWithinPartitions("topic", "year").write.mode(mode).option(
+    order = [c for c in ("topic", "year") if c in chunks.columns]
+    chunks.repartition("topic", "paper_key").sortWithinPartitions(*order).write.mode(mode).option(
         "maxRecordsPerFile", 2_000_000).partitionBy("topic").parquet(path)
 
 
