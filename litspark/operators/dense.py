@@ -21,6 +21,7 @@ MAX_QUERY_FLOATS = 8_000_000   # 64 MB of query vectors per task
 BLOCK_ROWS = 20_000            # vectors per block when the query side is too large
 _QUERY_BLOCK = 256
 _OUT = "query_id string, chunk_id string, score double"
+_ARROW_OUT = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
 
 
 def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
@@ -50,21 +51,27 @@ class _Best:
         self.floor[self.q[full]] = self.s[full]
 
 
-def _scan(best: _Best, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
+def _blocks(n_queries: int, k: int) -> list[_Best]:
+    """One running top ``k`` per block of queries, so a merge touches only its block."""
+    return [_Best(k, min(_QUERY_BLOCK, n_queries - at)) for at in range(0, n_queries, _QUERY_BLOCK)]
+
+
+def _scan(bests: list[_Best], queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
           allowed: np.ndarray | None, digits: int) -> None:
-    for at in range(0, len(queries), _QUERY_BLOCK):
+    for block, best in enumerate(bests):
+        at = block * _QUERY_BLOCK
         scores = np.round(queries[at:at + _QUERY_BLOCK] @ vectors.T, digits)
         ok = np.isfinite(scores)
         if allowed is not None:
             ok &= allowed[at:at + _QUERY_BLOCK]
         scores = np.where(ok, scores, -np.inf)
-        floor = best.floor[at:at + _QUERY_BLOCK]
+        floor = best.floor
         n = scores.shape[1]
         if n > best.k:
             floor = np.maximum(floor, np.partition(scores, n - best.k, axis=1)[:, n - best.k])
         qi, vi = np.nonzero(ok & (scores >= floor[:, None]))
         if len(qi):
-            best.add(qi + at, ids[vi], scores[qi, vi])
+            best.add(qi, ids[vi], scores[qi, vi])
 
 
 def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -78,11 +85,12 @@ def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return vectors, ids, flags
 
 
-def _as_batch(best: _Best, names: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names[best.q].tolist(), pa.string()), pa.array(best.ids.tolist(), pa.string()),
-         pa.array(best.s, pa.float64())],
-        names=["query_id", "chunk_id", "score"])
+def _as_batches(bests: list[_Best], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for block, best in enumerate(bests):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[best.q + block * _QUERY_BLOCK].tolist(), pa.string()),
+             pa.array(best.ids.tolist(), pa.string()), pa.array(best.s, pa.float64())],
+            names=["query_id", "chunk_id", "score"])
 
 
 def dense_topk(
@@ -137,12 +145,12 @@ def _per_partition(asked: DataFrame, vectors: DataFrame, k: int, digits: int) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_names, q_matrix, q_numbers = shared.value
-        best = _Best(k, len(q_names))
+        bests = _blocks(len(q_names), k)
         for batch in batches:
             if batch.num_rows:
                 m, ids, flags = _batch_arrays(batch)
-                _scan(best, q_matrix, m, ids, _allowed_rows(q_numbers, flags), digits)
-        yield _as_batch(best, q_names)
+                _scan(bests, q_matrix, m, ids, _allowed_rows(q_numbers, flags), digits)
+        yield from _as_batches(bests, q_names)
 
     return vectors.mapInArrow(scan, _OUT)
 
@@ -163,13 +171,13 @@ def _per_block(asked: DataFrame, vectors: DataFrame, k: int, digits: int, n: int
 
     def meet(v: pa.Table, q: pa.Table) -> pa.Table:
         names = np.array(q.column("query_id").to_pylist(), dtype=object)
-        best = _Best(k, len(names))
+        bests = _blocks(len(names), k)
         if len(names) and v.num_rows:
             matrix = _unit_rows(q.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(names))
             numbers = q.column("filter_no").to_numpy().astype(float)
             for batch in v.to_batches():
                 m, ids, flags = _batch_arrays(batch)
-                _scan(best, matrix, m, ids, _allowed_rows(numbers, flags), digits)
-        return pa.Table.from_batches([_as_batch(best, names)])
+                _scan(bests, matrix, m, ids, _allowed_rows(numbers, flags), digits)
+        return pa.Table.from_batches(list(_as_batches(bests, names)), _ARROW_OUT)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, _OUT)

@@ -78,16 +78,25 @@ def processing_stats(papers: DataFrame, chunks: DataFrame) -> DataFrame:
         F.round(F.col("_words") / F.nullif(F.col("chunks"), F.lit(0)), 1).alias("avg_chunk_length"))
 
 
-def session_trend(rows: DataFrame) -> DataFrame:
+def session_trend(rows: DataFrame, block: int = 100_000) -> DataFrame:
     """Per session in query order: overall quality in percent and running mean latency.
 
-    ``rows(session_id, seq, faithfulness, relevance, precision, latency)``.
+    ``rows(session_id, seq, faithfulness, relevance, precision, latency)``. Running
+    values are taken inside blocks of ``block`` positions and shifted by the totals
+    of the blocks before, so one hot session is spread over many tasks.
     """
-    order = Window.partitionBy("session_id").orderBy("seq")
-    return rows.select(
-        "session_id", "seq", F.row_number().over(order).alias("n"),
+    cut = rows.withColumn("_b", F.floor(F.col("seq") / block))
+    totals = cut.groupBy("session_id", "_b").agg(F.count("*").alias("_n"), F.sum("latency").alias("_s"))
+    before = Window.partitionBy("session_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("session_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+                            F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"))
+    order = Window.partitionBy("session_id", "_b").orderBy("seq")
+    n = F.row_number().over(order) + F.col("_n")
+    running = F.sum("latency").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s")
+    return cut.join(offsets, ["session_id", "_b"]).select(
+        "session_id", "seq", n.alias("n"),
         ((F.col("faithfulness") + F.col("relevance") + F.col("precision")) / 3 * 100).alias("overall"),
-        F.avg("latency").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("avg_latency"))
+        (running / n).alias("avg_latency"))
 
 
 def session_summary(rows: DataFrame, fast: float = 0.5) -> DataFrame:

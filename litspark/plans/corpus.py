@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from litspark import constants as K
 from litspark.operators import corpus, quality, stats
 from litspark.operators.scorers import embed
+from litspark.session import store
 from litspark.sources import records
 from litspark.sources.tables import write_chunks
 
@@ -67,6 +68,7 @@ def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, mode
     """
     spark = build.chunks.sparkSession
     batch = f"{path}/staged"
+    accepted = store(build.papers.select("paper_key", "topic"), "accepted")
     embed(build.chunks, embedder).write.mode("overwrite").parquet(batch)
     written = spark.read.parquet(batch)
     done = corpus.complete_papers(written)
@@ -74,10 +76,10 @@ def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, mode
     write_chunks(committed, f"{path}/chunks", mode)
     records.append_rejections(build.rejected, f"{path}/rejected")
     # A paper that yields no chunk at all is complete as well.
-    empty = build.papers.join(written.select("paper_key").distinct(), "paper_key", "left_anti")
-    finished = build.papers.join(done, "paper_key", "left_semi").unionByName(empty).select("paper_key", "topic")
+    empty = accepted.join(written.select("paper_key").distinct(), "paper_key", "left_anti")
+    finished = accepted.join(done, "paper_key", "left_semi").unionByName(empty)
     summary = stats.ingest_summary(
-        build.found, build.new, build.papers, written.withColumn("embedded", F.col("embedding").isNotNull()))
+        build.found, build.new, accepted, written.withColumn("embedded", F.col("embedding").isNotNull()))
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     records.commit_state(finished, f"{path}/state")
     return spark.read.parquet(f"{path}/summary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from litspark.operators.filters import ChunkFilter, query_filter_condition
 from litspark.operators.keyword import KeywordIndex, keyword_topk
 from litspark.operators.scorers import cosine_relevance, score_relevance
 from litspark.session import store
-from litspark.sizing import BROADCAST_ROWS, LITERAL_ROWS, fits, join_small
+from litspark.sizing import BROADCAST_ROWS, join_small
 
+MAX_FILTERS = 500
 META = ["cancer_type", "section", "study_design", "chunk_type", "year", "evidence_level"]
 
 
@@ -28,25 +30,32 @@ class Retrieval:
     summary: DataFrame
 
 
-def _request_conditions(queries: DataFrame) -> tuple[DataFrame, list | None]:
-    """Number the distinct filters of a batch; vectors are flagged once per distinct filter."""
+def _dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Dense top-k under each query's own filter.
+
+    Distinct filters become flags computed once per vector. A batch with more
+    filters than one flag array should hold is split by filter hash, one scan per part.
+    """
     names = [c for c in queries.columns if c.startswith("f_")]
     if not names:
-        return queries, None
-    distinct = queries.select(F.struct(*names).alias("f")).distinct()
-    if not fits(distinct, LITERAL_ROWS):
-        raise ValueError(f"more than {LITERAL_ROWS} distinct filters in one batch; split the batch by filter")
-    specs = [r["f"] for r in distinct.orderBy(F.to_json("f")).collect()]
+        return dense_topk(queries.select("query_id", "embedding"), vectors, k)
+    keyed = queries.select("query_id", "embedding", *names, F.to_json(F.struct(*names)).alias("_f"))
+    n_filters = keyed.select("_f").distinct().count()
+    parts = -(-n_filters // MAX_FILTERS) or 1
+    found = [_dense_part(keyed if parts == 1 else keyed.where(F.pmod(F.xxhash64("_f"), F.lit(parts)) == p),
+                         names, vectors, k) for p in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _dense_part(keyed: DataFrame, names: list[str], vectors: DataFrame, k: int) -> DataFrame:
+    specs = keyed.select("_f", *names).dropDuplicates(["_f"]).orderBy("_f").collect()
     conditions = [
-        ChunkFilter(**{n.removeprefix("f_"): tuple(v) if isinstance(v, list) else v
-                       for n, v in spec.asDict().items() if v is not None}).condition()
+        ChunkFilter(**{n.removeprefix("f_"): tuple(spec[n]) if isinstance(spec[n], list) else spec[n]
+                       for n in names if spec[n] is not None}).condition()
         for spec in specs]
-    table = queries.sparkSession.createDataFrame(
-        [(i, spec) for i, spec in enumerate(specs)],
-        "filter_no int, f " + distinct.schema["f"].dataType.simpleString())
-    numbered = queries.withColumn("_f", F.to_json(F.struct(*names))).join(
-        F.broadcast(table.select("filter_no", F.to_json("f").alias("_f"))), "_f").drop("_f")
-    return numbered, conditions
+    table = keyed.sparkSession.createDataFrame([(s["_f"], i) for i, s in enumerate(specs)], "_f string, filter_no int")
+    numbered = keyed.join(F.broadcast(table), "_f").select("query_id", "embedding", "filter_no")
+    return dense_topk(numbered, vectors, k, conditions=conditions)
 
 
 def _fetch(big: DataFrame, few: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -77,9 +86,7 @@ def retrieve(
     fallback and summary all read that small table. ``materialise=False`` keeps
     one lazy plan instead.
     """
-    numbered, conditions = _request_conditions(queries)
-    dense = dense_topk(numbered.select("query_id", "embedding", *(["filter_no"] if conditions else [])),
-                       vectors, k, conditions=conditions)
+    dense = _dense(queries, vectors, k)
     filters = [c for c in queries.columns if c.startswith("f_")]
     keyword = keyword_topk(
         index, queries.select("query_id", "question", *filters), k,

@@ -37,8 +37,9 @@ def keyword_index_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_doc_stats(spark, sf_dir):
     """Corpus size and mean length, with the size of the index."""
     index = build_keyword_index(V.chunk_table(spark, sf_dir))
-    posted = index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
-    return index.stats.join(posted).select("n_chunks", F.round("avgdl", 10).alias("avgdl"), "postings", "tokens")
+    posted = index.postings.agg(F.struct(F.count("*").alias("postings"), F.sum("tf").alias("tokens")).alias("p")).scalar()
+    return index.stats.select("n_chunks", F.round("avgdl", 10).alias("avgdl"), posted["postings"].alias("postings"),
+                              posted["tokens"].alias("tokens"))
 
 
 def _questions(spark, sf_dir):

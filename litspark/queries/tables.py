@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.operators import evaluate, stats
+from litspark.operators.keyword import top_ranked
 from litspark.operators.quantiles import positional_quantiles
 from litspark.queries import views as V
 from litspark.queries.papers import _SCORED
@@ -65,7 +65,7 @@ def _sessions(spark, sf_dir):
 
 def session_trend(spark, sf_dir):
     """Overall quality and running mean latency of every query of every session."""
-    t = stats.session_trend(_sessions(spark, sf_dir))
+    t = stats.session_trend(_sessions(spark, sf_dir), block=500)
     return t.select("session_id", "seq", F.col("n").cast("bigint").alias("n"), F.round("overall", 10).alias("overall"),
                     F.round("avg_latency", 10).alias("avg_latency"))
 
@@ -86,17 +86,13 @@ def latest_run(spark, sf_dir):
 
 
 def candidate_ranks(spark, sf_dir):
-    """Events ranked per user by value: the plain candidate rank."""
-    order = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
-    return V.table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.row_number().over(order).cast("bigint").alias("rank"))
+    """The 20 best events per user by value with their ranks."""
+    top = top_ranked(V.table(spark, sf_dir, "events"), 20, F.col("value"), "user_id", "event_id")
+    return top.select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _folder(spark, name: str) -> str:
-    base = shared_dir(spark)
-    if "://" in base:
-        return f"{base}/{name}-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base if os.path.isdir(base) else None)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def audit_stream(spark, sf_dir):
@@ -179,7 +175,7 @@ ORACLE = {
                round(count(*) FILTER (value / 10 < 0.5) / count(*), 10) AS cache_rate FROM events GROUP BY user_id""",
     "latest_run": """
         SELECT event_id AS run_id, 'completed' AS status, value FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 1""",
-    "candidate_ranks": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events",
+    "candidate_ranks": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 20",
     # A window is written once the watermark, two minutes behind the newest request, has passed its end.
     "minute_stream": f"""
         SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (

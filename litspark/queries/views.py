@@ -134,9 +134,11 @@ def legacy_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns that an assistant turn follows, as question and cited answer."""
     c, t = F.col("conv_id"), F.col("turn")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(order)).withColumn(
-        "next_text", F.lead("text").over(order))
+    # Turns are numbered without gaps: the next one is found by key, so a long
+    # conversation is spread like any other rows.
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    after = turns.select("conv_id", (t - 1).alias("turn"), F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    nxt = turns.join(after, ["conv_id", "turn"])
 
     def extra(every: int, text: str) -> Column:
         return F.when(c % every == 0, text).otherwise("")

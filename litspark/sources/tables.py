@@ -84,7 +84,7 @@ def golden_queries(items: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     blank = F.lit("")
     return items.select(
-        F.coalesce("id", blank).alias("id"),
+        *[c for c in ("version",) if c in items.columns], F.coalesce("id", blank).alias("id"),
         or_else(F.col("query"), F.coalesce("question", blank)).alias("query"),
         or_else(F.col("cancer_type"), F.coalesce("topic", blank)).alias("cancer_type"),
         F.coalesce("difficulty", F.lit("medium")).alias("difficulty"),
@@ -102,8 +102,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     schema = f"version string, queries array<{S.GOLDEN_ITEM}>"
     file = spark.read.schema(schema).option("multiLine", True).json(path)
     items = file.select(F.coalesce("version", F.lit("1.0")).alias("version"), F.explode("queries").alias("q"))
-    flat = items.select("version", "q.*")
-    return golden_queries(flat).crossJoin(file.select(F.coalesce("version", F.lit("1.0")).alias("version")).limit(1))
+    return golden_queries(items.select("version", "q.*"))
 
 
 def append_golden(golden: DataFrame, new: DataFrame, order: str = "seq", width: int = 3,

@@ -26,7 +26,7 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Callable[[list], list]):
-    """Stream of parsed papers into ``chunks``, ``rejected``, ``progress`` and ``state``.
+    """Stream of parsed papers into ``papers``, ``chunks``, ``rejected``, ``progress`` and ``state``.
 
     Each micro-batch writes its own ``batch_id`` partition by dynamic overwrite,
     so a replayed batch replaces itself. State is written last; a batch skips
@@ -42,8 +42,9 @@ def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Calla
 
         state = _table(spark, f"{path}/state", "paper_key string, topic string, batch_id int").where(
             F.col("batch_id") != batch_id)
-        fresh = corpus.skip_known(corpus.first_topic_wins(batch), state)
-        scored = quality.score_papers(fresh)
+        # Scored once and read back: gate, chunks, log and state all use this table.
+        put(quality.score_papers(corpus.skip_known(corpus.first_topic_wins(batch), state)), "papers")
+        scored = spark.read.parquet(f"{path}/papers").where(F.col("batch_id") == batch_id).drop("batch_id")
         ready = corpus.attach_metadata(quality.passed(scored), spark.createDataFrame(
             [], "pmid string, study_design string, sample_size int, primary_outcome string, "
                 "intervention string, comparator string"))
