@@ -105,8 +105,7 @@ def length_stats(papers: DataFrame) -> DataFrame:
     return basic.join(median, "topic")
 
 
-def problem_papers(papers: DataFrame) -> DataFrame:
-    """Papers with at least one issue, with the list of issues."""
+def _with_issues(papers: DataFrame) -> DataFrame:
     chars, n, a = F.col("total_text_length"), F.col("section_count"), F.col("_a")
     names = F.transform("sections", lambda s: F.lower(F.coalesce(s["section_name"], F.lit(""))))
 
@@ -122,11 +121,15 @@ def problem_papers(papers: DataFrame) -> DataFrame:
         F.when(~has("method"), F.lit("No methods section")),
         F.when(~has("result"), F.lit("No results section")),
     ))
+    return papers.withColumn("total_text_length", _body_chars()).withColumn("section_count", _n_sections()).withColumn(
+        "_a", _abstract_chars()).withColumn("issues", issues)
+
+
+def problem_papers(papers: DataFrame) -> DataFrame:
+    """Papers with at least one issue, with the list of issues."""
     title = F.coalesce("title", F.lit(""))
     return (
-        papers.withColumn("total_text_length", _body_chars()).withColumn("section_count", _n_sections())
-        .withColumn("_a", _abstract_chars()).withColumn("issues", issues)
-        .where(F.size("issues") > 0)
+        _with_issues(papers).where(F.size("issues") > 0)
         .select(
             "topic", F.coalesce("pmc_id", F.lit("Unknown")).alias("pmc_id"),
             F.coalesce("pmid", F.lit("Unknown")).alias("pmid"),
@@ -149,12 +152,11 @@ def year_distribution(papers: DataFrame) -> DataFrame:
 
 def corpus_grade(papers: DataFrame) -> DataFrame:
     """Score out of 100 and letter grade per topic, in one aggregation over the papers."""
-    problems = problem_papers(papers).groupBy("topic").agg(F.count("*").alias("problems"))
-    facts = papers.groupBy("topic").agg(
+    facts = _with_issues(papers).groupBy("topic").agg(
         F.count("*").alias("papers"), F.count_if(_no_title()).alias("no_title"),
         F.count_if(_missing("abstract")).alias("no_abstract"),
-        F.count_if(_none("sections")).alias("no_sections"), F.avg(_body_chars()).alias("avg_chars"),
-    ).join(problems, "topic", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+        F.count_if(_none("sections")).alias("no_sections"), F.avg("total_text_length").alias("avg_chars"),
+        F.count_if(F.size("issues") > 0).alias("problems"))
     off = [
         (F.col("no_title") > 0, 20), (F.col("no_abstract") > F.col("papers") * 0.1, 15),
         (F.col("no_sections") > 0, 20), (F.col("problems") > F.col("papers") * 0.3, 15),

@@ -138,9 +138,8 @@ def _cards(spark, sf_dir):
 
 
 def _card_chunks(spark, sf_dir):
-    """Two chunks for the cards of two papers in three."""
-    d = F.col("doc_id")
-    p = V.papers(spark, sf_dir).where(d % 3 != 0)
+    """Two chunks for the card of every paper that states its sample size; the others have none."""
+    p = V.papers(spark, sf_dir).where("sample_size is not null")
     return p.select(F.col("paper_key").alias("patient_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
                     F.col("paper_key").alias("chunk_id"), F.col("abstract").alias("text"), "title", "authors", "journal",
                     "year", "study_design", "sample_size", F.lit("abstract").alias("section"), "pmid")
@@ -217,10 +216,10 @@ def eval_labels(spark, sf_dir):
 
 
 def regression_gate(spark, sf_dir):
-    """Even conversations against the odd ones as baseline."""
+    """Hard questions against all others as baseline."""
     j = judged(spark, sf_dir)
-    now = evaluate.mean_metrics(j.where("conv_id % 2 = 0"))
-    base = evaluate.mean_metrics(j.where("conv_id % 2 = 1")).drop("clinical_safety")
+    now = evaluate.mean_metrics(j.where("difficulty = 'hard'"))
+    base = evaluate.mean_metrics(j.where("difficulty <> 'hard'")).drop("clinical_safety")
     g = evaluate.regression_gate(now, base)
     return g.select(*[F.round(c, 10).alias(c) for c in K.CORE_METRICS], "passed")
 
@@ -250,6 +249,14 @@ def history_first(spark, sf_dir):
     return h.select("conversation_id", F.col("pos").cast("bigint").alias("pos"), "role", F.md5("content").alias("content_md5"))
 
 
+def query_history(spark, sf_dir):
+    """Every question with the first turns of its conversation attached."""
+    q = V.answered(spark, sf_dir).select("query_id", F.col("conv_id").alias("conversation_id"))
+    h = context.attach_history(q, _turns(spark, sf_dir), limit=4, last=3)
+    return h.select("query_id", F.size("history").cast("bigint").alias("n"),
+                    F.md5(F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("history_md5"))
+
+
 def history_last(spark, sf_dir):
     """The last three turns of each conversation, oldest first."""
     h = context.history(_turns(spark, sf_dir), limit=3, mode="last")
@@ -307,7 +314,7 @@ def payload_json(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     citation_split, citation_order, post_process, warning_append, warning_append_fr, regulatory_join, regulatory_join_grams,
     biomarker_join, card_finish, comorbidities, judge_all, refusal_terms, extractive_judge, eval_report, eval_grouped,
-    eval_labels, regression_gate, threshold_gate, history_first, history_last, conversation_append, audit_rows, card_audit,
+    eval_labels, regression_gate, threshold_gate, history_first, history_last, query_history, conversation_append, audit_rows, card_audit,
     fenced_json, payload_json)}
 
 
@@ -399,7 +406,7 @@ judged_v AS (SELECT *, (faithfulness + answer_relevance + context_precision + co
 _AVG = ", ".join(f"round(avg({m}), 10) AS {m}" for m in K.METRICS)
 _OVER = "round((" + " + ".join(f"avg({m})" for m in K.CORE_METRICS) + ") / 5, 10) AS overall"
 _CARD = f"""
-card_v AS (SELECT doc_id, paper_key, topic, abstract, lower(topic || ' ' || abstract) AS ctx, doc_id % 3 <> 0 AS grounded, k AS pos,
+card_v AS (SELECT doc_id, paper_key, topic, abstract, lower(topic || ' ' || abstract) AS ctx, sample_size IS NOT NULL AS grounded, k AS pos,
              {V.sql_pick(DRUGS, 'doc_id + k')} AS drug, CASE WHEN (doc_id + k) % 3 <> 0 THEN 'Curatif' END AS intent,
              CASE WHEN (doc_id + k) % 2 = 0 THEN 'A' END AS level, title, authors, journal, year, study_design, sample_size
            FROM papers_v, (VALUES (0), (1)) t(k))"""
@@ -460,7 +467,7 @@ ORACLE = {
     "eval_labels": _with("packed_v", _judge("packed_v"), """
         SELECT quality::BIGINT AS quality, count(*) AS n, round(avg(overall), 10) AS overall FROM judged_v LEFT JOIN labels ON doc_id = conv_id GROUP BY 1"""),
     "regression_gate": _with("packed_v", _judge("packed_v") + ",\n" + "delta_v AS (SELECT " + ", ".join(
-        f"avg({m}) FILTER (conv_id % 2 = 0) - " + ("0" if m == "clinical_safety" else f"avg({m}) FILTER (conv_id % 2 = 1)") + f" AS {m}"
+        f"avg({m}) FILTER (difficulty = 'hard') - " + ("0" if m == "clinical_safety" else f"avg({m}) FILTER (difficulty <> 'hard')") + f" AS {m}"
         for m in K.CORE_METRICS) + " FROM judged_v)",
         "SELECT " + ", ".join(f"round({m}, 10) AS {m}" for m in K.CORE_METRICS) + ", "
         + " AND ".join(f"{m} >= -0.02" for m in K.CORE_METRICS) + " AS passed FROM delta_v"),
@@ -474,6 +481,11 @@ ORACLE = {
         SELECT conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, md5(text) AS content_md5
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM (
           SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4)) WHERE z <= 3""",
+    "query_history": sql("qa_v", """
+        SELECT query_id, n, history_md5 FROM qa_v JOIN (
+          SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS history_md5
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM (
+            SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4)) WHERE z <= 3 GROUP BY conv_id) USING (conv_id)"""),
     "history_last": """
         SELECT conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, md5(text) AS content_md5
         FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)""",
@@ -486,8 +498,8 @@ ORACLE = {
         FROM (SELECT *, {_bad('len(texts)')} AS bad FROM packed_v)"""),
     "card_audit": sql("papers_v", """
         SELECT 'c' || paper_key AS query_id, md5('[treatment-card] patient=' || paper_key || ': ' || left(abstract, 500)) AS question_md5,
-               CASE WHEN doc_id % 4 <> 0 THEN 'T2' ELSE '' END AS stage, CASE WHEN doc_id % 3 <> 0 THEN '2' ELSE '0' END AS chunks_used,
-               doc_id % 3 = 0 AS flagged FROM papers_v"""),
+               CASE WHEN doc_id % 4 <> 0 THEN 'T2' ELSE '' END AS stage, CASE WHEN sample_size IS NOT NULL THEN '2' ELSE '0' END AS chunks_used,
+               sample_size IS NULL AS flagged FROM papers_v"""),
     "fenced_json": """
         SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN event_id % 4 <> 0 THEN props ->> '$.k' END AS k FROM events""",
     "payload_json": """

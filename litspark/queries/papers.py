@@ -159,9 +159,9 @@ def id_harvest(spark, sf_dir):
 
 
 def metadata_attach(spark, sf_dir):
-    """Papers with extraction results attached; every third result is missing."""
+    """Papers with extraction results attached; papers without a year have none."""
     p = V.papers(spark, sf_dir)
-    meta = p.where("doc_id % 3 <> 0").select(
+    meta = p.where("year is not null").select(
         "pmid", "study_design", "sample_size", F.concat(F.lit("outcome "), "paper_key").alias("primary_outcome"),
         F.lit(None).cast("string").alias("intervention"), F.lit(None).cast("string").alias("comparator"))
     return _big(corpus.attach_metadata(p, meta).select(
@@ -220,9 +220,8 @@ def paper_upsert(spark, sf_dir):
 def chunk_upsert(spark, sf_dir):
     """Chunk rows after an update that may change only text and section."""
     c = V.chunks(spark, sf_dir).select("chunk_id", "text", "section", "chunk_type", "paper_key")
-    k = F.col("paper_key").cast("bigint")
-    old = c.where(k % 3 != 0).withColumn("text", F.lit("old"))
-    new = c.where(k % 2 == 0).withColumn("chunk_type", F.lit("new"))
+    old = c.where("section <> 'results'").withColumn("text", F.lit("old"))
+    new = c.where("chunk_type = 'text'").withColumn("chunk_type", F.lit("new"))
     return merge.update_columns(old, new, "chunk_id", ["text", "section"]).groupBy("section", "chunk_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("text") == "old").alias("untouched"))
 
@@ -521,9 +520,9 @@ ORACLE = {
         FROM (SELECT 2000 + doc_id % 18 AS "window", doc_id AS position, doc_id // 2 AS id FROM documents)
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY "window", position) = 1""",
     "metadata_attach": sql("papers_v", f"""
-        SELECT paper_key, CASE WHEN doc_id % 3 <> 0 THEN study_design ELSE 'unknown' END AS study_design,
-               CASE WHEN doc_id % 3 <> 0 THEN sample_size END AS sample_size, CASE WHEN doc_id % 3 <> 0 THEN 'outcome ' || paper_key END AS primary_outcome,
-               topic AS cancer_type, (CASE WHEN doc_id % 3 <> 0 THEN evidence_level ELSE 6 END)::BIGINT AS evidence_level FROM papers_v"""),
+        SELECT paper_key, CASE WHEN year IS NOT NULL THEN study_design ELSE 'unknown' END AS study_design,
+               CASE WHEN year IS NOT NULL THEN sample_size END AS sample_size, CASE WHEN year IS NOT NULL THEN 'outcome ' || paper_key END AS primary_outcome,
+               topic AS cancer_type, (CASE WHEN year IS NOT NULL THEN evidence_level ELSE 6 END)::BIGINT AS evidence_level FROM papers_v"""),
     "extraction_work": sql("papers_v", """
         SELECT paper_key, CASE WHEN doc_id % 9 <> 0 THEN pmid ELSE '' END AS pmid FROM papers_v
         WHERE doc_id % 9 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels)"""),
@@ -544,9 +543,9 @@ ORACLE = {
     "paper_upsert": sql("papers_v", """
         SELECT paper_key, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN title ELSE upper(title) END AS title FROM papers_v"""),
     "chunk_upsert": sql("chunks_v", """
-        SELECT section, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE chunk_type END AS chunk_type, count(*) AS n,
-               count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 2 <> 0) AS untouched
-        FROM chunks_v WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 GROUP BY ALL"""),
+        SELECT section, CASE WHEN section = 'results' THEN 'new' ELSE chunk_type END AS chunk_type, count(*) AS n,
+               count(*) FILTER (section <> 'results' AND chunk_type <> 'text') AS untouched
+        FROM chunks_v WHERE section <> 'results' OR chunk_type = 'text' GROUP BY ALL"""),
     "merge_protected": _with("", _ENTRY, """
         SELECT seq, drug, jurisdiction, warning, source FROM mark_v WHERE p = coalesce(m, z)"""),
     "merge_counts": _with("", _ENTRY, """
