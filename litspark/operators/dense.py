@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from litspark import constants as K
 from litspark.operators.keyword import top_ranked
+from litspark.operators.topk import ARROW_OUT, OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, offer
 
 MAX_QUERY_FLOATS = 8_000_000   # 64 MB of query vectors per task
 BLOCK_ROWS = 20_000            # vectors per block when the query side is too large
-_QUERY_BLOCK = 256
-_OUT = "query_id string, chunk_id string, score double"
-_ARROW_OUT = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
 
 
 def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
@@ -30,67 +28,20 @@ def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
     return m / np.where(norm == 0, np.nan, norm)[:, None]
 
 
-class _Best:
-    """Running top ``k`` of (query, id, score) with ties to the smaller id."""
-
-    def __init__(self, k: int, n_queries: int) -> None:
-        self.k, self.floor = k, np.full(n_queries, -np.inf)
-        self.q = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=object)
-        self.s = np.empty(0)
-
-    def add(self, q: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
-        q, ids, s = (np.concatenate(p) for p in ((self.q, q), (self.ids, ids), (self.s, s)))
-        order = np.lexsort((ids.astype(str), -s, q))
-        q, ids, s = q[order], ids[order], s[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.empty(0, dtype=np.int64)
-        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        keep = place < self.k
-        self.q, self.ids, self.s = q[keep], ids[keep], s[keep]
-        full = place[keep] == self.k - 1
-        self.floor[self.q[full]] = self.s[full]
-
-
-def _blocks(n_queries: int, k: int) -> list[_Best]:
-    """One running top ``k`` per block of queries, so a merge touches only its block."""
-    return [_Best(k, min(_QUERY_BLOCK, n_queries - at)) for at in range(0, n_queries, _QUERY_BLOCK)]
-
-
-def _scan(bests: list[_Best], queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
+def _scan(bests: list[Best], queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
           allowed: np.ndarray | None, digits: int) -> None:
     for block, best in enumerate(bests):
-        at = block * _QUERY_BLOCK
-        scores = np.round(queries[at:at + _QUERY_BLOCK] @ vectors.T, digits)
+        rows = slice(block * QUERY_BLOCK, (block + 1) * QUERY_BLOCK)
+        scores = np.round(queries[rows] @ vectors.T, digits)
         ok = np.isfinite(scores)
-        if allowed is not None:
-            ok &= allowed[at:at + _QUERY_BLOCK]
-        scores = np.where(ok, scores, -np.inf)
-        floor = best.floor
-        n = scores.shape[1]
-        if n > best.k:
-            floor = np.maximum(floor, np.partition(scores, n - best.k, axis=1)[:, n - best.k])
-        qi, vi = np.nonzero(ok & (scores >= floor[:, None]))
-        if len(qi):
-            best.add(qi, ids[vi], scores[qi, vi])
+        offer(best, scores, ok if allowed is None else ok & allowed[rows], ids)
 
 
 def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     column = batch.column(batch.schema.get_field_index("embedding"))
     vectors = _unit_rows(column.flatten().to_numpy(zero_copy_only=False), batch.num_rows)
     ids = np.array(batch.column(batch.schema.get_field_index("chunk_id")).to_pylist(), dtype=object)
-    at = batch.schema.get_field_index("allowed")
-    flags = None
-    if at >= 0:
-        flags = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(bool)
-    return vectors, ids, flags
-
-
-def _as_batches(bests: list[_Best], names: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for block, best in enumerate(bests):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[best.q + block * _QUERY_BLOCK].tolist(), pa.string()),
-             pa.array(best.ids.tolist(), pa.string()), pa.array(best.s, pa.float64())],
-            names=["query_id", "chunk_id", "score"])
+    return vectors, ids, flag_matrix(batch)
 
 
 def dense_topk(
@@ -126,18 +77,11 @@ def dense_topk(
     return top_ranked(partial, k)
 
 
-def _allowed_rows(filter_no: np.ndarray, flags: np.ndarray | None) -> np.ndarray | None:
-    if flags is None:
-        return None
-    padded = np.concatenate([flags, np.ones((len(flags), 1), dtype=bool)], axis=1)
-    return padded.T[np.where(np.isnan(filter_no), flags.shape[1], filter_no).astype(int)]
-
-
 def _per_partition(asked: DataFrame, vectors: DataFrame, k: int, digits: int) -> DataFrame:
     """Query vectors of checked size go to every task; vectors do not move at all."""
     rows = asked.collect()
     if not rows:
-        return asked.sparkSession.createDataFrame([], _OUT)
+        return asked.sparkSession.createDataFrame([], OUT)
     names = np.array([r["query_id"] for r in rows], dtype=object)
     matrix = _unit_rows(np.array([r["embedding"] for r in rows]).ravel(), len(rows))
     numbers = np.array([np.nan if r["filter_no"] is None else r["filter_no"] for r in rows], dtype=float)
@@ -145,14 +89,14 @@ def _per_partition(asked: DataFrame, vectors: DataFrame, k: int, digits: int) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_names, q_matrix, q_numbers = shared.value
-        bests = _blocks(len(q_names), k)
+        bests = blocks(len(q_names), k)
         for batch in batches:
             if batch.num_rows:
                 m, ids, flags = _batch_arrays(batch)
-                _scan(bests, q_matrix, m, ids, _allowed_rows(q_numbers, flags), digits)
-        yield from _as_batches(bests, q_names)
+                _scan(bests, q_matrix, m, ids, allowed_rows(q_numbers, flags), digits)
+        yield from as_batches(bests, q_names)
 
-    return vectors.mapInArrow(scan, _OUT)
+    return vectors.mapInArrow(scan, OUT)
 
 
 def _per_block(asked: DataFrame, vectors: DataFrame, k: int, digits: int, n: int, dims: int,
@@ -171,13 +115,13 @@ def _per_block(asked: DataFrame, vectors: DataFrame, k: int, digits: int, n: int
 
     def meet(v: pa.Table, q: pa.Table) -> pa.Table:
         names = np.array(q.column("query_id").to_pylist(), dtype=object)
-        bests = _blocks(len(names), k)
+        bests = blocks(len(names), k)
         if len(names) and v.num_rows:
             matrix = _unit_rows(q.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(names))
             numbers = q.column("filter_no").to_numpy().astype(float)
             for batch in v.to_batches():
                 m, ids, flags = _batch_arrays(batch)
-                _scan(bests, matrix, m, ids, _allowed_rows(numbers, flags), digits)
-        return pa.Table.from_batches(list(_as_batches(bests, names)), _ARROW_OUT)
+                _scan(bests, matrix, m, ids, allowed_rows(numbers, flags), digits)
+        return pa.Table.from_batches(list(as_batches(bests, names)), ARROW_OUT)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, _OUT)
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, OUT)

@@ -12,7 +12,8 @@ from litspark import constants as K
 from litspark.operators import fusion
 from litspark.operators.dense import dense_topk
 from litspark.operators.filters import ChunkFilter, query_filter_condition
-from litspark.operators.keyword import KeywordIndex, keyword_topk
+from litspark.operators.keyword import KeywordIndex, keyword_topk, prune_index
+from litspark.operators.keyword_scan import fits_scan, scan_topk
 from litspark.operators.scorers import cosine_relevance, score_relevance
 from litspark.session import store
 from litspark.sizing import BROADCAST_ROWS, join_small
@@ -30,32 +31,55 @@ class Retrieval:
     summary: DataFrame
 
 
-def _dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Dense top-k under each query's own filter.
+def _by_filter(queries: DataFrame, columns: list[str], null_passes: bool, run) -> DataFrame:
+    """``run(queries, conditions)`` under each query's own filter.
 
-    Distinct filters become flags computed once per vector. A batch with more
+    Distinct filters become flags computed once per chunk. A batch with more
     filters than one flag array should hold is split by filter hash, one scan per part.
     """
     names = [c for c in queries.columns if c.startswith("f_")]
     if not names:
-        return dense_topk(queries.select("query_id", "embedding"), vectors, k)
-    keyed = queries.select("query_id", "embedding", *names, F.to_json(F.struct(*names)).alias("_f"))
+        return run(queries.select(*columns), None)
+    keyed = queries.select(*columns, *names, F.to_json(F.struct(*names)).alias("_f"))
     n_filters = keyed.select("_f").distinct().count()
     parts = -(-n_filters // MAX_FILTERS) or 1
-    found = [_dense_part(keyed if parts == 1 else keyed.where(F.pmod(F.xxhash64("_f"), F.lit(parts)) == p),
-                         names, vectors, k) for p in range(parts)]
+    found = []
+    for p in range(parts):
+        part = keyed if parts == 1 else keyed.where(F.pmod(F.xxhash64("_f"), F.lit(parts)) == p)
+        specs = part.select("_f", *names).dropDuplicates(["_f"]).orderBy("_f").collect()
+        conditions = [
+            ChunkFilter(**{n.removeprefix("f_"): tuple(spec[n]) if isinstance(spec[n], list) else spec[n]
+                           for n in names if spec[n] is not None}).condition(null_passes)
+            for spec in specs]
+        table = queries.sparkSession.createDataFrame(
+            [(spec["_f"], n) for n, spec in enumerate(specs)], "_f string, filter_no int")
+        found.append(run(part.join(F.broadcast(table), "_f").select(*columns, "filter_no"), conditions))
     return reduce(DataFrame.unionByName, found)
 
 
-def _dense_part(keyed: DataFrame, names: list[str], vectors: DataFrame, k: int) -> DataFrame:
-    specs = keyed.select("_f", *names).dropDuplicates(["_f"]).orderBy("_f").collect()
-    conditions = [
-        ChunkFilter(**{n.removeprefix("f_"): tuple(spec[n]) if isinstance(spec[n], list) else spec[n]
-                       for n in names if spec[n] is not None}).condition()
-        for spec in specs]
-    table = keyed.sparkSession.createDataFrame([(s["_f"], i) for i, s in enumerate(specs)], "_f string, filter_no int")
-    numbered = keyed.join(F.broadcast(table), "_f").select("query_id", "embedding", "filter_no")
-    return dense_topk(numbered, vectors, k, conditions=conditions)
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K_RETRIEVAL) -> DataFrame:
+    """Dense top-k; a missing year or evidence level fails a query's range."""
+    return _by_filter(queries, ["query_id", "embedding"], False,
+                      lambda q, conditions: dense_topk(q, vectors, k, conditions=conditions))
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, index: KeywordIndex | None = None,
+                   k: int = K.TOP_K_RETRIEVAL) -> DataFrame:
+    """Keyword top-k; a missing year or evidence level passes a query's range.
+
+    With an ``index`` (built with ``carry=META`` for filters) only the posting
+    lists of the query terms are read. Without one the chunk texts are scanned
+    where they lie, or, for more query terms than a task can hold, indexed for
+    the query vocabulary on the fly.
+    """
+    filters = [c for c in queries.columns if c.startswith("f_")]
+    if index is None and fits_scan(queries):
+        return _by_filter(queries, ["query_id", "question"], True,
+                          lambda q, conditions: scan_topk(q, chunks, k, conditions))
+    carry = META if filters else None
+    asked = queries.select("query_id", "question", *filters)
+    return keyword_topk(index or prune_index(chunks, asked, carry), asked, k,
+                        condition=query_filter_condition(null_passes=True) if filters else None, carry=carry)
 
 
 def _fetch(big: DataFrame, few: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -68,7 +92,7 @@ def _fetch(big: DataFrame, few: DataFrame, queries: DataFrame, k: int) -> DataFr
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: KeywordIndex, now_year: int,
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: KeywordIndex | None, now_year: int,
     k: int = K.TOP_K_RETRIEVAL, top_n: int = K.TOP_K_RERANK, diversity_cap: int | None = K.DIVERSITY_CAP,
     scorer=None, passthrough: bool = False, external: DataFrame | None = None,
     order_by: str = "relevance", floor: float = K.CONFIDENCE_LOW, materialise: bool = True,
@@ -76,8 +100,8 @@ def retrieve(
     """Dense and keyword top-k, fusion, cap, rerank, grading and fallback.
 
     ``queries(query_id, question, embedding[, f_cancer_type, f_year_min, …])``;
-    ``vectors(chunk_id, embedding, <META>)``; ``index`` built with ``carry=META``
-    when queries carry filters. Relevance is the cosine unless ``scorer`` is
+    ``vectors(chunk_id, embedding, <META>)``; ``index`` as in
+    :func:`keyword_search`. Relevance is the cosine unless ``scorer`` is
     given; ``passthrough`` keeps the fused score, which never reaches ``floor``
     at its default.
 
@@ -86,12 +110,8 @@ def retrieve(
     fallback and summary all read that small table. ``materialise=False`` keeps
     one lazy plan instead.
     """
-    dense = _dense(queries, vectors, k)
-    filters = [c for c in queries.columns if c.startswith("f_")]
-    keyword = keyword_topk(
-        index, queries.select("query_id", "question", *filters), k,
-        condition=query_filter_condition(null_passes=True) if filters else None,
-        carry=META if filters else None)
+    dense = dense_search(queries, vectors, k)
+    keyword = keyword_search(queries, chunks, index, k)
     found = fusion.fuse(dense, keyword, top_k=k)
     found = _fetch(chunks.select(*[c for c in chunks.columns if c != "embedding"]), found, queries, k)
     if materialise:

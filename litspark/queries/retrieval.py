@@ -11,17 +11,14 @@ from litspark.functions import scores
 from litspark.operators import context, fusion
 from litspark.operators.confidence import answer_confidence
 from litspark.operators.dense import dense_topk as nearest
-from litspark.operators.filters import ChunkFilter, query_filter_condition, request_filters, suppress_weak
+from litspark.operators.filters import ChunkFilter, request_filters, suppress_weak
 from litspark.operators.keyword import build_keyword_index, keyword_scores, prune_index
 from litspark.operators.keyword import keyword_topk as search
-from litspark.plans.retrieval import META, retrieve
+from litspark.plans.retrieval import META, keyword_search, retrieve
 from litspark.queries import views as V
 from litspark.queries.views import NOW_YEAR, sql
 from litspark.sources.records import external_evidence
 
-CARRY = ["cancer_type", "year", "evidence_level", "section", "study_design", "chunk_type"]
-
-
 def _ints(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
@@ -49,6 +46,12 @@ def _questions(spark, sf_dir):
 def keyword_topk(spark, sf_dir):
     """Best 20 chunks per question by keyword score, over the whole corpus."""
     q = _questions(spark, sf_dir)
+    return _ints(keyword_search(q, V.chunk_table(spark, sf_dir)), "rank")
+
+
+def keyword_topk_index(spark, sf_dir):
+    """The same through an index of the query vocabulary."""
+    q = _questions(spark, sf_dir)
     return _ints(search(prune_index(V.chunk_table(spark, sf_dir), q), q), "rank")
 
 
@@ -59,18 +62,21 @@ def keyword_matches(spark, sf_dir):
     return scored.groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("total"))
 
 
-def _filtered_keyword(spark, sf_dir):
-    q = V.questions(spark, sf_dir).drop("embedding")
+def _full_questions(spark, sf_dir):
     empty = F.lit(None).cast("array<string>")
-    full = q.withColumns({"f_section": empty, "f_study_design": empty, "f_chunk_type": empty,
-                          "f_year_max": F.lit(None).cast("int")})
-    return search(prune_index(V.chunk_table(spark, sf_dir), q, CARRY), full,
-                  condition=query_filter_condition(null_passes=True), carry=CARRY)
+    return V.questions(spark, sf_dir).withColumns({
+        "f_section": empty, "f_study_design": empty, "f_chunk_type": empty, "f_year_max": F.lit(None).cast("int")})
 
 
 def keyword_topk_filtered(spark, sf_dir):
     """As above under each question's own filter, where missing values pass."""
-    return _ints(_filtered_keyword(spark, sf_dir), "rank")
+    return _ints(keyword_search(_full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir)), "rank")
+
+
+def keyword_topk_filtered_index(spark, sf_dir):
+    """The same through an index that carries the filter columns."""
+    q, c = _full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir)
+    return _ints(keyword_search(q, c, prune_index(c, q, META)), "rank")
 
 
 # --- dense -----------------------------------------------------------------------
@@ -147,12 +153,8 @@ def request_filter_map(spark, sf_dir):
 # --- fusion and reranking -----------------------------------------------------------
 
 def _run(spark, sf_dir, **options):
-    q = V.questions(spark, sf_dir)
-    c = V.chunk_table(spark, sf_dir)
-    empty = F.lit(None).cast("array<string>")
-    q = q.withColumns({"f_section": empty, "f_study_design": empty, "f_chunk_type": empty,
-                       "f_year_max": F.lit(None).cast("int")})
-    return retrieve(q, c, V.vectors(spark, sf_dir), prune_index(c, q, CARRY), NOW_YEAR, **options)
+    return retrieve(_full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir), V.vectors(spark, sf_dir), None,
+                    NOW_YEAR, **options)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -273,7 +275,8 @@ def source_details(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    keyword_index_df, keyword_doc_stats, keyword_topk, keyword_matches, keyword_topk_filtered, embedding_cosine,
+    keyword_index_df, keyword_doc_stats, keyword_topk, keyword_topk_index, keyword_matches, keyword_topk_filtered,
+    keyword_topk_filtered_index, embedding_cosine,
     dense_topk, dense_topk_filtered, dense_topk_blocks, filter_nulls_dense, filter_nulls_keyword, request_filter_map,
     rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, rerank_weights,
     answer_confidence_scores, evidence_confidence, gate_counts, weak_suppressed, context_budget, context_budget_card,
@@ -397,3 +400,5 @@ ORACLE = {
                array_to_string(authors[1:3], ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors, journal, year, study_design,
                sample_size, 'abstract' AS section, left(abstract, 150) AS key_finding, pmid FROM docs_v"""),
 }
+ORACLE["keyword_topk_index"] = ORACLE["keyword_topk"]
+ORACLE["keyword_topk_filtered_index"] = ORACLE["keyword_topk_filtered"]
