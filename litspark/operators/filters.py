@@ -88,6 +88,15 @@ def query_filter_condition(null_passes: bool = False, prefix: str = "f_") -> Col
     return reduce(lambda a, b: a & b, [topics, *kinds, *ranges])
 
 
+def with_filter_columns(queries: DataFrame, prefix: str = "f_") -> DataFrame:
+    """Add the filter columns a query table lacks, as no condition."""
+    for field_ in FILTER_SCHEMA.split(", "):
+        name, kind = field_.split(" ", 1)
+        if prefix + name not in queries.columns:
+            queries = queries.withColumn(prefix + name, F.lit(None).cast(kind))
+    return queries
+
+
 def request_filters(requests: DataFrame, prefix: str = "f_") -> DataFrame:
     """Turn request fields into filter columns; empty lists become no condition."""
     def listed(name: str) -> Column:

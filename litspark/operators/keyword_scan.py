@@ -9,6 +9,7 @@ query vocabulary and each task keeps its best ``k`` chunks per question.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark import constants as K
-from litspark.functions.scores import idf
 from litspark.functions.text import tokens
 from litspark.operators.keyword import query_terms, top_ranked
 from litspark.operators.topk import OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, offer
@@ -55,52 +55,51 @@ def scan_topk(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K_RETRIEVAL,
     ``queries(query_id, <text>[, filter_no])``; ``conditions`` as in dense
     search, applied after scoring. Callers check :func:`fits_scan` first.
     """
+    spark = chunks.sparkSession
     asked = query_terms(queries, text)
     counts = vocabulary_counts(chunks, asked.select("term").distinct())
-    corpus = counts.where("term = ''").first()
-    spark = chunks.sparkSession
-    if corpus is None:
-        return top_ranked(spark.createDataFrame([], OUT), k)
-    weights = counts.where("term <> ''").withColumn("idf", idf(F.lit(corpus["df"]), F.col("df"))).where("idf > 0")
-    names = ["query_id", *(["filter_no"] if "filter_no" in queries.columns else [])]
-    # Bounded by the check on query terms: one row per (query, term).
-    rows = asked.join(weights, "term").join(queries.select(*names), "query_id").orderBy("term", "query_id").collect()
-    if not rows:
+    number = F.col("filter_no") if "filter_no" in queries.columns else F.lit(None).cast("int")
+    terms = asked.join(queries.select("query_id", number.alias("filter_no")), "query_id").unionByName(
+        spark.createDataFrame([(None, "", 0, None)], "query_id string, term string, qtf long, filter_no int"))
+    # One row per (query, term), bounded by the check on query terms, plus the corpus row.
+    rows = terms.join(counts, "term").orderBy("term", "query_id").collect()
+    if len(rows) < 2:
         return top_ranked(spark.createDataFrame([], OUT), k)
-    shared = spark.sparkContext.broadcast(_pack(rows, "filter_no" in names))
-    avgdl = corpus["total"] / corpus["df"]
+    n_chunks, avgdl = rows[0]["df"], rows[0]["total"] / rows[0]["df"]
+    shared = spark.sparkContext.broadcast(_pack(rows[1:], n_chunks))
     picked = [F.col("chunk_id").cast("string").alias("chunk_id"), tokens(F.col("text")).alias("tokens")]
     if conditions:
         picked.append(F.array(*[F.coalesce(c, F.lit(False)) for c in conditions]).alias("allowed"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_names, filters, terms, term_start, term_query, term_weight = shared.value
-        value_set = pa.array(terms, pa.string())
+        q_names, filters, vocabulary, term_start, term_query, term_weight = shared.value
+        value_set = pa.array(vocabulary, pa.string())
         bests = blocks(len(q_names), k)
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and vocabulary:
                 _score(bests, batch, value_set, term_start, term_query, term_weight, filters, avgdl, k1, b, digits)
         yield from as_batches(bests, q_names)
 
     return top_ranked(chunks.select(*picked).mapInArrow(scan, OUT), k)
 
 
-def _pack(rows: list, filtered: bool) -> tuple:
-    """Query terms as arrays: for every term the queries that use it and the weight it has there."""
+def _pack(rows: list, n_chunks: int) -> tuple:
+    """Query terms as arrays: for every weighted term the queries that use it and its weight there."""
+    idf = {r["term"]: max(math.log((n_chunks - r["df"] + 0.5) / (r["df"] + 0.5)), 0.0) for r in rows}
+    rows = [r for r in rows if idf[r["term"]] > 0]
     q_names = np.array(sorted({r["query_id"] for r in rows}), dtype=object)
     at = {name: i for i, name in enumerate(q_names)}
     filters = np.full(len(q_names), np.nan)
-    if filtered:
-        for r in rows:
-            if r["filter_no"] is not None:
-                filters[at[r["query_id"]]] = r["filter_no"]
+    for r in rows:
+        if r["filter_no"] is not None:
+            filters[at[r["query_id"]]] = r["filter_no"]
     terms, start = [], []
     for i, r in enumerate(rows):
         if not terms or terms[-1] != r["term"]:
             terms.append(r["term"])
             start.append(i)
     return (q_names, filters, terms, np.array([*start, len(rows)]),
-            np.array([at[r["query_id"]] for r in rows]), np.array([r["qtf"] * r["idf"] for r in rows]))
+            np.array([at[r["query_id"]] for r in rows], dtype=np.int64), np.array([r["qtf"] * idf[r["term"]] for r in rows]))
 
 
 def _score(bests: list[Best], batch: pa.RecordBatch, value_set: pa.Array, term_start: np.ndarray,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from litspark import constants as K
 from litspark.operators import fusion
 from litspark.operators.dense import dense_topk
-from litspark.operators.filters import ChunkFilter, query_filter_condition
+from litspark.operators.filters import ChunkFilter, query_filter_condition, with_filter_columns
 from litspark.operators.keyword import KeywordIndex, keyword_topk, prune_index
 from litspark.operators.keyword_scan import fits_scan, scan_topk
 from litspark.operators.scorers import cosine_relevance, score_relevance
@@ -78,6 +78,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, index: KeywordIndex |
                           lambda q, conditions: scan_topk(q, chunks, k, conditions))
     carry = META if filters else None
     asked = queries.select("query_id", "question", *filters)
+    if filters:
+        asked = with_filter_columns(asked)
     return keyword_topk(index or prune_index(chunks, asked, carry), asked, k,
                         condition=query_filter_condition(null_passes=True) if filters else None, carry=carry)
 

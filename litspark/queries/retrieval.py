@@ -62,20 +62,14 @@ def keyword_matches(spark, sf_dir):
     return scored.groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("total"))
 
 
-def _full_questions(spark, sf_dir):
-    empty = F.lit(None).cast("array<string>")
-    return V.questions(spark, sf_dir).withColumns({
-        "f_section": empty, "f_study_design": empty, "f_chunk_type": empty, "f_year_max": F.lit(None).cast("int")})
-
-
 def keyword_topk_filtered(spark, sf_dir):
     """As above under each question's own filter, where missing values pass."""
-    return _ints(keyword_search(_full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir)), "rank")
+    return _ints(keyword_search(V.questions(spark, sf_dir), V.chunk_table(spark, sf_dir)), "rank")
 
 
 def keyword_topk_filtered_index(spark, sf_dir):
     """The same through an index that carries the filter columns."""
-    q, c = _full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir)
+    q, c = V.questions(spark, sf_dir), V.chunk_table(spark, sf_dir)
     return _ints(keyword_search(q, c, prune_index(c, q, META)), "rank")
 
 
@@ -153,7 +147,7 @@ def request_filter_map(spark, sf_dir):
 # --- fusion and reranking -----------------------------------------------------------
 
 def _run(spark, sf_dir, **options):
-    return retrieve(_full_questions(spark, sf_dir), V.chunk_table(spark, sf_dir), V.vectors(spark, sf_dir), None,
+    return retrieve(V.questions(spark, sf_dir), V.chunk_table(spark, sf_dir), V.vectors(spark, sf_dir), None,
                     NOW_YEAR, **options)
 
 

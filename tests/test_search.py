@@ -11,7 +11,9 @@ from litspark.operators import fusion
 from litspark.operators.confidence import answer_confidence
 from litspark.operators.dense import dense_topk
 from litspark.operators.keyword import KeywordIndex, build_keyword_index, keyword_topk, prune_index
-from litspark.operators import keyword
+from litspark.operators import keyword, keyword_scan
+from litspark.plans import retrieval
+from litspark.plans.retrieval import keyword_search
 from litspark import sizing
 
 
@@ -54,6 +56,16 @@ def test_keyword_search_matches_brute_force(spark, corpus, tmp_path, monkeypatch
         got = {(r["query_id"], r["chunk_id"]): (r["score"], r["rank"]) for r in keyword_topk(index, q).collect()}
         assert got.keys() == want.keys()
         assert all(got[k][1] == want[k][1] and math.isclose(got[k][0], want[k][0], abs_tol=2e-9) for k in want)
+    got = {(r["query_id"], r["chunk_id"]): (r["score"], r["rank"]) for r in keyword_search(q, chunks).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][1] == want[x][1] and math.isclose(got[x][0], want[x][0], abs_tol=2e-9) for x in want)
+    assert keyword_search(q.where("query_id > 'q2'"), chunks).count() == 0
+    assert keyword_search(q, chunks.where("false")).count() == 0
+    # Tiny work bounds: the same rows from many small blocks.
+    monkeypatch.setattr(keyword_scan, "_HITS", 7)
+    monkeypatch.setattr(keyword_scan, "_CELLS", 5)
+    assert {(r["query_id"], r["chunk_id"]): r["rank"] for r in keyword_search(q, chunks).collect()} == {
+        x: y[1] for x, y in want.items()}
     # Query side too large to broadcast: the salted join gives the same rows.
     monkeypatch.setattr(keyword, "join_small", lambda *a, **o: sizing.join_small(*a, **{**o, "max_rows": 0}))
     got = {(r["query_id"], r["chunk_id"]): r["rank"] for r in keyword_topk(prune_index(chunks, q), q).collect()}
@@ -93,6 +105,26 @@ def test_dense_search_matches_brute_force(spark):
         assert run(**options, max_query_floats=16, block_rows=50) == expected
 
 
+def test_filters_split_into_parts_give_the_same_rows(spark, corpus, monkeypatch):
+    c = spark.createDataFrame([(k, t, [f"s{i % 4}"], 2000 + i % 20 if i % 5 else None) for i, (k, t) in enumerate(corpus.items())],
+                              "chunk_id string, text string, cancer_type array<string>, year int").withColumns(
+        {n: F.lit("x") for n in ("section", "study_design", "chunk_type")}).withColumn("evidence_level", F.lit(1))
+    q = spark.createDataFrame([(f"q{i}", f"t{i} t{i + 1} t7", [f"s{i % 4}"] if i % 3 else None, 2005 + i % 3 if i % 2 else None) for i in range(12)],
+                              "query_id string, question string, f_cancer_type array<string>, f_year_min int")
+    pick = ["query_id", "chunk_id", "score", "rank"]
+    whole = sorted(keyword_search(q, c).select(pick).collect())
+    monkeypatch.setattr(retrieval, "MAX_FILTERS", 2)
+    assert sorted(keyword_search(q, c).select(pick).collect()) == whole
+    want = set()
+    years = {r["chunk_id"]: (r["cancer_type"], r["year"]) for r in c.collect()}
+    for r in q.collect():
+        ok = [(x, s) for x, s in _bm25(corpus, r["question"]).items()
+              if (not r["f_cancer_type"] or years[x][0] == r["f_cancer_type"])
+              and (r["f_year_min"] is None or years[x][1] is None or years[x][1] >= r["f_year_min"])]
+        want |= {(r["query_id"], x) for x, _ in sorted(ok, key=lambda p: (-round(p[1], 9), p[0]))[:20]}
+    assert {(r[0], r[1]) for r in whole} == want
+
+
 def _ranked(spark, rows, schema="query_id string, chunk_id string, rank int, score double"):
     return spark.createDataFrame(rows, schema)
 
