@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import quality_rules
+from litspark.llm import mixing, quality_rules
 
 QUERIES, ORACLE = {}, {}
 
@@ -22,3 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge_lines(docs, cleaned=None)
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
