@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import mixing, quality_rules
+from litspark.llm import mixing, quality_rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -27,3 +27,8 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
