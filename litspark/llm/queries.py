@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import mixing, quality_rules, sharding
+from litspark.llm import mixing, packing, quality_rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -32,3 +32,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
