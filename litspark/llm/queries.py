@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from litspark.llm import mixing, packing, quality_rules, sharding
+from litspark.llm import chat_format, mixing, packing, quality_rules, sharding, url_filter
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,3 +38,35 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op2_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op2_link_graph_urls"] = url_filter.oracle()
+
+#: A conversation that holds the template's own marks, added to the table.
+PLANTED_CONVERSATION, PLANTED_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(1).select(
+        F.lit(PLANTED_CONVERSATION).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"),
+        F.to_json(F.struct(F.lit(PLANTED_TEXT).alias("prompt"), F.lit(PLANTED_TEXT).alias("response"))).alias("record"))
+    turns = chat_format.canonical_turns(chat_format.records_of_rows(rows).unionByName(planted))
+    return chat_format.digest_formatted(chat_format.format_turns(turns))
+
+
+ORACLE["op5_chat_format"] = r"""
+    WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    sized AS (SELECT *, length(text) + length(role) + 15 + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+        + length(regexp_replace(role, '[^\\#<:]', '', 'g')) AS n FROM every)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(n)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id"""
