@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import chat_format, mixing, packing, quality_rules, sharding, url_filter
+from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, sharding, url_filter
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,3 +70,18 @@ ORACLE["op5_chat_format"] = r"""
         sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         sum(n)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id"""
+
+
+@query
+def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bit_sliced.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLE["op1_bit_sliced_topk"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 10"""
