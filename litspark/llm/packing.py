@@ -40,7 +40,7 @@ QUANTUM = 64
 MAX_QUEUES = 512
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 16 << 20
 
 
 class Schedule:
@@ -100,11 +100,11 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = "part int, _id long, _source string, n long, before long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, sums = TaskContext.get().partitionId(), WordEncoder(tokenizer, end_id), {}
+        part, encoder, sums = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer), {}
         for batch in batches:
             for at, _, offsets in slabs(batch.column(1), SLAB_BYTES):
                 rows = batch.slice(at, len(offsets) - 1)
-                ids, ends = encoder.encode(rows.column(1))
+                ids, ends = encoder.encode(rows.column(1), end_id)
                 sources, before = rows.column(2).to_pylist(), []
                 for name, n in zip(sources, np.diff(ends).tolist()):
                     before.append(sums.get(name, 0))

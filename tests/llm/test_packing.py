@@ -10,7 +10,7 @@ from litspark.llm import packing as P
 from litspark.llm.tokens import WordEncoder
 
 TEXTS = ["Hello world, it's 3 o'clock.", None, "", " \t\n", "ÀÉ naïvé Σας ΟΔΟΣ İstanbul", "a<|endoftext|>b <|startoftext|> x",
-         "日本語のテキスト 🙂🙂", "x" * 5000, "tab\tnew\nline\x0bv\x0cf\rr\x1du", "we're they'll 's 't", " nbsp em", "a" * 70 + " b"]
+         "日本語のテキスト 🙂🙂", "x" * 5000, "tab\tnew\nline\x0bv\x0cf\rr\x1du", "we're they'll 's 't", " nbsp em", "a" * 70 + " b", "''s don't ''t 5'd x'll  “quote”—dash… 12.5³ ½ ª º ß ÿ Ÿ é", "<|endoftext|>", "a.b,c;d (e) [f] #g @h http://x.y/z?q=1&r=2"]
 
 
 @pytest.fixture(scope="module")
@@ -22,13 +22,13 @@ def encode():
 
 
 def test_words_encode_like_whole_texts(encode):
-    encoder = WordEncoder(P.TOKENIZER, P.END_ID)
+    encoder = WordEncoder(P.TOKENIZER)
     for _ in range(2):
-        ids, ends = encoder.encode(pa.array(TEXTS))
+        ids, ends = encoder.encode(pa.array(TEXTS), P.END_ID)
         assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [encode(t) for t in TEXTS]
     import duckdb
     real = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
-    ids, ends = encoder.encode(pa.array(real))
+    ids, ends = encoder.encode(pa.array(real), P.END_ID)
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [encode(t) for t in real]
 
 
