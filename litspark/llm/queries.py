@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, sharding, url_filter
+from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, sharding, substrings, url_filter
 
 QUERIES, ORACLE = {}, {}
 
@@ -85,3 +85,9 @@ ORACLE["op1_bit_sliced_topk"] = """
         FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
     FROM scored QUALIFY rank <= 10"""
+
+
+@query
+def op8_bucket_pointer_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, cleaned=None)
