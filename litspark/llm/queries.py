@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, sharding, substrings, toxicity, url_filter
+from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, set_join, sharding, substrings, toxicity, url_filter
 
 QUERIES, ORACLE = {}, {}
 
@@ -97,3 +97,8 @@ def op8_bucket_pointer_substrings(spark: SparkSession, sf_dir: str) -> DataFrame
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.link_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
