@@ -192,7 +192,24 @@ def _with(base: str, extra: str, body: str) -> str:
     return head.rstrip() + ",\n" + extra.strip() + "\n" + body.strip()
 
 
+_SKIP = "</?(script|style|nav|footer|head|noscript)([\\s/][^>]*)?>"
+_ENTITIES = "p"
+for _name, _sign in V.K.HTML_ENTITIES:
+    _ENTITIES = "replace({0}, '&{1};', '{2}')".format(_ENTITIES, _name, _sign.replace("'", "''"))
+_HTML = f"""
+WITH bare AS (SELECT page_id, regexp_replace(coalesce(html, ''),
+    '<!--.*?-->|<script(\\s[^>]*)?>.*?</script\\s*>|<style(\\s[^>]*)?>.*?</style\\s*>', '<i>', 'gis') AS h FROM pages),
+cut AS (SELECT page_id, string_split_regex(h, '(?i){_SKIP}') AS parts, list_reduce(list_transform(
+    regexp_extract_all(h, '(?i){_SKIP}'), lambda t: CASE WHEN t LIKE '%/>' THEN [0] WHEN t LIKE '</%' THEN [-1] ELSE [1] END),
+    lambda a, s: list_append(a, greatest(0, a[-1] + s[1])), [0]) AS depth FROM bare),
+shown AS (SELECT page_id, array_to_string(list_transform(list_filter(list_zip(parts, depth), lambda z: z[2] = 0), lambda z: z[1]), '<i>') AS v FROM cut),
+pieces AS (SELECT page_id, list_transform(string_split_regex(v, '<(/?[a-zA-Z]([^>"'']|"[^"]*"|''[^'']*'')*|[!?][^>]*)>'),
+    lambda p: regexp_replace({_ENTITIES}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')) AS p FROM shown),
+texts AS (SELECT page_id, array_to_string(list_filter(p, lambda x: x <> ''), ' ') AS text FROM pieces)
+SELECT page_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM texts"""
+
 ORACLE = {
+    "html_text": _HTML,
     "tokenize_stats": f"""
         SELECT doc_id, len({WORDS.format('text')}) AS n_words, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct
         FROM (SELECT *, {TOKENS.format('text')} AS t FROM documents)""",

@@ -1,52 +1,60 @@
-"""HTML pages to plain text."""
+"""HTML pages to plain text, with column expressions only.
 
-from __future__ import annotations
+Skipped tags cut a page into stretches; how many are open is a running count
+over those tags alone. What lies at count zero is cut at all other tags, and the
+pieces are trimmed and joined.
+"""
 
-from html.parser import HTMLParser
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from litspark.constants import HTML_SKIP_TAGS
-
-_SKIP = frozenset(HTML_SKIP_TAGS)
 
+from litspark.constants import HTML_ENTITIES, HTML_SKIP_TAGS
+from litspark.functions.binding import let
 
-class _Visible(HTMLParser):
-    """Collects text outside skipped tags. All skipped tags share one depth count."""
+#: Comments, and elements whose content is no markup; an open one lasts to the end.
+CODE = (r"(?is)<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)")
+SKIP = r"(?i)</?(?:" + "|".join(HTML_SKIP_TAGS) + r")(?:[\s/][^>]*)?>"
+#: A stray < begins a piece of its own.
+TAG = r"""(?s)<(?:/?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*|[!?][^>]*)>|(?=<)"""
+_EDGES = r"(?U)^\s+|\s+$"
+_CUT, _MARK = "<i>", ""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.hidden = 0
-        self.found: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in _SKIP
+def _open(tags: Column) -> Column:
+    """Open skipped tags before every stretch: all kinds count together, never below zero."""
+    step = F.transform(tags, lambda t: F.when(F.endswith(t, F.lit("/>")), 0).when(F.startswith(t, F.lit("</")), -1).otherwise(1))
+    return F.aggregate(step, F.array(F.lit(0)), lambda seen, s: F.concat(
+        seen, F.array(F.greatest(F.element_at(seen, -1) + s, F.lit(0)))))
 
-    def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in _SKIP))
 
-    def handle_data(self, data):
-        piece = data.strip()
-        if piece and not self.hidden:
-            self.found.append(piece)
+def _unescape(text: Column) -> Column:
+    def number(ref: Column) -> Column:
+        hexa = F.startswith(F.lower(ref), F.lit("x"))
+        digits = F.when(hexa, F.substring(ref, F.lit(2), F.length(ref))).otherwise(F.conv(ref, 10, 16))
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
 
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), 1))
+    text = F.aggregate(refs, text, lambda t, r: F.replace(t, F.concat(F.lit("&#"), r, F.lit(";")), number(r)))
+    for name, sign in HTML_ENTITIES:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
 
-def _visible_text(html: str | None) -> str:
-    parser = _Visible()
-    parser.feed(html or "")
-    return " ".join(parser.found)
 
+def visible_text(html: Column) -> Column:
+    """Text outside skipped tags: pieces between tags, trimmed, joined by a space; null is empty."""
+    def shown(body: Column) -> Column:
+        stretches = F.zip_with(F.split(body, SKIP, -1), _open(F.regexp_extract_all(body, F.lit(SKIP), 0)),
+                               lambda s, n: F.when(n == 0, s))
+        pieces = F.array_join(F.split(F.array_join(stretches, _CUT), TAG, -1), _MARK)
+        trimmed = F.transform(F.split(_unescape(pieces), _MARK, -1), lambda p: F.regexp_replace(p, _EDGES, ""))
+        return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
 
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    return html.map(_visible_text)
+    return let(F.regexp_replace(F.coalesce(html, F.lit("")), CODE, _CUT), shown)
 
 
 def page_texts(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """``(page_id, url, text)`` of every page; whole texts unless ``max_chars`` is given."""
-    text = visible_text(F.col("html"))
-    out = pages.select("page_id", "url", text.alias("text"))
+    out = pages.select("page_id", "url", visible_text(F.col("html")).alias("text"))
     return out if max_chars is None else out.withColumn("text", F.left("text", F.lit(max_chars)))

@@ -65,7 +65,10 @@ def _visible(page):
 
 def test_html_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    extra = spark.createDataFrame([(-1, "u", "<nav>a</script>b</nav>c<p>d</p>"), (-2, "u", None)], pages.schema)
+    extra = spark.createDataFrame([(-1, "u", "<nav>a</script>b</nav>c<p>d</p>"), (-2, "u", None),
+        (-3, "u", "<p>a &lt;b&gt; &amp;lt; &#233;&#xe9; &quot;q&quot;</p><!-- <nav> -->x<NAV class='a>b'>y</NAV>z<nav/>w"),
+        (-4, "u", "<header>h</header><script>if (a<b) '<nav>'</script>t<style>u</style >v<footer>f<nav>g</footer>h</nav>i  < j"),
+        (-5, "u", "a<head>b"), (-6, "u", "a<script>b"), (-7, "u", "a<b title=\"x>y\">c</b>\u00a0<i>\u00a0 </i>d")], pages.schema)
     every = pages.unionByName(extra)
     raw = {r["page_id"]: r["html"] for r in every.collect()}
     got = {r["page_id"]: r["text"] for r in html.page_texts(every).collect()}
