@@ -50,7 +50,8 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _C1)
 RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("h", "<u4"), ("at", "<i4"), ("more", "u1"), ("many", "u1")])
-_OUT = "_id long, _h long, kind int, bucket int, blob binary"
+SPAN = np.dtype([("id", "<i8"), ("h", "<u4"), ("first", "<i4"), ("last", "<i4"), ("many", "u1")])
+_OUT = "kind int, bucket int, blob binary"
 SETTLED, OPEN, SENT = 0, 1, 2
 _powers: dict[str, np.ndarray] = {}
 
@@ -135,19 +136,29 @@ def _merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], stop[np.append(head[1:] - 1, len(start) - 1)] if len(start) else stop
 
 
-def _by_doc(found: np.ndarray, kind: int, length: int) -> Iterator[tuple]:
-    """Rows per document: merged spans, or (first, last, many) of open runs."""
-    order = np.lexsort((found["at"], found["h"], found["id"]))
-    found = found[order]
-    cut = np.flatnonzero((found["id"][1:] != found["id"][:-1]) | (found["h"][1:] != found["h"][:-1])) + 1
-    for lo, hi in zip(np.append(0, cut), np.append(cut, len(found))):
-        own = found[lo:hi]
-        first, last = own["at"].astype(np.int64), own["at"].astype(np.int64) + own["more"]
-        if kind == SETTLED:
-            blob = np.stack(_merge(first, last + length), axis=1)
-        else:
-            blob = np.unique(np.stack([first, last, own["many"]], axis=1), axis=0)
-        yield int(own["id"][0]), int(own["h"][0]), kind, -1, blob.astype("<i4").tobytes()
+def _home(ids: np.ndarray, hs: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64) ^ (hs.astype(np.uint64) << np.uint64(32))) >> np.uint64(20)) % np.uint64(homes)
+
+
+def _to_docs(found: np.ndarray, kind: int, homes: int, length: int) -> list[tuple]:
+    """A row per home of documents: their merged spans, or (first, last, many) of open runs."""
+    if not len(found):
+        return []
+    found = found[np.lexsort((found["at"], found["h"], found["id"]))]
+    out = np.empty(len(found), dtype=SPAN)
+    out["id"], out["h"], out["first"], out["many"] = found["id"], found["h"], found["at"], found["many"]
+    out["last"] = found["at"].astype(np.int64) + found["more"] + (length if kind == SETTLED else 0)
+    if kind == SETTLED:
+        new = np.append(False, (out["id"][1:] != out["id"][:-1]) | (out["h"][1:] != out["h"][:-1]))
+        base = np.cumsum(new) << 32
+        reach = np.maximum.accumulate(base + out["last"])
+        head = np.flatnonzero(np.append(True, (base + out["first"])[1:] > reach[:-1]))
+        out = out[head]
+        out["last"] = (reach & 0xFFFFFFFF)[np.append(head[1:] - 1, len(found) - 1)]
+    home = _home(out["id"], out["h"], homes)
+    order = np.argsort(home, kind="stable")
+    out, cut = out[order], np.searchsorted(home[order], np.arange(homes + 1))
+    return [(kind, k, out[cut[k]:cut[k + 1]].tobytes()) for k in range(homes) if cut[k] < cut[k + 1]]
 
 
 def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,39 +178,38 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, np.repeat(many, sizes), first
 
 
-def _combine(parts: list[np.ndarray], buckets: int, length: int) -> list[tuple]:
+def _combine(parts: list[np.ndarray], buckets: int, homes: int, length: int) -> list[tuple]:
     """Settles what recurs inside a task; sends one record of each string on to its bucket."""
     found, many, first = _settle(np.concatenate(parts))
-    out = list(_by_doc(found[many], SETTLED, length)) if many.any() else []
+    out = _to_docs(found[many], SETTLED, homes, length)
     sent = found[first].copy()
     sent["many"] = many[first]
     bucket = (sent["a"] >> np.uint64(33)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     sent = sent[order]
-    return out + [(0, 0, SENT, k, sent[cut[k]:cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
+    return out + [(SENT, k, sent[cut[k]:cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(rows), 2000):
-        cols = list(zip(*rows[lo:lo + 2000]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-            names=["_id", "_h", "kind", "bucket", "blob"])
+    for lo in range(0, len(rows), 200):
+        cols = list(zip(*rows[lo:lo + 200]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))],
+                                         names=["kind", "bucket", "blob"])
 
 
-def _in_buckets(sent: DataFrame, length: int, windows: bool) -> DataFrame:
+def _in_buckets(sent: DataFrame, homes: int, length: int, windows: bool) -> DataFrame:
     """Second half of a round: each bucket's records meet; settled spans pass through.
 
     ``windows``: records are single windows, and what doesn't recur is unique.
     Otherwise an anchor that recurs with other surroundings stays open.
     """
-    place = F.when(F.col("kind") == SENT, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("_id", "_h"), F.lit(1 << 20)).cast("int"))
+    place = F.when(F.col("kind") == SENT, F.col("bucket")).otherwise(-1 - F.col("bucket"))
     ordered = sent.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").drop("_place")
 
     def decide(parts: list[np.ndarray], partial: bool) -> list[tuple]:
         found, many, first = _settle(np.concatenate(parts))
-        out = list(_by_doc(found[many], SETTLED, length)) if many.any() else []
+        out = _to_docs(found[many], SETTLED, homes, length)
         if windows:
             return out
         # A bucket with more than one kind of surroundings.
@@ -208,12 +218,12 @@ def _in_buckets(sent: DataFrame, length: int, windows: bool) -> DataFrame:
         open_ = (np.repeat(kinds, np.diff(np.append(heads, len(found)))) > 1) | partial
         left = found[open_ & first].copy()
         left["many"] = many[open_ & first]
-        return out + (list(_by_doc(left, OPEN, length)) if len(left) else [])
+        return out + _to_docs(left, OPEN, homes, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, size, partial = None, [], 0, False
         for batch in batches:
-            kinds, buckets = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            kinds, buckets = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             through = batch.filter(pa.array(kinds != SENT))
             if through.num_rows:
                 yield through
@@ -224,7 +234,7 @@ def _in_buckets(sent: DataFrame, length: int, windows: bool) -> DataFrame:
                         yield from _batches(decide(parts, partial))
                     partial = partial and buckets[i] == now
                     now, parts, size = buckets[i], [], 0
-                parts.append(np.frombuffer(batch.column(4)[int(i)].as_buffer(), RECORD))
+                parts.append(np.frombuffer(batch.column(2)[int(i)].as_buffer(), RECORD))
                 size += len(parts[-1])
         if parts:
             yield from _batches(decide(parts, partial))
@@ -239,7 +249,7 @@ def _records(a: np.ndarray, b: np.ndarray, ids: np.ndarray, hs: np.ndarray, at:
     return out
 
 
-def _anchor_round(keyed: DataFrame, buckets: int, length: int) -> DataFrame:
+def _anchor_round(keyed: DataFrame, buckets: int, homes: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -252,39 +262,65 @@ def _anchor_round(keyed: DataFrame, buckets: int, length: int) -> DataFrame:
                 parts.append(_records(bucket, around, ids[doc], hs[doc], at, end - start, 0))
                 size += len(row)
                 if size >= COMBINED:
-                    yield from _batches(_combine(parts, buckets, length))
+                    yield from _batches(_combine(parts, buckets, homes, length))
                     parts, size = [], 0
         if size:
-            yield from _batches(_combine(parts, buckets, length))
+            yield from _batches(_combine(parts, buckets, homes, length))
 
-    return _in_buckets(keyed.mapInArrow(run, _OUT), length, windows=False)
+    return _in_buckets(keyed.mapInArrow(run, _OUT), homes, length, windows=False)
 
 
-def _window_round(opened: DataFrame, buckets: int, length: int) -> DataFrame:
+def _window_round(opened: DataFrame, buckets: int, homes: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             data, offsets = raw(batch.column(2))
             for i in range(batch.num_rows):
-                own, blobs = data[offsets[i]:offsets[i + 1]], batch.column(3)[i].as_py()
-                runs = np.concatenate([np.frombuffer(b, "<i4").reshape(-1, 3) for b in blobs]).astype(np.int64)
-                for first, last, many in runs[np.argsort(runs[:, 0], kind="stable")].tolist():
+                own, runs = data[offsets[i]:offsets[i + 1]], np.frombuffer(batch.column(3)[i].as_py(), "<i4").reshape(-1, 3)
+                for first, last, many in runs.tolist():
                     near = own[first:last + length]
                     halves, at = bucket_ids(near, length), np.arange(last - first + 1)
                     parts.append(_records(_full(halves, at, length), _full(halves, at, length, _C3), batch.column(0)[i].as_py(),
                                           batch.column(1)[i].as_py(), at + first, 0, many))
                     size += len(at)
                     if size >= COMBINED:
-                        yield from _batches(_combine(parts, buckets, length))
+                        yield from _batches(_combine(parts, buckets, homes, length))
                         parts, size = [], 0
         if size:
-            yield from _batches(_combine(parts, buckets, length))
+            yield from _batches(_combine(parts, buckets, homes, length))
+
+    return _in_buckets(opened.mapInArrow(run, _OUT), homes, length, windows=True)
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    """``_id, _h, runs``: a row per document with its (first, last, many) in order, as 32-bit numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            own = np.unique(np.concatenate(parts))
+            cut = np.flatnonzero(np.append(True, (own["id"][1:] != own["id"][:-1]) | (own["h"][1:] != own["h"][:-1])))
+            triples = np.stack([own["first"], own["last"], own["many"].astype(np.int32)], axis=1).astype("<i4")
+            blobs = [triples[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(own)))]
+            for lo in range(0, len(cut), 5000):
+                at = cut[lo:lo + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array(own["id"][at]), pa.array(own["h"][at].astype(np.int64)), pa.array(blobs[lo:lo + 5000], pa.binary())],
+                                                 names=["_id", "_h", "runs"])
+
+        now, parts = None, []
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k != now and parts:
+                    yield from flush(parts)
+                    parts = []
+                now = k
+                parts.append(np.frombuffer(blob.as_buffer(), SPAN))
+        if parts:
+            yield from flush(parts)
 
-    return _in_buckets(opened.mapInArrow(run, _OUT), length, windows=True)
+    return found.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "_id long, _h long, runs binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the keys ``_id, _h``, and per key the blobs of its repeated spans."""
+    """``docs`` with the keys ``_id, _h``, and per key its repeated spans."""
     if length % 8:
         raise ValueError("length must be a multiple of 8")
     keyed = docs.withColumns({
@@ -292,11 +328,12 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int) -> tupl
     narrow = keyed.select("_id", "_h", text)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(total // BUCKET_BYTES) + 1
-    found = store(_anchor_round(narrow, buckets, length), "substring-anchors")
-    opened = found.where(F.col("kind") == OPEN).groupBy("_id", "_h").agg(F.collect_set("blob").alias("_runs"))
-    runs = (found.where(F.col("kind") == OPEN).agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // 12
-    windows = store(_window_round(narrow.join(opened, ["_id", "_h"]), runs * (length // 2 + 1) // BUCKET_WINDOWS + 1, length), "substring-windows")
-    spans = found.where(F.col("kind") == SETTLED).unionByName(windows).groupBy("_id", "_h").agg(F.collect_set("blob").alias("_spans"))
+    found = store(_anchor_round(narrow, buckets, buckets, length), "substring-anchors")
+    opened = store(_gathered(found.where(F.col("kind") == OPEN)), "substring-open")
+    runs = (opened.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // 12
+    parts = runs * (length // 2 + 1) // BUCKET_WINDOWS + 1
+    windows = store(_window_round(narrow.join(opened, ["_id", "_h"]), parts, buckets, length), "substring-windows")
+    spans = _gathered(found.where(F.col("kind") == SETTLED).unionByName(windows))
     return keyed, spans
 
 
@@ -311,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     keyed, spans = repeated_spans(docs, id_col, text, length)
     carry = [f for f in docs.schema.fields if f.name not in added and (cleaned or f.name != text)]
     names = [f.name for f in carry]
-    source = keyed.join(spans, ["_id", "_h"], "left").select(F.col(text).alias("_text"), "_spans", *[f"`{n}`" for n in names])
+    source = keyed.join(spans, ["_id", "_h"], "left").select(F.col(text).alias("_text"), "runs", *[f"`{n}`" for n in names])
     schema = T.StructType([*carry, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for a, b, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), blobs):
                 body, spans_ = whole[a:b], np.empty((0, 2), np.int64)
                 if own:
-                    every = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in own]).astype(np.int64)
+                    every = np.frombuffer(own, "<i4").reshape(-1, 3).astype(np.int64)
                     spans_ = np.stack(_merge(every[:, 0], every[:, 1]), axis=1)
                 edges = [0, *spans_.ravel().tolist(), b - a]
                 kept = b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2]))
