@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,9 +12,7 @@ from pyspark.sql import functions as F
 from litspark import constants as K
 from litspark.operators import corpus, quality, stats
 from litspark.operators.scorers import embed
-from litspark.session import store
-from litspark.sources import records
-from litspark.sources.tables import write_chunks
+from litspark.sources import runs
 
 
 @dataclass(frozen=True)
@@ -58,28 +57,33 @@ def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = N
         rejected=quality.rejections(scored), found=found, new=new)
 
 
-def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, mode: str = "append") -> DataFrame:
-    """Embed and write a build, then commit its papers; returns the ingest summary.
+def ingest(build: CorpusBuild, embedder: Callable[[list], list], path: str, run_id: str | None = None) -> DataFrame:
+    """Embed and write a build as one committed step; returns the ingest summary.
 
-    Data goes first and state last. Only papers whose chunks all have a vector
-    are committed, so a failed batch or a crash leaves them to the next run.
+    The commit goes last and readers (``runs.read``) see committed steps only, so
+    a run that breaks off at any write leaves nothing behind that counts, and
+    its repetition doubles nothing. Only papers whose chunks all have a vector
+    enter ``chunks`` and ``state``; a failed batch leaves them to the next run.
     The written table, not a cached plan, feeds everything after the write, so
     the embedder runs once however many executors come and go.
     """
     spark = build.chunks.sparkSession
-    batch = f"{path}/staged"
-    accepted = store(build.papers.select("paper_key", "topic"), "accepted")
-    embed(build.chunks, embedder).write.mode("overwrite").parquet(batch)
-    written = spark.read.parquet(batch)
+    run_id = run_id or uuid.uuid4().hex
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return runs.put(df, path, name, run_id, 0)
+
+    accepted = put(build.papers.select("paper_key", "topic"), "accepted")
+    written = put(embed(build.chunks, embedder), "staged")
     done = corpus.complete_papers(written)
-    committed = written.join(done, "paper_key", "left_semi")
-    write_chunks(committed, f"{path}/chunks", mode)
-    records.append_rejections(build.rejected, f"{path}/rejected")
+    order = [c for c in ("topic", "year") if c in written.columns]
+    put(written.join(done, "paper_key", "left_semi").sortWithinPartitions(*order), "chunks")
+    put(build.rejected, "rejected")
     # A paper that yields no chunk at all is complete as well.
     empty = accepted.join(written.select("paper_key").distinct(), "paper_key", "left_anti")
     finished = accepted.join(done, "paper_key", "left_semi").unionByName(empty)
-    summary = stats.ingest_summary(
-        build.found, build.new, accepted, written.withColumn("embedded", F.col("embedding").isNotNull()))
-    summary.write.mode("overwrite").parquet(f"{path}/summary")
-    records.commit_state(finished, f"{path}/state")
-    return spark.read.parquet(f"{path}/summary")
+    put(finished.select("paper_key", "topic", F.current_timestamp().alias("committed_at")), "state")
+    summary = put(stats.ingest_summary(
+        build.found, build.new, accepted, written.withColumn("embedded", F.col("embedding").isNotNull())), "summary")
+    runs.commit(spark, path, run_id, 0)
+    return summary

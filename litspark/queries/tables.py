@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from litspark.operators import evaluate, stats
 from litspark.operators.keyword import top_ranked
 from litspark.operators.quantiles import positional_quantiles
+from litspark.operators.scorers import embed
+from litspark.plans import corpus as corpus_plan
 from litspark.queries import views as V
 from litspark.queries.papers import _SCORED
 from litspark.queries.papers import _with as _quality_sql
-from litspark.session import shared_dir
+from litspark.session import shared_dir, store
+from litspark.sources import runs
 from litspark.streaming import jobs
 
 
@@ -137,13 +140,45 @@ def ingest_stream(spark, sf_dir):
     for checkpoint in (mark, mark2):
         src = spark.readStream.schema(p.schema).parquet(land)
         jobs.ingest_stream(src, out, checkpoint, embedder).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/chunks").groupBy("topic").agg(
-        F.count("*").alias("chunks"), F.count_distinct("paper_key").alias("papers"))
+    return _by_topic(runs.read(spark, out, "chunks"))
+
+
+def _by_topic(chunks):
+    return chunks.groupBy("topic").agg(F.count("*").alias("chunks"), F.count_distinct("paper_key").alias("papers"))
+
+
+def _word_counts(texts):
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def ingest_two_sources(spark, sf_dir):
+    """Two folders streamed under two checkpoints into one table, the first once more under a third."""
+    even, odd, out = (_folder(spark, n) for n in ("even", "odd", "corpus"))
+    p = V.papers(spark, sf_dir).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    for part, land in ((0, even), (1, odd)):
+        p.where(F.pmod(F.col("paper_key").cast("bigint"), F.lit(2)) == part).write.parquet(land)
+    for land in (even, odd, even):
+        src = spark.readStream.schema(p.schema).parquet(land)
+        jobs.ingest_stream(src, out, _folder(spark, "mark"), _word_counts).trigger(availableNow=True).start().awaitTermination()
+    return _by_topic(runs.read(spark, out, "chunks"))
+
+
+def ingest_rerun(spark, sf_dir):
+    """A batch build that breaks off before its commit, the same again, and a third that finds nothing new."""
+    out = _folder(spark, "corpus")
+    p = store(V.papers(spark, sf_dir).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id"), "papers")
+    for commits in (False, True, True):
+        build = corpus_plan.build_corpus(p, runs.read(spark, out, "state", jobs.STATE))
+        if commits:
+            corpus_plan.ingest(build, _word_counts, out)
+        else:
+            runs.put(embed(build.chunks, _word_counts), out, "chunks", "broken", 0)
+    return _by_topic(runs.read(spark, out, "chunks"))
 
 
 QUERIES = {f.__name__: f for f in (
     latency_percentiles, latency_by_type, rate_limit_minute, rate_limit_exact, session_trend, session_metrics, latest_run,
-    candidate_ranks, audit_stream, minute_stream, ingest_stream)}
+    candidate_ranks, audit_stream, minute_stream, ingest_stream, ingest_two_sources, ingest_rerun)}
 
 _PCT = "list(value ORDER BY value)[least(CAST(floor(count(*) * {0}::DOUBLE) AS BIGINT), count(*) - 1) + 1]"
 _PCTS = ", ".join(f"{_PCT.format(q)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
@@ -185,3 +220,4 @@ ORACLE = {
         SELECT c.topic, count(*) AS chunks, count(DISTINCT doc_id) AS papers FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) GROUP BY c.topic"""),
     "audit_stream": V.sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5, false AS flagged FROM qa_v"),
 }
+ORACLE["ingest_two_sources"] = ORACLE["ingest_rerun"] = ORACLE["ingest_stream"]

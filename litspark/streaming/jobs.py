@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,49 +13,45 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from litspark import constants as K
 from litspark.operators import corpus, quality
 from litspark.operators.scorers import embed
+from litspark.sources import runs
 from litspark.sources.records import audit_rows
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table that may not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+STATE = "paper_key string, topic string"
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's own id, which its checkpoint keeps across restarts."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
 def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Callable[[list], list]):
     """Stream of parsed papers into ``papers``, ``chunks``, ``rejected``, ``progress`` and ``state``.
 
-    Each micro-batch writes its own ``batch_id`` partition by dynamic overwrite,
-    so a replayed batch replaces itself. State is written last; a batch skips
-    only ids committed by *other* batches, so a crash between the writes repeats
-    the batch and nothing is lost or doubled.
+    Each micro-batch is a step of :mod:`litspark.sources.runs`: it skips what any
+    other committed step holds, writes its own folders and commits last. A
+    repeated batch replaces itself; a new checkpoint is a new run and leaves
+    earlier ones alone. Read the tables with ``runs.read``.
     """
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        run_id = _run_id(spark, checkpoint)
 
-        def put(df: DataFrame, name: str) -> None:
-            df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+        def put(df: DataFrame, name: str) -> DataFrame:
+            return runs.put(df, path, name, run_id, batch_id)
 
-        state = _table(spark, f"{path}/state", "paper_key string, topic string, batch_id int").where(
-            F.col("batch_id") != batch_id)
+        state = runs.read(spark, path, "state", STATE).where((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
         # Scored once and read back: gate, chunks, log and state all use this table.
-        put(quality.score_papers(corpus.skip_known(corpus.first_topic_wins(batch), state)), "papers")
-        scored = spark.read.parquet(f"{path}/papers").where(F.col("batch_id") == batch_id).drop("batch_id")
+        scored = put(quality.score_papers(corpus.skip_known(corpus.first_topic_wins(batch), state)), "papers")
         ready = corpus.attach_metadata(quality.passed(scored), spark.createDataFrame(
             [], "pmid string, study_design string, sample_size int, primary_outcome string, "
                 "intervention string, comparator string"))
-        put(embed(corpus.with_embedding_text(corpus.chunk_papers(ready)), embedder), "chunks")
-        written = spark.read.parquet(f"{path}/chunks").where(F.col("batch_id") == batch_id)
+        written = put(embed(corpus.with_embedding_text(corpus.chunk_papers(ready)), embedder), "chunks")
         put(quality.rejections(scored), "rejected")
         failed = written.where(F.col("embedding").isNull()).select("paper_key").distinct()
-        done = ready.select("paper_key", "topic").join(failed, "paper_key", "left_anti")
+        done = put(ready.select("paper_key", "topic").join(failed, "paper_key", "left_anti"), "state")
         put(batch_progress(done, written), "progress")
-        put(done, "state")
+        runs.commit(spark, path, run_id, batch_id)
 
     return papers.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from litspark.operators import evaluate, scorers
@@ -12,7 +13,8 @@ from litspark.plans.regulatory import merge_withdrawals
 from litspark.plans.report import corpus_report, write_corpus_report
 from litspark.plans.retrieval import META, retrieve
 from litspark.queries import views as V
-from litspark.sources import records
+from litspark.session import store
+from litspark.sources import records, runs
 
 SF = "/root/testdata/sf0.001"
 STATE = "paper_key string, topic string, committed_at timestamp"
@@ -33,7 +35,7 @@ def test_corpus_build_commits_after_the_data(spark, tmp_path):
     build = build_plan.build_corpus(twice, none)
     path = str(tmp_path / "c")
     summary = {r["topic"]: r for r in build_plan.ingest(build, _embed, path).collect()}
-    chunks, state = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/state")
+    chunks, state = runs.read(spark, path, "chunks"), runs.read(spark, path, "state")
     assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
     assert state.count() == summary[None]["papers_fetched"]
     assert summary[None]["papers_skipped"] == twice.count() - papers.count()
@@ -41,11 +43,34 @@ def test_corpus_build_commits_after_the_data(spark, tmp_path):
     assert state.join(papers, ["paper_key", "topic"], "left_anti").count() == 0
     again = build_plan.build_corpus(twice, state)
     left = again.new.count()
-    assert left == spark.read.parquet(f"{path}/rejected").count() == papers.count() - state.count()
+    assert left == runs.read(spark, path, "rejected").count() == papers.count() - state.count()
     assert again.chunks.count() == 0
     assert {r["would_fetch"] for r in again.would_fetch().collect()} and again.rejected.count() == left
 
 
+def test_a_break_at_any_write_leaves_nothing_and_the_rerun_doubles_nothing(spark, tmp_path, monkeypatch):
+    papers, real = store(_papers(spark).limit(12), "papers"), runs.put
+    path = str(tmp_path / "c")
+    tables = ["accepted", "staged", "chunks", "rejected", "state", "summary", "commits"]
+    for at in tables:
+        def broken(df, where, name, run_id, batch_id, at=at):
+            if name == at:
+                raise RuntimeError(at)
+            return real(df, where, name, run_id, batch_id)
+
+        monkeypatch.setattr(runs, "put", broken)
+        with pytest.raises(RuntimeError, match=at):
+            build_plan.ingest(build_plan.build_corpus(papers, runs.read(spark, path, "state", "paper_key string, topic string")), _embed, path)
+        monkeypatch.setattr(runs, "put", real)
+        assert runs.read(spark, path, "state", "paper_key string, topic string").count() == 0
+    for _ in range(2):
+        build_plan.ingest(build_plan.build_corpus(papers, runs.read(spark, path, "state", "paper_key string, topic string")), _embed, path)
+        chunks = runs.read(spark, path, "chunks")
+        assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
+    rejected = runs.read(spark, path, "rejected")
+    assert rejected.where("batch_id = 0").groupBy("run_id").count().count() <= 2
+
+
 def test_failed_batches_stay_uncommitted(spark, tmp_path):
     def flaky(texts):
         if any("bad" in t for t in texts):
@@ -66,8 +91,8 @@ def test_failed_batches_stay_uncommitted(spark, tmp_path):
         build_plan.ingest(build, flaky, str(tmp_path / "c"))
     finally:
         build_plan.embed = saved
-    assert {r["paper_key"] for r in spark.read.parquet(str(tmp_path / "c/state")).collect()} == {"p0", "p2"}
-    assert {r["paper_key"] for r in spark.read.parquet(str(tmp_path / "c/chunks")).collect()} == {"p0", "p2"}
+    assert {r["paper_key"] for r in runs.read(spark, str(tmp_path / "c"), "state").collect()} == {"p0", "p2"}
+    assert {r["paper_key"] for r in runs.read(spark, str(tmp_path / "c"), "chunks").collect()} == {"p0", "p2"}
 
 
 def test_retrieval_options(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from litspark.queries import tables as T
 from litspark.queries import views as V
+from litspark.sources import runs
 from litspark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     def run(mark):
         src = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(land)
         jobs.ingest_stream(src, out, str(tmp_path / mark), _embed).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/state")
+        return runs.read(spark, out, "chunks"), runs.read(spark, out, "state")
 
     chunks, state = run("m")
     n, s = chunks.count(), state.count()
@@ -34,7 +35,7 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     total = chunks.count()
     assert chunks.select("chunk_id").distinct().count() == total
     assert chunks.join(state.select("paper_key"), "paper_key", "left_anti").count() == 0
-    totals = {r["topic"]: r for r in jobs.progress_totals(spark.read.parquet(f"{out}/progress")).collect()}
+    totals = {r["topic"]: r for r in jobs.progress_totals(runs.read(spark, out, "progress")).collect()}
     assert totals[None]["chunks_produced"] == total and totals[None]["papers_fetched"] == state.count()
 
 
@@ -46,10 +47,33 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     for mark in ("a", "b"):   # a fresh checkpoint replays batch 0
         src = spark.readStream.schema(p.schema).parquet(land)
         jobs.ingest_stream(src, out, str(tmp_path / mark), _embed).trigger(availableNow=True).start().awaitTermination()
-    chunks = spark.read.parquet(f"{out}/chunks")
+    chunks = runs.read(spark, out, "chunks")
     assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
 
 
+def test_a_second_source_keeps_the_first(spark, tmp_path):
+    p = V.papers(spark, SF).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    out, seen = str(tmp_path / "out"), []
+    for i in (0, 1, 0):
+        land = str(tmp_path / f"in{i}")
+        p.where(F.col("paper_key").cast("int") % 2 == i).write.mode("overwrite").parquet(land)
+        src = spark.readStream.schema(p.schema).parquet(land)
+        jobs.ingest_stream(src, out, str(tmp_path / f"m{len(seen)}"), _embed).trigger(availableNow=True).start().awaitTermination()
+        seen.append({r[0] for r in runs.read(spark, out, "state").select("paper_key").collect()})
+    assert seen[0] < seen[1] == seen[2]
+    chunks = runs.read(spark, out, "chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
+
+
+def test_a_first_batch_may_be_rejected_whole(spark, tmp_path):
+    p = V.papers(spark, SF).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    land, out = str(tmp_path / "in"), str(tmp_path / "out")
+    p.limit(3).withColumn("sections", F.array().cast(p.schema["sections"].dataType)).withColumn("abstract", F.lit("")).write.parquet(land)
+    src = spark.readStream.schema(p.schema).parquet(land)
+    jobs.ingest_stream(src, out, str(tmp_path / "m"), _embed).trigger(availableNow=True).start().awaitTermination()
+    assert runs.read(spark, out, "state").count() == 0 and runs.read(spark, out, "rejected").count() == 3
+
+
 def _limited(rows):
     state, out = {}, []
     for key, ts, limit in sorted(rows, key=lambda r: (r[0], r[1])):
