@@ -47,7 +47,7 @@ def _tokenised(chunks: DataFrame, carry: list[str]) -> DataFrame:
     """Chunks hashed by id, then tokenised: counting terms per chunk and summing
     scores per (query, chunk) both happen inside that partitioning."""
     placed = chunks.select("chunk_id", "text", *carry).repartition("chunk_id")
-    return placed.select("chunk_id", *carry, tokens(F.col("text")).alias("tokens")).withColumn(
+    return placed.select("chunk_id", *carry, tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn(
         "dl", F.size("tokens"))
 
 
@@ -75,7 +75,7 @@ def _count_terms(exploded: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _corpus_stats(chunks: DataFrame) -> DataFrame:
-    lengths = chunks.select(F.size(tokens(F.col("text"))).alias("dl"))
+    lengths = chunks.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl"))
     return lengths.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 

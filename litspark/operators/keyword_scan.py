@@ -39,7 +39,7 @@ def vocabulary_counts(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     The empty term, which no text contains, stands for the corpus: its ``df`` is
     the number of chunks and its ``total`` the number of tokens.
     """
-    toks = chunks.select(tokens(F.col("text")).alias("tokens"))
+    toks = chunks.select(tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     marked = toks.select(F.size("tokens").alias("dl"), F.explode_outer(
         F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
     wanted = vocabulary.select("term").unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string"))
@@ -67,7 +67,7 @@ def scan_topk(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K_RETRIEVAL,
         return top_ranked(spark.createDataFrame([], OUT), k)
     n_chunks, avgdl = rows[0]["df"], rows[0]["total"] / rows[0]["df"]
     shared = spark.sparkContext.broadcast(_pack(rows[1:], n_chunks))
-    picked = [F.col("chunk_id").cast("string").alias("chunk_id"), tokens(F.col("text")).alias("tokens")]
+    picked = [F.col("chunk_id").cast("string").alias("chunk_id"), tokens(F.coalesce("text", F.lit(""))).alias("tokens")]
     if conditions:
         picked.append(F.array(*[F.coalesce(c, F.lit(False)) for c in conditions]).alias("allowed"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litspark.sizing import join_small
+
 
 def positional_quantiles(df: DataFrame, value: str, fractions: dict[str, float],
                          by: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -34,9 +36,9 @@ def positional_quantiles(df: DataFrame, value: str, fractions: dict[str, float],
         ) for i, (name, q) in enumerate(fractions.items())])
     marks = sketch.select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
     bounds = marks.groupBy(*keys).agg(F.collect_list(F.struct("name", "k", "lo", "hi")).alias("_w"))
-    # Every group has one small row of bounds; Spark broadcasts it or, with many
-    # groups, hashes both sides.
-    placed = src.join(bounds, keys)
+    # Every group has one small row of bounds: broadcast when the groups are few, else
+    # met by key and salt, so that no group's rows gather in one task.
+    placed = join_small(src, bounds, keys, spread=F.col("_v")) if by else src.withColumn("_w", bounds.select("_w").scalar())
     counted = (
         placed.select(*keys, "_v", F.explode(F.filter("_w", lambda w: F.col("_v") <= w["hi"])).alias("w"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("w.lo"), F.col("_v")))
@@ -51,7 +53,8 @@ def positional_quantiles(df: DataFrame, value: str, fractions: dict[str, float],
     )
     named = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in fractions])
-    result = sketch.select(*keys, "n", "mean").join(named, keys)
-    return result if by else result.drop("_all")
+    if by:
+        return join_small(sketch.select(*keys, "n", "mean"), named, keys)
+    return sketch.select("n", "mean", *[named.select(name).scalar().alias(name) for name in fractions])
 
 

@@ -17,6 +17,7 @@ from litspark import constants as K
 from litspark.functions.binding import let
 from litspark.functions.records import localised_warning
 from litspark.functions.text import rstrip
+from litspark.session import store
 from litspark.sizing import LITERAL_ROWS, join_small
 
 GRAM = 4
@@ -87,18 +88,20 @@ def literal_table(entries: DataFrame, max_rows: int = LITERAL_ROWS) -> Column |
 
 
 def match_entries(
-    rows: DataFrame, key: str, name_text: Column, gate_text: Column, entries: DataFrame,
+    rows: DataFrame, name_text: Column, gate_text: Column, entries: DataFrame,
     hit=_withdrawal_hit, out: str = "matches", literal_rows: int = LITERAL_ROWS,
 ) -> DataFrame:
     """Add ``out``: the matching entries of every row, in entry order, with a message.
 
-    ``key`` identifies a row and is only used when the reference table is large.
+    Every row is matched by itself, whatever ids it has; a large reference table
+    is joined on numbers given to the stored rows.
     """
     table = literal_table(entries, literal_rows)
     if table is not None:
         texts = F.struct(F.lower(name_text).alias("n"), F.lower(gate_text).alias("g"))
         return rows.withColumn(out, let(texts, lambda t: F.filter(table, lambda e: hit(e, t["n"], t["g"]))))
-    texts = rows.select(key, F.lower(name_text).alias("_n"), F.lower(gate_text).alias("_g"))
+    rows = store(rows.withColumns({"_row": F.monotonically_increasing_id(), "_n": F.lower(name_text), "_g": F.lower(gate_text)}), "safety-rows")
+    texts = rows.select("_row", "_n", "_g")
     named = entries.where("entry.message <> ''").select("entry", F.explode(
         F.filter(F.coalesce("entry.names", F.array().cast("array<string>")), lambda n: n != "")).alias("_name"))
     named = named.select("entry", F.lower("_name").alias("_name")).withColumn(
@@ -115,21 +118,21 @@ def match_entries(
         return F.array_distinct(F.concat(*map(of_size, sizes)))
 
     grams = let(F.split("_n", ""), gram_list)
-    pairs = join_small(texts.withColumn("_gram", F.explode(grams)), named, ["_gram"], spread=F.col(key))
+    pairs = join_small(texts.withColumn("_gram", F.explode(grams)), named, ["_gram"], spread=F.col("_row"))
     found = (
         pairs.where(F.col("_n").contains(F.col("_name")) & hit(F.col("entry"), F.col("_n"), F.col("_g")))
-        .select(key, "entry").distinct()
-        .groupBy(key).agg(F.array_sort(F.collect_list("entry")).alias(out))
+        .select("_row", "entry").distinct()
+        .groupBy("_row").agg(F.array_sort(F.collect_list("entry")).alias(out))
     )
     # A row matches at most every entry once, so a group is bounded by the table.
     kind = found.schema[out].dataType
-    return rows.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast(kind)))
+    return rows.join(found, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast(kind))).drop("_row", "_n", "_g")
 
 
 def append_warnings(answers: DataFrame, withdrawals: DataFrame, language: str = "en",
-                    key: str = "query_id", literal_rows: int = LITERAL_ROWS) -> DataFrame:
+                    literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Append a note per withdrawn drug that an answer mentions in its withdrawn use."""
-    matched = match_entries(answers, key, F.col("answer"), F.col("answer"),
+    matched = match_entries(answers, F.col("answer"), F.col("answer"),
                             withdrawal_entries(withdrawals, language), literal_rows=literal_rows)
     notes = F.transform("matches", lambda m: F.concat(F.lit(K.REGULATORY_NOTE), m["message"]))
     noted = F.concat(rstrip(F.col("answer")), F.lit("\n\n"), F.array_join(notes, "\n\n"))
@@ -140,7 +143,7 @@ def append_warnings(answers: DataFrame, withdrawals: DataFrame, language: str =
 
 def treatment_warnings(
     cards: DataFrame, withdrawals: DataFrame, biomarkers: DataFrame, language: str = "fr",
-    key: str = "patient_id", literal_rows: int = LITERAL_ROWS,
+    literal_rows: int = LITERAL_ROWS,
 ) -> DataFrame:
     """Attach regulatory, then biomarker warnings to every drug of every card.
 
@@ -171,15 +174,16 @@ def treatment_warnings(
 
         return cards.withColumn("treatment", let(
             F.lower(context), lambda text: F.transform("treatment", lambda t: one(t, text))))
-    drugs = cards.select(key, context.alias("_context"), F.posexplode("treatment").alias("_pos", "_t")).withColumn(
-        "_drug_key", F.concat_ws("|", F.col(key).cast("string"), F.col("_pos")))
+    cards = store(cards.withColumn("_card", F.monotonically_increasing_id()), "safety-cards")
+    drugs = cards.select("_card", context.alias("_context"), F.posexplode("treatment").alias("_pos", "_t"))
     for entries, hit, out in ((regulatory, _withdrawal_hit, "_w"), (eligibility, _biomarker_hit, "_b")):
-        drugs = match_entries(drugs, "_drug_key", F.col("_t.drug"), F.col("_context"), entries, hit, out, literal_rows)
+        drugs = match_entries(drugs, F.col("_t.drug"), F.col("_context"), entries, hit, out, literal_rows)
     found = F.concat(warnings(F.col("_w"), "regulatory", F.col("_t.drug")),
                      warnings(F.col("_b"), "biomarker", F.col("_t.drug")))
-    regrouped = drugs.groupBy(key).agg(F.transform(
+    regrouped = drugs.groupBy("_card").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_pos", treated(F.col("_t"), found).alias("t")))),
-        lambda x: x["t"]).alias("treatment"))
-    none = F.array().cast(regrouped.schema["treatment"].dataType)
-    return cards.drop("treatment").join(regrouped, key, "left").withColumn(
-        "treatment", F.coalesce("treatment", none))
+        lambda x: x["t"]).alias("_treated"))
+    none = F.array().cast(regrouped.schema["_treated"].dataType)
+    # A null treatment stays null, an empty one empty.
+    return cards.join(regrouped, "_card", "left").withColumn("treatment", F.coalesce(
+        "_treated", F.when(F.col("treatment").isNotNull(), none))).drop("_card", "_treated")

@@ -104,7 +104,7 @@ def warning_append_fr(spark, sf_dir):
 
 def _regulatory(spark, sf_dir, literal_rows):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = safety.match_entries(docs, "doc_id", F.col("text"), F.col("text"), safety.withdrawal_entries(withdrawals(spark)),
+    m = safety.match_entries(docs, F.col("text"), F.col("text"), safety.withdrawal_entries(withdrawals(spark)),
                              literal_rows=literal_rows)
     return m.select("doc_id", F.explode("matches").alias("m")).groupBy("m.drug", "m.jurisdiction").agg(F.count("*").alias("documents"))
 

@@ -147,6 +147,17 @@ def test_safety_joins(spark, literal_rows):
                    "p2": [("olap", [])], "p3": []}
 
 
+def test_safety_plans_agree_on_repeated_and_null_keys(spark):
+    w, b = _tables(spark)
+    a = spark.createDataFrame([("1", "TECEN for Bladder"), ("1", "none"), (None, "rx"), (None, "rx"), ("", None)], "query_id string, answer string")
+    t = "patient_id string, cancer_type string, clinical_history string, treatment array<struct<drug:string,intent:string,level:string>>"
+    cards = spark.createDataFrame([("p", "prostate", "h", [("olap", "i", "A")]), ("p", "prostate", "h", [("rx", "i", "A"), ("olap", "i", "B")]),
+                                   (None, "prostate", None, [("olap", None, None)]), (None, None, None, None), ("", None, "x", [])], t)
+    plans = [(sorted(map(str, safety.append_warnings(a, w, literal_rows=n).collect())),
+              sorted(map(str, safety.treatment_warnings(cards, w, b, "en", literal_rows=n).collect()))) for n in (100, 0)]
+    assert plans[0] == plans[1] and len(plans[0][0]) == len(plans[0][1]) == 5
+
+
 def test_history_modes(spark):
     rows = [("c", i, f"m{i}", "user" if i % 2 else "assistant", f"t{i}") for i in range(1, 16)]
     df = spark.createDataFrame(rows, "conversation_id string, created_at int, id string, role string, content string")

@@ -188,3 +188,26 @@ def test_confidence_cases(spark):
     assert r["reason"] == "single_paper_penalty; spread_penalty; topic_mismatch_penalty"
     r = run([])
     assert (r["score"], r["reason"], r["evidence_quality"], r["sufficient"]) == (0.0, "no_chunks", "insufficient", False)
+
+
+def test_keyword_plans_agree_on_missing_texts(spark):
+    """A missing text is an empty one in both plans."""
+    from litspark.operators.keyword import build_keyword_index, keyword_topk
+    from litspark.operators.keyword_scan import scan_topk
+
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(
+        ["kidney stone", None, "kidney", "", None, "bladder kidney", "liver", None, "liver", "stone stone"])], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "kidney stone"), ("q2", "liver liver"), ("q3", None), ("q4", "")], "query_id string, question string")
+    scan = sorted(map(tuple, scan_topk(asked, chunks, 5).select("query_id", "chunk_id", "score").collect()))
+    stored = sorted(map(tuple, keyword_topk(build_keyword_index(chunks), asked, 5).select("query_id", "chunk_id", "score").collect()))
+    assert scan == stored and len(scan) > 4
+
+
+def test_quantiles_have_no_cartesian_product(spark):
+    from litspark.operators.quantiles import positional_quantiles
+
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as v")
+    for by in (None, ["g"]):
+        out = positional_quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, by)
+        assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == (3 if by else 1)
