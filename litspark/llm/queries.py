@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from litspark.llm import bit_sliced, chat_format, mixing, packing, quality_rules, set_join, sharding, substrings, toxicity, url_filter
 
-QUERIES, ORACLE = {}, {}
+QUERIES, ORACLE = {"pipeline": corpus_pipeline.run}, {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def query(fn):
