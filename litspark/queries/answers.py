@@ -121,14 +121,14 @@ def regulatory_join_grams(spark, sf_dir):
 
 def _cards(spark, sf_dir):
     d = F.col("doc_id")
-    p = V.papers(spark, sf_dir)
+    p = V.papers(spark, sf_dir).join(V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
 
     def drug(k: int):
         return F.struct(V.pick(DRUGS, d + k).alias("drug"),
                         F.when((d + k) % 3 != 0, "Curatif").alias("intent"), F.when((d + k) % 2 == 0, "A").alias("level"))
 
     return p.select(
-        F.col("paper_key").alias("patient_id"), F.col("topic").alias("cancer_type"), F.col("abstract").alias("clinical_history"),
+        F.col("paper_key").alias("patient_id"), F.col("topic").alias("cancer_type"), F.col("whole").alias("clinical_history"),
         F.when(d % 4 != 0, "T2 [Doc 1]").otherwise("").alias("stage"), F.lit("Guide [Doc 2]").alias("guideline"),
         F.lit(None).cast("string").alias("comorbidities_impact"), F.lit(None).cast("string").alias("confidence"),
         F.when(d % 2 == 0, "High").alias("treatment_confidence"), F.array(drug(0), drug(1)).alias("treatment"),
@@ -139,9 +139,10 @@ def _cards(spark, sf_dir):
 
 def _card_chunks(spark, sf_dir):
     """Two chunks for the card of every paper that states its sample size; the others have none."""
-    p = V.papers(spark, sf_dir).where("sample_size is not null")
+    p = V.papers(spark, sf_dir).where("sample_size is not null").join(
+        V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
     return p.select(F.col("paper_key").alias("patient_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
-                    F.col("paper_key").alias("chunk_id"), F.col("abstract").alias("text"), "title", "authors", "journal",
+                    F.col("paper_key").alias("chunk_id"), F.col("whole").alias("text"), "title", "authors", "journal",
                     "year", "study_design", "sample_size", F.lit("abstract").alias("section"), "pmid")
 
 
@@ -406,10 +407,10 @@ judged_v AS (SELECT *, (faithfulness + answer_relevance + context_precision + co
 _AVG = ", ".join(f"round(avg({m}), 10) AS {m}" for m in K.METRICS)
 _OVER = "round((" + " + ".join(f"avg({m})" for m in K.CORE_METRICS) + ") / 5, 10) AS overall"
 _CARD = f"""
-card_v AS (SELECT doc_id, paper_key, topic, abstract, lower(topic || ' ' || abstract) AS ctx, sample_size IS NOT NULL AS grounded, k AS pos,
+card_v AS (SELECT doc_id, paper_key, topic, whole, lower(topic || ' ' || whole) AS ctx, sample_size IS NOT NULL AS grounded, k AS pos,
              {V.sql_pick(DRUGS, 'doc_id + k')} AS drug, CASE WHEN (doc_id + k) % 3 <> 0 THEN 'Curatif' END AS intent,
              CASE WHEN (doc_id + k) % 2 = 0 THEN 'A' END AS level, title, authors, journal, year, study_design, sample_size
-           FROM papers_v, (VALUES (0), (1)) t(k))"""
+           FROM papers_v JOIN (SELECT doc_id, text AS whole FROM documents) USING (doc_id), (VALUES (0), (1)) t(k))"""
 
 
 def _warn(drug: str, lang: str) -> str:
@@ -497,9 +498,9 @@ ORACLE = {
                array_to_string(list_transform(levels, lambda l: CAST(round(l / 7, 4) AS VARCHAR)), ',') AS scores
         FROM (SELECT *, {_bad('len(texts)')} AS bad FROM packed_v)"""),
     "card_audit": sql("papers_v", """
-        SELECT 'c' || paper_key AS query_id, md5('[treatment-card] patient=' || paper_key || ': ' || left(abstract, 500)) AS question_md5,
+        SELECT 'c' || paper_key AS query_id, md5('[treatment-card] patient=' || paper_key || ': ' || left(whole, 500)) AS question_md5,
                CASE WHEN doc_id % 4 <> 0 THEN 'T2' ELSE '' END AS stage, CASE WHEN sample_size IS NOT NULL THEN '2' ELSE '0' END AS chunks_used,
-               sample_size IS NULL AS flagged FROM papers_v"""),
+               sample_size IS NULL AS flagged FROM papers_v JOIN (SELECT doc_id, text AS whole FROM documents) USING (doc_id)"""),
     "fenced_json": """
         SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN event_id % 4 <> 0 THEN props ->> '$.k' END AS k FROM events""",
     "payload_json": """

@@ -230,14 +230,14 @@ def weak_suppressed(spark, sf_dir):
 # --- context and sources -----------------------------------------------------------
 
 def _ranked_docs(spark, sf_dir):
-    """Papers of one journal and topic in key order as the ranked chunks of one prompt, at most 12."""
+    """Papers of one journal and topic in key order as the ranked chunks of one prompt, whole texts."""
     from pyspark.sql import Window
 
     p = V.papers(spark, sf_dir)
     order = Window.partitionBy("query_id").orderBy("doc_id")
     return p.withColumn("query_id", F.concat_ws("/", "journal", "topic")).withColumn(
-        "rank", F.row_number().over(order)).where("rank <= 12").select(
-        "query_id", "rank", F.col("paper_key").alias("chunk_id"), F.col("abstract").alias("text"), "title", "year",
+        "rank", F.row_number().over(order)).join(V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id").select(
+        "query_id", "rank", F.col("paper_key").alias("chunk_id"), F.col("whole").alias("text"), "title", "year",
         F.lit("abstract").alias("section"), "study_design", "sample_size", "authors", "journal", "pmid")
 
 
@@ -310,12 +310,13 @@ def _with(base: str, extra: str, body: str) -> str:
 
 
 _DOCS = """
-docs_v AS (SELECT * FROM (SELECT *, journal || '/' || topic AS query_id, row_number() OVER (PARTITION BY journal, topic ORDER BY doc_id) AS rank FROM papers_v) WHERE rank <= 12)"""
+docs_v AS (SELECT * FROM (SELECT *, journal || '/' || topic AS query_id, row_number() OVER (PARTITION BY journal, topic ORDER BY doc_id) AS rank FROM papers_v)
+  JOIN (SELECT doc_id, text AS whole FROM documents) USING (doc_id))"""
 
 
 def _budget(header: str, limit: int) -> str:
     return _DOCS + f""",
-block_v AS (SELECT query_id, rank, {header} || chr(10) || abstract AS b FROM docs_v),
+block_v AS (SELECT query_id, rank, {header} || chr(10) || whole AS b FROM docs_v),
 run_v AS (SELECT *, sum(length(b) + 2) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM block_v),
 cut_v AS (SELECT *, min(CASE WHEN t > {limit} THEN rank END) OVER (PARTITION BY query_id) AS f, {limit} - 2 - (t - length(b) - 2) AS room FROM run_v),
 piece_v AS (SELECT query_id, rank, CASE WHEN t <= {limit} THEN b WHEN room > 100 THEN left(b, room::BIGINT) || '…' END AS p
@@ -392,7 +393,7 @@ ORACLE = {
     "source_details": _with("papers_v", _DOCS, """
         SELECT query_id, paper_key AS chunk_id, coalesce(nullif(title, ''), 'Unknown') AS title,
                array_to_string(authors[1:3], ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors, journal, year, study_design,
-               sample_size, 'abstract' AS section, left(abstract, 150) AS key_finding, pmid FROM docs_v"""),
+               sample_size, 'abstract' AS section, left(whole, 150) AS key_finding, pmid FROM docs_v"""),
 }
 ORACLE["keyword_topk_index"] = ORACLE["keyword_topk"]
 ORACLE["keyword_topk_filtered_index"] = ORACLE["keyword_topk_filtered"]
