@@ -24,7 +24,7 @@ def first_topic_wins(papers: DataFrame, order: list[str] | None = None, key: str
     before the shuffle.
     """
     place = F.array_position(F.array(*map(F.lit, order or K.TOPICS)), F.col("topic"))
-    rank = F.when(place == 0, F.lit(1_000_000)).otherwise(place)
+    rank = F.when(place == 0, F.lit((1 << 31) - 1)).otherwise(place)
     row = F.struct(*papers.columns)
     return papers.groupBy(key).agg(F.min_by(row, F.struct(rank, F.col("topic"))).alias("r")).select("r.*")
 

@@ -79,10 +79,14 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
         fresh.groupBy(key).agg(F.min(row).alias("r")).select("r.*"), allowMissingColumns=True)
 
 
-def update_columns(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Full-outer upsert in which a known key only changes the named ``columns``."""
+def update_columns(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Full-outer upsert in which a known key only changes the named ``columns``.
+
+    Of repeated incoming keys the last by ``order`` counts, by the whole row if no order is given.
+    """
     others = [c for c in existing.columns if c != key]
-    right = incoming.select(key, *[F.col(c).alias(f"_new_{c}") for c in others], F.lit(True).alias("_hit"))
+    last = F.max_by(F.struct(*incoming.columns), F.struct(*([order] if order else []), *incoming.columns))
+    right = incoming.groupBy(F.col(key).alias("_k")).agg(last.alias("_r")).select("_r.*").select(key, *[F.col(c).alias(f"_new_{c}") for c in others], F.lit(True).alias("_hit"))
     left = existing.withColumn("_had", F.lit(True))
 
     def merged(c: str):

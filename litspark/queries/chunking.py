@@ -117,7 +117,7 @@ def _xml(spark, sf_dir):
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     d = F.col("doc_id")
-    body = F.array_join(F.transform(F.slice("l", 2, 1_000_000), lambda x, i: F.concat(
+    body = F.array_join(F.transform(F.slice("l", 2, F.size("l")), lambda x, i: F.concat(
         F.lit("<sec><title>"), V.pick(V.HEADINGS, d * 7 + i + 1), F.lit("</title><p>"), esc(x), F.lit(" [3]</p></sec>"))), "")
     return V.table(spark, sf_dir, "documents").withColumn("l", V.lines(F.col("text"))).select(
         d.cast("string").alias("doc_key"),

@@ -113,7 +113,7 @@ def append_golden(golden: DataFrame, new: DataFrame, order: str = "seq", width:
     of the position and shifted by the sizes of the ranges before, so no single
     task numbers everything.
     """
-    number = F.when(F.col("id").rlike(r"^G\p{Nd}+$"), F.substring("id", 2, 20).try_cast("bigint"))
+    number = F.when(F.col("id").rlike(r"^G\p{Nd}+$"), F.substring("id", F.lit(2), F.length("id")).try_cast("bigint"))
     top = golden.agg(F.coalesce(F.max(number), F.lit(0)).alias("top"))
     named = new.where(F.coalesce(F.col("id"), F.lit("")) != "")
     bare = new.where(F.coalesce(F.col("id"), F.lit("")) == "").withColumn("_b", F.floor(F.col(order) / bucket))

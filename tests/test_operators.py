@@ -128,6 +128,13 @@ def _tables(spark):
     return w, b
 
 
+def test_repeated_incoming_keys_apply_in_turn(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, w string")
+    new = spark.createDataFrame([("a", 9, "p", 1), ("a", 5, "q", 2), ("c", 3, "r", 1), ("c", 2, "s", 2)], "k string, v int, w string, seq int")
+    got = merge.update_columns(old, new, "k", ["v"], order="seq").collect()
+    assert sorted(map(tuple, got)) == [("a", 5, "x"), ("b", 1, "y"), ("c", 2, "s")]
+
+
 @pytest.mark.parametrize("literal_rows", [100, 0])
 def test_safety_joins(spark, literal_rows):
     w, b = _tables(spark)
