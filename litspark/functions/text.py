@@ -60,9 +60,8 @@ def section_label(heading: Column) -> Column:
     """Canonical section label of a heading; rules apply in list order."""
     def chain(low: Column) -> Column:
         cases = F.when(low.isNull(), "other")
-        for label, keywords in K.SECTION_RULES:
-            for keyword in keywords:
-                cases = cases.when(low.contains(keyword), label)
+        for keyword, label in K.SECTION_RULES:
+            cases = cases.when(low.contains(keyword), label)
         return cases.otherwise("other")
 
     return let(F.lower(heading), chain)

@@ -173,8 +173,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- SQL twins -------------------------------------------------------------------
 
 def _label_case(col: str) -> str:
-    rules = " ".join(f"WHEN contains({col}, '{kw}') THEN '{label}'"
-                     for label, kws in K.SECTION_RULES for kw in kws)
+    rules = " ".join(f"WHEN contains({col}, '{kw}') THEN '{label}'" for kw, label in K.SECTION_RULES)
     return f"CASE {rules} ELSE 'other' END"
 
 
