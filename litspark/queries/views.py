@@ -158,11 +158,11 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=16)
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked chunks per question: the first five assistant turns of its conversation."""
+    """Ranked chunks per question: the assistant turns of its conversation."""
     c = F.col("conv_id")
     order = Window.partitionBy("conv_id").orderBy("turn")
     top = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn(
-        "rank", F.row_number().over(order)).where("rank <= 5").select(
+        "rank", F.row_number().over(order)).select(
         "conv_id", "rank", "text", ((c + F.col("rank")) % 6 + 1).cast("int").alias("evidence_level"),
         F.concat(F.lit("P"), (c + F.floor(F.col("rank") / 3)).cast("string")).alias("pmcid"),
         F.array(pick(K.TOPICS, c + F.col("rank") % 2)).alias("cancer_type"),
@@ -340,7 +340,7 @@ CTES = {
                  {sql_pick(K.TOPICS, 'conv_id + rank % 2')} AS topic,
                  1.0::DOUBLE - ((conv_id * 7 + rank * 13) % 97)::DOUBLE / 100.0::DOUBLE AS relevance_score
           FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations WHERE role = 'assistant')
-          WHERE rank <= 5) e USING (conv_id)"""),
+          ) e USING (conv_id)"""),
     "packed_v": (("qa_v", "ev_v"), """
         SELECT q.*, coalesce(e.texts, []) AS texts, coalesce(e.levels, []) AS levels
         FROM qa_v q LEFT JOIN (SELECT query_id, list(text ORDER BY rank) AS texts, list(evidence_level ORDER BY rank) AS levels
