@@ -6,12 +6,13 @@ n - ceil(0.8 n) + 1 shingles. Two relations between sets keep the index lists
 short and the work off pairs that need none:
 
 * Highly similar sets. Sets that agree in one of three minimum hashes are compared
-  with one of their group, and those that link to it follow it from then on: a
+  with one of their group, and those very close to it follow it from then on: a
   list holds one entry for all of them. Their other answers derive from their
   centre's by the triangle inequality of the Jaccard distance: a centre farther
   away than 0.2 and both radii rules out every member pair, a linked centre
   settles them all, and only in between are members compared, those the
-  inequality allows.
+  inequality allows. Candidates meet in blocks, and what earlier comparisons of a
+  block have connected is not compared again.
 * Position. List entries lie in order of set size, in blocks; a block whose sizes,
   or whose lengths before and behind the shared position, can't reach the overlap
   is skipped as a whole.
@@ -42,13 +43,17 @@ from litspark.session import store
 #: Two sets link when their intersection holds at least so many hundredths of their union.
 LINK = 80
 WORDS = 5
-CELL_BITS, CHUNK_BITS = 18, 14
+CELL_BITS, CHUNK_BITS = 20, 14
 #: Index entries per hash bucket, about; entries combined in a task; list blocks; members per salt of a centre.
 BUCKET_ENTRIES, COMBINED, BLOCK, SALT_MEMBERS = 2_000_000, 400_000, 64, 2000
 BROADCAST_ROWS = 200_000
+#: Sets this close to the head of their group follow it; sets of a comparison block.
+FOLLOW_WITHIN, BLOCK_SETS = 0.05, 256
 _SEEDS = tuple(np.uint64(x) for x in (0x51ED270B3F2A9A57, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _SIGN = np.uint64(0x8EBC6AF09C88C6E3)
 ENTRY = np.dtype([("token", "<u4"), ("centre", "<i8"), ("n", "<u4"), ("at", "<u4"), ("many", "u1")])
+PAIR = np.dtype([("y", "<i8"), ("x", "<i8"), ("c", "<u4"), ("nx", "<u4"), ("ny", "<u4"), ("many", "u1")])
+SENT = np.dtype([("x", "<i8"), ("label", "<i8"), ("sub", "<i4")])
 NONE = -(1 << 63)
 
 
@@ -341,28 +346,179 @@ def _candidates(prefixes: DataFrame, centres: DataFrame, total: int) -> DataFram
             yield from flush()
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            x, y, c = list_pairs(_entries(parts))
-            for lo in range(0, len(x), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[lo:lo + 50_000]) for v in (x, y, c)], names=["x", "y", "c"])
+        for parts in _grouped(batches, ENTRY):
+            found = _entries(parts)
+            x, y, c = list_pairs(found)
+            known, first = np.unique(found["centre"], return_index=True)
+            out = np.empty(len(x), dtype=PAIR)
+            at, to = first[np.searchsorted(known, x)], first[np.searchsorted(known, y)]
+            out["x"], out["y"], out["c"], out["nx"], out["ny"] = x, y, c, found["n"][at], found["n"][to]
+            out["many"] = found["many"][at] | found["many"][to]
+            yield from _homed(out, out["y"], buckets)
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _grouped(batches, PAIR):
+            found = np.concatenate(parts)
+            found = found[np.lexsort((found["x"], found["y"]))]
+            head = np.flatnonzero(np.append(True, (found["y"][1:] != found["y"][:-1]) | (found["x"][1:] != found["x"][:-1])))
+            c, found = np.add.reduceat(found["c"].astype(np.int64), head), found[head]
+            nx, ny = found["nx"].astype(np.int64), found["ny"].astype(np.int64)
+            # What neither prefix holds can be shared at most behind the longer remainder.
+            most = c + np.maximum(need(nx), need(ny)) - 1
+            found = found[(found["many"] > 0) | (most >= overlap(nx, ny))]
+            yield from _listed(found["y"], found["x"], ["y", "xs"])
 
-        now, parts = None, []
+    blobs = placed.mapInArrow(spread, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    pairs = blobs.mapInArrow(lists, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    return pairs.mapInArrow(partners, "y long, xs array<long>")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np.ndarray]]:
+    """The records of each bucket of sorted (bucket, blob) rows."""
+    now, parts = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if k != now and parts:
+                yield parts
+                parts = []
+            now = k
+            parts.append(np.frombuffer(blob.as_buffer(), kind))
+    if parts:
+        yield parts
+
+
+def _homed(records: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob) rows of records, by a hash of their keys."""
+    home = (mix(keys.view(np.uint64) if keys.flags.c_contiguous else np.ascontiguousarray(keys).view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(home, kind="stable")
+    records, cut = records[order], np.searchsorted(home[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([records[cut[k]:cut[k + 1]].tobytes()], pa.binary())],
+                                             names=["bucket", "entries"])
+
+
+def _listed(keys: np.ndarray, values: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row per run of equal keys with the array of its values."""
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    ends = np.append(head, len(keys))
+    for lo in range(0, len(head), 1000):
+        cut = ends[lo:min(lo + 1000, len(head)) + 1]
+        lists = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(np.ascontiguousarray(values[cut[0]:cut[-1]])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[cut[:-1]]), lists], names=names)
+
+
+def _destinations(blocks: DataFrame, homes: int) -> DataFrame:
+    """``sid, to``: the blocks that need a set, from ``blocks(xs, label, sub)``."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if k != now and parts:
-                    yield from flush(parts)
-                    parts = []
-                now = k
-                parts.append(np.frombuffer(blob.as_buffer(), ENTRY))
-        if parts:
-            yield from flush(parts)
+            counts = np.diff(batch.column(0).offsets.to_numpy())
+            out = np.empty(int(counts.sum()), dtype=SENT)
+            out["x"] = batch.column(0).flatten().to_numpy()
+            out["label"], out["sub"] = (np.repeat(batch.column(i).to_numpy(), counts) for i in (1, 2))
+            out = np.unique(out)
+            yield from _homed(out, out["x"], homes)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _grouped(batches, SENT):
+            found = np.unique(np.concatenate(parts))
+            # A block's two numbers go as one record of three halves.
+            packed = np.array([f"{a}/{b}" for a, b in zip(found["label"].tolist(), found["sub"].tolist())], dtype=object)
+            head = np.flatnonzero(np.append(True, found["x"][1:] != found["x"][:-1]))
+            ends = np.append(head, len(found))
+            for lo in range(0, len(head), 1000):
+                cut = ends[lo:min(lo + 1000, len(head)) + 1]
+                lists = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(packed[cut[0]:cut[-1]].tolist(), pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(found["x"][cut[:-1]]), lists], names=["sid", "to"])
+
+    blobs = blocks.select("xs", "label", "sub").mapInArrow(send, "bucket int, entries binary")
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sid long, to array<string>")
+
+
+def compare_blocks(partners: DataFrame, docs: DataFrame, sets: DataFrame, state: DataFrame, text: str, homes: int) -> DataFrame:
+    """Compares every y with its xs where that can still matter: ``x, y, d, linked``.
+
+    ``state(sid, comp, r)`` tells what is known to be connected and how far
+    followers are. Sets that share partners meet in blocks; pairs connected
+    by then need no comparison. Rows come back for links that connected two
+    parts, and for unlinked pairs whose followers may still link.
+    """
+    partners = store(partners.withColumn("label", F.array_min("xs")), "join-partners")
+    subs = partners.groupBy("label").agg((F.floor(F.count("*") / BLOCK_SETS) + 1).cast("int").alias("subs"))
+    blocks = store(partners.join(small(subs, BROADCAST_ROWS), "label").withColumn(
+        "sub", F.pmod(F.xxhash64("y"), F.col("subs")).cast("int")).drop("subs"), "join-blocks")
+    own = blocks.select(F.col("y").alias("sid"), F.concat_ws("/", "label", "sub").alias("own"), "xs")
+    wanted = own.join(_destinations(blocks, homes), "sid", "full_outer").join(sets, "sid").join(state, "sid", "left").withColumn(
+        "comp", F.coalesce("comp", "sid"))
+    wanted = store(wanted, "join-wanted")
+    source = docs.select("_key", "_h", text).join(small(wanted, BROADCAST_ROWS), ["_key", "_h"]).select("sid", "own", "xs", "to", "comp", "r", text)
+    schema = "block string, role int, sid long, comp long, r double, xs array<long>, members binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary())
+    slack = 1 - LINK / 100 + 1e-9
 
-    blobs = placed.mapInArrow(spread, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
-    return blobs.mapInArrow(lists, "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c"))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in slabs(batch.column(6)):
+                rows, hashes = shingle_sets(data, offsets)
+                rows, bare = _distinct(rows, hashes >> np.uint64(6))
+                cut = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))])
+                part, out = batch.slice(at, len(offsets) - 1), []
+                for i, (sid, home, xs, to, comp, r) in enumerate(zip(*(part.column(c).to_pylist() for c in range(6)))):
+                    members = bare[cut[i]:cut[i + 1]]
+                    if len(members) and int(np.add.reduce(mix(members * _SIGN)).view(np.int64)) == sid:
+                        blob = members.tobytes()
+                        out += [(home, 0, sid, comp, r, xs, blob)] * (home is not None)
+                        out += [(block, 1, sid, comp, r, None, blob) for block in to or []]
+                for lo in range(0, len(out), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo:lo + 500]), kinds)], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ys, wants, parent, out, last = None, {}, {}, {}, [], None
 
+        def find(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
 
-def _prefix_length(n: str) -> Column:
-    return F.col(n) - F.ceil(LINK * F.col(n) / 100) + 1
+        def rows() -> Iterator[pa.RecordBatch]:
+            left = [o[:4] for o in out if o[3] or find(o[4]) != find(o[5])]
+            for lo in range(0, len(left), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*left[lo:lo + 5000]), (
+                    pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=["x", "y", "d", "linked"])
+
+        for batch in batches:
+            for block, role, sid, comp, r, xs, blob in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if block != now:
+                    yield from rows()
+                    now, ys, wants, parent, out, last = block, {}, {}, {}, [], None
+                members = np.frombuffer(blob, np.uint64)
+                if role == 0:
+                    if sid not in ys:
+                        ys[sid] = (members, comp, r)
+                        for x in xs:
+                            wants.setdefault(x, []).append(sid)
+                elif sid != last:
+                    last = sid
+                    for y in wants.get(sid, []):
+                        other, comp_y, r_y = ys[y]
+                        a, b = find(comp), find(comp_y)
+                        if a == b:
+                            continue
+                        at = np.searchsorted(other, members)
+                        hit = int((other[np.minimum(at, len(other) - 1)] == members).sum())
+                        union = len(members) + len(other) - hit
+                        d = 1 - hit / union
+                        if 100 * hit >= LINK * union:
+                            parent[max(a, b)] = min(a, b)
+                            out.append((sid, y, d, True, comp, comp_y))
+                        elif (r is not None or r_y is not None) and d <= slack + (r or 0.0) + (r_y or 0.0):
+                            out.append((sid, y, d, False, comp, comp_y))
+        yield from rows()
+
+    met = source.mapInArrow(sets_of, schema).repartition("block").sortWithinPartitions("block", "role", "sid")
+    return store(met.mapInArrow(meet, "x long, y long, d double, linked boolean"), "join-judged")
 
 
 def link_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,29 +539,24 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     more = close.join(led.withColumnRenamed("x", "y"), "y").join(led, "x", "left_anti").select("x", F.col("root").alias("y")).where("x != y")
     second = compare(more, docs, holders, "_text").where("linked")
     close = close.unionByName(second)
-    follows = first.unionByName(second).groupBy("x").agg(F.min(F.struct("d", "y")).alias("_b")).select("x", "_b.y", "_b.d")
+    follows = first.unionByName(second).where(F.col("d") <= FOLLOW_WITHIN).groupBy("x").agg(F.min(F.struct("d", "y")).alias("_b")).select("x", "_b.y", "_b.d")
     centres = store(follows.unionByName(follows.select(F.col("y").alias("x"), "y", F.lit(0.0).alias("d")).distinct()).join(
         sets.select(F.col("sid").alias("y"), F.col("n").alias("centre_n")), "y").select(
         F.col("x").alias("sid"), F.col("y").alias("centre"), "centre_n", "d"), "join-centres")
     known = components(close.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    radius = centres.groupBy("centre").agg(F.max("d").alias("r"))
-    sized = sets.select("sid", "n").join(radius.withColumnRenamed("centre", "sid"), "sid", "left").join(
-        known.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "r", F.coalesce("component", "sid").alias("comp"))
-    side = lambda s: sized.select(F.col("sid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "r", "comp")])
-    met = _candidates(prefixes, centres, total // 8).join(side("x"), "x").join(side("y"), "y").where("compx != compy")
-    # What neither prefix holds can be shared at most behind the shorter remainder.
-    most = F.col("c") + F.greatest(F.col("nx") - _prefix_length("nx"), F.col("ny") - _prefix_length("ny"))
-    alone = F.col("rx").isNull() & F.col("ry").isNull()
-    met = store(met.where(~alone | (most >= F.ceil(LINK * (F.col("nx") + F.col("ny")) / (100 + LINK)))).select("x", "y", "rx", "ry"), "join-met")
-    judged = compare(met, docs, holders, "_text")
+    radius = centres.groupBy("centre").agg(F.max("d").alias("r")).withColumnRenamed("centre", "sid")
+    state = store(radius.join(known.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "full_outer"), "join-state")
+    judged = compare_blocks(_candidates(prefixes, centres, total // 8), docs, holders, state, "_text", int(total // 8 // BUCKET_ENTRIES) + 1)
     linked = judged.where("linked").select("x", "y")
 
     # Members whose centres are neither linked nor too far apart.
     slack = 1 - LINK / 100 + 1e-9
-    near = judged.where("not linked").join(met, ["x", "y"]).where(
-        F.col("d") <= slack + F.coalesce("rx", F.lit(0.0)) + F.coalesce("ry", F.lit(0.0))).where("rx is not null or ry is not null")
+    sofar = components(close.select("x", "y").unionByName(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    comp = lambda s: small(sofar.select(F.col("node").alias(s), F.col("component").alias("c" + s)), BROADCAST_ROWS)
+    near = judged.where("not linked").select("x", "y", "d").join(comp("x"), "x", "left").join(comp("y"), "y", "left").where(
+        F.coalesce("cx", "x") != F.coalesce("cy", "y")).drop("cx", "cy")
     members = lambda s: centres.select(F.col("centre").alias(s), F.col("sid").alias("m" + s), F.col("d").alias("d" + s))
     inner = near.join(members("x"), "x", "left").join(members("y"), "y", "left").select(
         F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"), "d",
