@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.llm import mixing, packing, quality_rules, set_join, substrings
+from litspark.llm.common import small
 from litspark.session import store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,10 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the one with the smallest id; of repeated rows, one."""
-    kept = set_join.link_sets(docs.select("doc_id", "text")).where(
-        F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    linked = store(set_join.link_sets(docs.select("doc_id", "text")).select("doc_id", "component_id"), "pipeline-links")
+    docs = docs.select(*COLUMNS)
+    repeated = store(linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.limit(1).count():
+        # Only rows that share an id can be repeats of one another.
+        ids = repeated.withColumnRenamed("doc_id", "_again")
+        same = F.col("doc_id").eqNullSafe(F.col("_again"))
+        docs = docs.join(ids, same, "left_anti").unionByName(docs.join(ids, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(small(gone, set_join.BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,13 @@ def test_packing(spark, tables):
     assert all(n == 4096 for k, n in full.items() if k != max(full))
     assert sum(full.values()) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
     assert P.run(spark, SF_DIR).count() == len(pieces)
+
+
+def test_repeated_and_null_ids(spark):
+    text = "The old mill by the river turns slowly while the miller counts his sacks of grain every evening."
+    rows = [(5, text), (5, text), (3, text), (None, text + " And more."), (None, "Quite another story about boats and tides and harbours at dawn."), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_duplicates(spark, docs, SF_DIR)
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 3, 8]
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
