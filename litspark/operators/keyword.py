@@ -27,20 +27,41 @@ class KeywordIndex:
     terms: DataFrame
     stats: DataFrame
 
-    def write(self, path: str) -> None:
-        """Postings clustered by term, so a search prunes row groups by term range."""
-        self.postings.repartitionByRange("term", F.xxhash64("chunk_id")).sortWithinPartitions("term") \
-            .write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    def write(self, path: str) -> "KeywordIndex":
+        """Store the index, postings partitioned by a hash of their term, and read it back.
+
+        Postings are computed once: terms are counted from the written ones.
+        """
+        spark = self.postings.sparkSession
+        placed = self.postings.withColumn("bucket", term_bucket(F.col("term")))
+        placed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term").write.mode(
+            "overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        stats = spark.read.parquet(f"{path}/stats")
+        _term_table(spark.read.parquet(f"{path}/postings"), stats).write.mode("overwrite").parquet(f"{path}/terms")
+        return KeywordIndex.read(spark, path)
 
     @staticmethod
     def read(spark, path: str) -> "KeywordIndex":
         return KeywordIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
+    def for_terms(self, asked: DataFrame) -> DataFrame:
+        """Postings of a stored index in the asked terms' buckets; those of any other index, all."""
+        if "bucket" not in self.postings.columns:
+            return self.postings
+        wanted = [r[0] for r in asked.select(term_bucket(F.col("term"))).distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(wanted)) if wanted else self.postings.limit(0)
+
     def is_current(self, chunks: DataFrame) -> bool:
-        """Whether the index still covers as many chunks as the corpus has."""
-        return self.stats.first()["n_chunks"] == chunks.count()
+        """Whether the index covers the corpus as it is: as many chunks, with the same ids and texts."""
+        return self.stats.select("n_chunks", "mark").first() == _corpus_stats(chunks).select("n_chunks", "mark").first()
+
+
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
 def _tokenised(chunks: DataFrame, carry: list[str]) -> DataFrame:
@@ -75,8 +96,8 @@ def _count_terms(exploded: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _corpus_stats(chunks: DataFrame) -> DataFrame:
-    lengths = chunks.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl"))
-    return lengths.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    lengths = chunks.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl"), F.xxhash64("chunk_id", "text").alias("h"))
+    return lengths.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"), F.bit_xor("h").alias("mark"))
 
 
 def _stat(stats: DataFrame, name: str) -> Column:
@@ -128,7 +149,7 @@ def keyword_scores(index: KeywordIndex, queries: DataFrame, text: str = "questio
     asked = query_terms(queries, text)
     wanted = asked.join(index.terms.where("idf > 0"), "term").select("term", "query_id", "qtf", "idf")
     avgdl = _stat(index.stats, "avgdl")
-    hits = join_small(index.postings, wanted, ["term"], spread=F.col("chunk_id"), bounded_by=asked)
+    hits = join_small(index.for_terms(asked), wanted, ["term"], spread=F.col("chunk_id"), bounded_by=asked)
     weight = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("dl"), avgdl)
     return (
         hits.groupBy("query_id", "chunk_id", *carry)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,11 @@ from litspark.operators.keyword import keyword_topk as search
 from litspark.plans.retrieval import META, keyword_search, retrieve
 from litspark.queries import views as V
 from litspark.queries.views import NOW_YEAR, sql
+from litspark.session import shared_dir
+from litspark.sources import tables as sources
 from litspark.sources.records import external_evidence
 
+
 def _ints(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
@@ -55,6 +60,21 @@ def keyword_topk_index(spark, sf_dir):
     return _ints(search(prune_index(V.chunk_table(spark, sf_dir), q), q), "rank")
 
 
+def keyword_topk_stored(spark, sf_dir):
+    """The same from an index written to the shared folder and read back, of which only the asked terms' buckets are read."""
+    index = build_keyword_index(V.chunk_table(spark, sf_dir)).write(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _ints(search(index, _questions(spark, sf_dir)), "rank")
+
+
+def chunk_paper_join(spark, sf_dir):
+    """Chunks written by topic, read back and joined with their papers."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    sources.write_chunks(V.chunk_table(spark, sf_dir).select("chunk_id", "paper_key", "topic", "section"), path)
+    papers = V.papers(spark, sf_dir).select("paper_key", "journal", "year")
+    return sources.chunk_papers_join(sources.read_chunks(spark, path), papers).groupBy("journal", "section").agg(
+        F.count("*").alias("chunks"), F.count_distinct("paper_key").alias("papers"), F.max("year").cast("bigint").alias("latest"))
+
+
 def keyword_matches(spark, sf_dir):
     """How many chunks each question matches and the sum of their scores."""
     q = _questions(spark, sf_dir)
@@ -269,7 +289,7 @@ def source_details(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    keyword_index_df, keyword_doc_stats, keyword_topk, keyword_topk_index, keyword_matches, keyword_topk_filtered,
+    keyword_index_df, keyword_doc_stats, keyword_topk, keyword_topk_index, keyword_topk_stored, chunk_paper_join, keyword_matches, keyword_topk_filtered,
     keyword_topk_filtered_index, embedding_cosine,
     dense_topk, dense_topk_filtered, dense_topk_blocks, filter_nulls_dense, filter_nulls_keyword, request_filter_map,
     rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, rerank_weights,
@@ -395,5 +415,7 @@ ORACLE = {
                array_to_string(authors[1:3], ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors, journal, year, study_design,
                sample_size, 'abstract' AS section, left(whole, 150) AS key_finding, pmid FROM docs_v"""),
 }
-ORACLE["keyword_topk_index"] = ORACLE["keyword_topk"]
+ORACLE["keyword_topk_index"] = ORACLE["keyword_topk_stored"] = ORACLE["keyword_topk"]
+ORACLE["chunk_paper_join"] = sql("chunks_v", """
+    SELECT journal, section, count(*) AS chunks, count(DISTINCT paper_key) AS papers, max(year)::BIGINT AS latest FROM chunks_v GROUP BY ALL""")
 ORACLE["keyword_topk_filtered_index"] = ORACLE["keyword_topk_filtered"]

@@ -48,6 +48,10 @@ def test_keyword_search_matches_brute_force(spark, corpus, tmp_path, monkeypatch
     full.write(str(tmp_path / "index"))
     stored = KeywordIndex.read(spark, str(tmp_path / "index"))
     assert stored.is_current(chunks) and not stored.is_current(chunks.limit(3))
+    changed = chunks.withColumn("text", F.when(F.col("chunk_id") == chunks.first()["chunk_id"], "other").otherwise(F.col("text")))
+    assert not stored.is_current(changed)
+    plan = stored.for_terms(q.select(F.explode(F.split("question", " ")).alias("term")).where("term in ('t1', 't5')"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan._jdf.queryExecution().toString() or "bucket#" in plan._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
     want = {}
     for name, text in queries.items():
         best = sorted(_bm25(corpus, text).items(), key=lambda x: (-round(x[1], 9), x[0]))[:20]
