@@ -40,7 +40,7 @@ QUANTUM = 64
 MAX_QUEUES = 512
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-SLAB_BYTES = 16 << 20
+SLAB_BYTES = 8 << 20
 
 
 class Schedule:
@@ -100,7 +100,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = "part int, _id long, _source string, n long, before long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, sums = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer), {}
+        part, encoder, sums = TaskContext.get().partitionId(), WordEncoder(tokenizer), {}
         for batch in batches:
             for at, _, offsets in slabs(batch.column(1), SLAB_BYTES):
                 rows = batch.slice(at, len(offsets) - 1)

@@ -3,7 +3,7 @@
 For a tokenizer that lower-cases, drops white space and never merges across the
 pieces of its splitting pattern, the ids of a text are the ids of its pieces in
 turn. Arrow splits texts into words and distinct words into pieces; a
-process encodes a piece once, many in one call, and keeps a bounded cache. Words
+task encodes a piece once, many in one call, and keeps a bounded cache. Words
 with signs outside ``_PLAIN`` go to the tokenizer as they are.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded each time, so that the cache stays bounded in bytes.
 CACHED_CHARS = 48
 _JOINED = 1000
@@ -47,15 +47,6 @@ class _Table:
 class WordEncoder:
     """Flat ids and row offsets of string columns; ``end_id`` closes every row."""
 
-    _shared: dict[str, WordEncoder] = {}
-
-    @classmethod
-    def shared(cls, name: str) -> WordEncoder:
-        """One encoder per process, its cache kept between tasks."""
-        if name not in cls._shared:
-            cls._shared[name] = cls(name)
-        return cls._shared[name]
-
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
