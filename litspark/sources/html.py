@@ -17,9 +17,13 @@ from litspark.functions.binding import let
 CODE = (r"(?is)<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)")
 SKIP = r"(?i)</?(?:" + "|".join(HTML_SKIP_TAGS) + r")(?:[\s/][^>]*)?>"
 #: A stray < begins a piece of its own.
-TAG = r"""(?s)<(?:/?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*|[!?][^>]*)>|(?=<)"""
+#: Possessive, so that Java's engine loops over a long tag and does not recurse.
+TAG = r"""(?s)<(?:/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+|[!?][^>]*+)>|(?=<)"""
 _EDGES = r"(?U)^\s+|\s+$"
-_CUT, _MARK = "<i>", ""
+_CUT = "<i>"
+REF = "&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+#: What the numbers 128 to 159 stand for: windows-1252, where it has a sign.
+_C1 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
 
 
 def _open(tags: Column) -> Column:
@@ -29,17 +33,36 @@ def _open(tags: Column) -> Column:
         seen, F.array(F.greatest(F.element_at(seen, -1) + s, F.lit(0)))))
 
 
-def _unescape(text: Column) -> Column:
-    def number(ref: Column) -> Column:
-        hexa = F.startswith(F.lower(ref), F.lit("x"))
-        digits = F.when(hexa, F.substring(ref, F.lit(2), F.length(ref))).otherwise(F.conv(ref, 10, 16))
-        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+def _number(ref: Column) -> Column:
+    """The sign of a numeric reference by HTML's rules; what is no character becomes U+FFFD."""
+    digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    # More than seven digits lie beyond the last code point in either base.
+    short = F.concat(F.lit("0"), F.left(digits, F.lit(7)))
+    code = F.when(F.length(digits) > 7, 0x110000).otherwise(F.when(
+        F.lower(F.substring(ref, 3, 1)) == "x", F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("int"))
+
+    def sign(n: Column) -> Column:
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+        real = F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 0xFFFD).otherwise(n)
+        # The mark in front keeps the decoder from taking U+FEFF for one.
+        char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(real), 8, "0"))), "UTF-32")
+        return F.when(n.between(128, 159), F.substring(F.lit(_C1), n - 127, F.lit(1))).when(
+            none & (n <= 0x10FFFF), "").otherwise(char)
+
+    return let(code, sign)
+
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), 1))
-    text = F.aggregate(refs, text, lambda t, r: F.replace(t, F.concat(F.lit("&#"), r, F.lit(";")), number(r)))
-    for name, sign in HTML_ENTITIES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return text
+def _name(ref: Column) -> Column:
+    """The sign of a named reference."""
+    names = F.create_map(*[F.lit(x) for name, sign in HTML_ENTITIES for x in (f"&{name};", sign)])
+    return F.coalesce(F.element_at(names, ref), ref)
+
+
+def _unescape(text: Column) -> Column:
+    """Character references decoded once, from left to right."""
+    refs = F.regexp_extract_all(text, F.lit(REF), 0)
+    return F.array_join(F.zip_with(F.split(text, REF, -1), refs, lambda gap, ref: F.concat(gap, F.when(
+        ref.isNull(), "").when(F.startswith(ref, F.lit("&#")), _number(ref)).otherwise(_name(ref)))), "")
 
 
 def visible_text(html: Column) -> Column:
@@ -47,8 +70,8 @@ def visible_text(html: Column) -> Column:
     def shown(body: Column) -> Column:
         stretches = F.zip_with(F.split(body, SKIP, -1), _open(F.regexp_extract_all(body, F.lit(SKIP), 0)),
                                lambda s, n: F.when(n == 0, s))
-        pieces = F.array_join(F.split(F.array_join(stretches, _CUT), TAG, -1), _MARK)
-        trimmed = F.transform(F.split(_unescape(pieces), _MARK, -1), lambda p: F.regexp_replace(p, _EDGES, ""))
+        pieces = F.split(F.array_join(stretches, _CUT), TAG, -1)
+        trimmed = F.transform(pieces, lambda p: F.regexp_replace(F.when(F.contains(p, F.lit("&")), _unescape(p)).otherwise(p), _EDGES, ""))
         return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
 
     return let(F.regexp_replace(F.coalesce(html, F.lit("")), CODE, _CUT), shown)

@@ -76,6 +76,21 @@ def test_html_pages(spark):
     assert max(len(t) for t in got.values()) > 0
 
 
+def test_html_long_and_odd_pages(spark):
+    """Long texts after a stray <, very long tags, and numbers that are no characters."""
+    words = " ".join(f"word{i}" for i in range(60_000))
+    odd = [0, 1, 9, 11, 13, 31, 127, 128, 129, 153, 159, 160, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFEFF, 0xFFFD, 0xFFFE, 0x1F600,
+           0x1FFFF, 0x10FFFF, 0x110000, 9_999_999, 99_999_999, 10**30]
+    refs = " ".join(f"a&#{n};b&#x{n:X};c&#00{n} &#X0{n:x}g" for n in odd)
+    raw = {1: f"a<y {words}>b", 2: f"a<b title='{words}'>c</b>d", 3: f"<p>{refs}</p>", 4: f"a<y {words} <p>b</p>c", 5: "a \ue000 b",
+           6: "&#38;lt; &amp;#60; &#; &#x; &;"}
+    open_ = f"a <y {words}"
+    df = spark.createDataFrame([(k, "u", v) for k, v in {**raw, 7: open_}.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.page_texts(df).collect()}
+    assert got.pop(7) == open_
+    assert got == {k: _visible(v + "<i>") for k, v in raw.items()}
+
+
 def test_reference_tables(spark, tmp_path):
     entries = [{"drug": "a", "aliases": ["b"], "warning": "w"}, {"drug": "c", "source": "manual"}]
     (tmp_path / "wrapped.json").write_text(json.dumps({"last_updated": "x", "entries": entries}))
