@@ -7,10 +7,13 @@ pieces are trimmed and joined.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.constants import HTML_ENTITIES, HTML_SKIP_TAGS
+from litspark.constants import HTML_SKIP_TAGS
 from litspark.functions.binding import let
 
 #: Comments, and elements whose content is no markup; an open one lasts to the end.
@@ -22,6 +25,9 @@ TAG = r"""(?s)<(?:/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+|[!?][^>]*+)>|(?=<)"
 _EDGES = r"(?U)^\s+|\s+$"
 _CUT = "<i>"
 REF = "&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+#: HTML5's names by their first letter; one literal, which the optimizer turns into a map once.
+_NAMES = json.dumps({k: {n: s for n, s in html5.items() if n[0] == k} for k in sorted({n[0] for n in html5})})
+_OLD = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 #: What the numbers 128 to 159 stand for: windows-1252, where it has a sign.
 _C1 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
 
@@ -53,9 +59,17 @@ def _number(ref: Column) -> Column:
 
 
 def _name(ref: Column) -> Column:
-    """The sign of a named reference."""
-    names = F.create_map(*[F.lit(x) for name, sign in HTML_ENTITIES for x in (f"&{name};", sign)])
-    return F.coalesce(F.element_at(names, ref), ref)
+    """The sign of a named reference; without a semicolon, that of the longest old name it begins with."""
+    names = F.from_json(F.lit(_NAMES), "map<string,map<string,string>>")
+
+    def of(name: Column) -> Column:
+        return F.element_at(F.element_at(names, F.left(name, F.lit(1))), name)
+
+    def partly(name: Column) -> Column:
+        old = F.regexp_extract(name, _OLD, 0)
+        return F.coalesce(F.concat(of(old), F.substring(name, F.length(old) + 1, F.length(name))), ref)
+
+    return let(F.substring(ref, F.lit(2), F.length(ref)), lambda name: F.coalesce(of(name), partly(name)))
 
 
 def _unescape(text: Column) -> Column:

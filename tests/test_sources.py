@@ -1,4 +1,5 @@
 import json
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -91,6 +92,16 @@ def test_html_long_and_odd_pages(spark):
     assert got == {k: _visible(v + "<i>") for k, v in raw.items()}
 
 
+def test_html_names(spark):
+    """Every name of HTML5, with and without its semicolon and with letters after it."""
+    bare = sorted({n.rstrip(";") for n in html5})
+    raw = {i: f"<p>x&{n};y &{n} z&{n}q; &{n}2&{n}=</p>" for i, n in enumerate(bare)}
+    raw |= {-1: "caf&eacute; &Uuml;ber fa&ccedilade 5&euro;&nbsp;&notit; &noname; &amp;eacute; &am<b>p;</b>", -2: "&" + "a" * 40 + ";"}
+    df = spark.createDataFrame([(k, "u", v) for k, v in raw.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.page_texts(df).collect()}
+    assert got == {k: _visible(v + "<i>") for k, v in raw.items()}
+
+
 def test_reference_tables(spark, tmp_path):
     entries = [{"drug": "a", "aliases": ["b"], "warning": "w"}, {"drug": "c", "source": "manual"}]
     (tmp_path / "wrapped.json").write_text(json.dumps({"last_updated": "x", "entries": entries}))
