@@ -45,7 +45,7 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rounds=None)
 
 
 ORACLE["op2_link_graph_urls"] = url_filter.oracle()

@@ -5,7 +5,8 @@ that fits decides a page. Pages without a rule get their host's verdict: host
 edges come from hyperlinks between hosts, and from every host to the domain that
 contains it and back. Personalised PageRank spreads trust along the edges
 from hosts with allowed pages, and distrust against them from hosts with blocked
-pages; a host whose distrust exceeds its trust is blocked.
+pages, in a number of rounds or until no score changes by more than a small part
+of itself; a host whose distrust exceeds its trust is blocked, however small both are.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and
 is allowed. Repeated rows are judged alike. Null html has no links. An empty
@@ -24,7 +25,12 @@ from litspark.session import store
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
+#: Rounds of the SQL and by default; the query goes on until the scores have settled.
 ROUNDS = 10
+#: Largest relative change in a round of settled scores; scores closer than ten times this are equal.
+TOLERANCE = 1e-6
+#: Changes below this are at the end of what a double holds.
+_LEAST = 1e-290
 #: Rounds between tables that cut the lineage.
 STORE_EVERY = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,11 +83,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame, html: str = "html") -> DataFr
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` from ``seeds(host, trust, distrust)``, each kind's seeds scaled to one.
 
     Trust follows the edges, distrust runs against them; both spread in one
-    aggregation per round.
+    aggregation per round, for ``rounds`` or, if None, until all scores have
+    settled. For that every host keeps a part of its score in a round, which has
+    the same limit and damps the swing between a domain and its hosts.
     """
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(
         edges.select(F.lit("distrust"), "dst", "src", "w"))
@@ -92,20 +100,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     total = long.groupBy("kind").agg(F.sum("s").alias("_all"))
     start = store(long.join(F.broadcast(total), "kind").select("kind", "host", (F.col("s") / F.col("_all")).alias("s")), "url-seeds")
     base = start.withColumn("s", F.col("s") * (1 - damping))
+    if rounds is None:
+        nodes = steps.select("kind", "src").union(steps.select("kind", "dst")).union(start.select("kind", "host")).distinct()
+        loops = nodes.select("kind", "src", F.col("src").alias("dst"), F.lit(1 - 2 / (2 + damping)).alias("p"))
+        steps = store(steps.withColumn("p", F.col("p") * (2 / (2 + damping))).unionByName(loops), "url-slow-steps")
+        base = base.withColumn("s", F.col("s") * (2 / (2 + damping)))
     scores, steps = start, small(steps)
-    for i in range(rounds):
+    done, settled = 0, False
+    while done != rounds and not settled:
         sent = scores.select("kind", F.col("host").alias("src"), "s").join(steps, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("s") * F.col("p")).alias("s"))
-        scores = base.unionByName(sent).groupBy("kind", "host").agg(F.sum("s").alias("s"))
-        if i % STORE_EVERY == STORE_EVERY - 1:
-            scores = store(scores, f"url-round-{i}")
+            "kind", F.col("dst").alias("host"), (F.col("s") * F.col("p")).alias("s"),
+            F.when(F.col("src") == F.col("dst"), F.col("s")).otherwise(0.0).alias("old"))
+        scores = base.withColumn("old", F.lit(0.0)).unionByName(sent).groupBy("kind", "host").agg(F.sum("s").alias("s"), F.sum("old").alias("old"))
+        done += 1
+        if done % STORE_EVERY == 0:
+            scores = store(scores, f"url-round-{done}")
+            # A host reached for the first time had no score before, which is a change of all it has.
+            change = F.abs(F.col("s") - F.col("old"))
+            settled = rounds is None and scores.where((change > F.col("s") * TOLERANCE) & (change > _LEAST)).isEmpty()
     return scores.groupBy("host").agg(*[
         F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("s"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url", html: str = "html",
-                rounds: int = ROUNDS) -> DataFrame:
-    """Per page: id, ``host, path, rule, verdict``. ``rules`` is a table or (verdict, host, path) tuples."""
+                rounds: int | None = ROUNDS) -> DataFrame:
+    """Per page: id, ``host, path, rule, verdict``. ``rules`` is a table or (verdict, host, path) tuples; ``rounds`` None settles."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
@@ -120,7 +139,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str
                                       F.count_if(F.col("_verdict") == "block").cast("double").alias("distrust"))
     edges = host_edges(named.withColumnRenamed("_html", "html"), hosts)
     scores = propagate(edges, seeds.where("host != ''"), rounds)
-    verdicts = store(scores.where(F.round(F.col("distrust") - F.col("trust"), 9) > 0).select("host", F.lit(True).alias("_bad")), "url-verdicts")
+    verdicts = store(scores.where(F.col("distrust") > F.col("trust") * (1 + 10 * TOLERANCE)).select("host", F.lit(True).alias("_bad")), "url-verdicts")
     return light.join(small(verdicts), "host", "left").select(
         F.col("_id").alias(id_col), "host", "path", "rule",
         F.coalesce("_verdict", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"))

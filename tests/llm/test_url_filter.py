@@ -77,3 +77,18 @@ def test_distrust_reaches_a_linking_host(spark):
     got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df).collect()}
     assert got[7] == "allow" and got[20] == "block"
     assert U.filter_urls(df.limit(0)).count() == 0
+
+
+def test_verdicts_do_not_depend_on_size_or_distance(spark):
+    """Small seeds among many others count, and so do hosts many steps from a seed; unknown hosts are allowed."""
+    many = [(i, f"http://spam{i % 40}.net/fr/", None) for i in range(100, 4100)]
+    # One blocked page, whose distrust reaches 5,000 sibling hosts through their domain.
+    siblings = [(5000, "http://s0.tail.org/", "<a href='http://deep.net/fr/'>"), (5001, "http://deep.net/fr/", None)]
+    siblings += [(5001 + i, f"http://s{i}.tail.org/", None) for i in range(1, 5000)]
+    chain = [(20000 + i, f"http://c{i}.io/", f"<a href='http://c{i + 1}.io/'>") for i in range(30)]
+    chain += [(20030, "http://c30.io/", "<a href='http://spam1.net/fr/'>")]
+    tie = [(30000, "http://even.biz/", None), (30001, "http://a.com/x", "<a href='http://far.biz/'>"), (30002, "http://far.biz/", None)]
+    df = spark.createDataFrame(many + siblings + chain + tie, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df, rounds=None).collect()}
+    assert {got[i] for i in (*range(5000, 10001), *range(20000, 20031))} == {"block"}
+    assert {got[i] for i in (30000, 30001, 30002)} == {"allow"}
