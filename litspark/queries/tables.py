@@ -118,19 +118,36 @@ def audit_stream(spark, sf_dir):
     return spark.read.parquet(out).select("query_id", F.md5("answer").alias("answer_md5"), "flagged")
 
 
-def minute_stream(spark, sf_dir):
-    """Requests counted per key and hour by a watermarked stream; closed windows only."""
+def _minute_counts(spark, sf_dir, close: bool):
+    """Requests per key, counted per hour by a watermarked stream; with ``close`` a closing event ends all windows."""
     land, out, mark = (_folder(spark, n) for n in ("requests", "counts", "mark"))
-    _requests(spark, sf_dir).write.mode("overwrite").parquet(land)
-    src = spark.readStream.schema(spark.read.parquet(land).schema).parquet(land)
-    counts = jobs.minute_counts(jobs.request_keys(src), seconds=3600)
-    query = counts.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
+    requests = _requests(spark, sf_dir)
+    requests.write.mode("overwrite").parquet(land)
+    schema = spark.read.parquet(land).schema
+
+    def drain() -> None:
+        counts = jobs.minute_counts(jobs.request_keys(spark.readStream.schema(schema).parquet(land)), seconds=3600)
+        counts.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+    drain()
+    if close:
+        jobs.closing_request(spark.read.parquet(land), seconds=3600).write.mode("append").parquet(land)
+        drain()
     return spark.read.schema("key string, window_start timestamp, requests bigint, rejected bigint").parquet(out).groupBy("key").agg(
         F.count("*").alias("windows"), F.sum("requests").alias("requests"))
 
 
+def minute_stream(spark, sf_dir):
+    """Requests counted per key and hour by a watermarked stream; closed windows only."""
+    return _minute_counts(spark, sf_dir, False)
+
+
+def minute_stream_closed(spark, sf_dir):
+    """The same after the end of the input: the windows still open are closed and counted too."""
+    return _minute_counts(spark, sf_dir, True)
+
+
 def ingest_stream(spark, sf_dir):
     """Papers streamed into chunks twice; the second pass adds nothing."""
     land, out, mark, mark2 = (_folder(spark, n) for n in ("papers", "corpus", "mark", "mark"))
@@ -178,7 +195,7 @@ def ingest_rerun(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     latency_percentiles, latency_by_type, rate_limit_minute, rate_limit_exact, session_trend, session_metrics, latest_run,
-    candidate_ranks, audit_stream, minute_stream, ingest_stream, ingest_two_sources, ingest_rerun)}
+    candidate_ranks, audit_stream, minute_stream, minute_stream_closed, ingest_stream, ingest_two_sources, ingest_rerun)}
 
 _PCT = "list(value ORDER BY value)[least(CAST(floor(count(*) * {0}::DOUBLE) AS BIGINT), count(*) - 1) + 1]"
 _PCTS = ", ".join(f"{_PCT.format(q)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
@@ -216,6 +233,9 @@ ORACLE = {
         SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (
           SELECT key, date_trunc('hour', ts) AS h, count(*) AS n FROM ({_KEYED}) GROUP BY ALL)
         WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ({_KEYED})) - INTERVAL 2 MINUTE GROUP BY key""",
+    "minute_stream_closed": f"""
+        SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (
+          SELECT key, date_trunc('hour', ts) AS h, count(*) AS n FROM ({_KEYED}) GROUP BY ALL) GROUP BY key""",
     "ingest_stream": _quality_sql("papers_v kept_v chunks_v", _SCORED, """
         SELECT c.topic, count(*) AS chunks, count(DISTINCT doc_id) AS papers FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) GROUP BY c.topic"""),
     "audit_stream": V.sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5, false AS flagged FROM qa_v"),

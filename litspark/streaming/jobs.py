@@ -99,6 +99,17 @@ def minute_counts(keyed: DataFrame, delay: str = "2 minutes", seconds: int = K.W
         F.greatest(F.col("requests") - F.col("limit"), F.lit(0)).alias("rejected"))
 
 
+def closing_request(requests: DataFrame, delay: str = "2 minutes", seconds: int = K.WINDOW_SECONDS) -> DataFrame:
+    """One request so late that it moves the watermark past every window of ``requests``; its own window stays open.
+
+    Add it to the stream's input once no more requests come; no row for empty input.
+    """
+    named = F.lit(None).cast("string")
+    return requests.agg(F.max("ts").alias("ts")).where("ts is not null").select(
+        (F.col("ts") + F.expr(f"interval {2 * seconds} seconds") + F.expr(f"interval {delay}")).alias("ts"),
+        F.lit("/closing").alias("path"), named.alias("api_key"), named.alias("ip")).select(*requests.columns)
+
+
 class _FixedWindow(StatefulProcessor):
     """Per key: start of the current window and requests admitted in it."""
 

@@ -118,6 +118,12 @@ def test_stream_counts_match_their_batch_twin(spark):
     assert stream.keys() <= batch.keys() and all(stream[k] <= batch[k] for k in stream)
 
 
+def test_closing_request_counts_all_windows(spark):
+    stream = {r["key"]: r["requests"] for r in T.minute_stream_closed(spark, SF).collect()}
+    batch = {r["key"]: r["n"] for r in T.rate_limit_minute(spark, SF).groupBy("key").agg(F.sum("requests").alias("n")).collect()}
+    assert stream == batch
+
+
 def test_health_paths_are_exempt(spark):
     df = spark.createDataFrame([("/health/x", "k", "1"), ("/q", "", "2"), ("/q", "k", "1"), ("/q", None, None)], "path string, api_key string, ip string")
     got = jobs.request_keys(df.withColumn("ts", F.current_timestamp()))
