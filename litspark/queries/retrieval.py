@@ -14,7 +14,7 @@ from litspark.operators import context, fusion
 from litspark.operators.confidence import answer_confidence
 from litspark.operators.dense import dense_topk as nearest
 from litspark.operators.filters import ChunkFilter, request_filters, suppress_weak
-from litspark.operators.keyword import build_keyword_index, keyword_scores, prune_index
+from litspark.operators.keyword import build_keyword_index, keyword_scores, prune_index, top_ranked
 from litspark.operators.keyword import keyword_topk as search
 from litspark.plans.retrieval import META, keyword_search, retrieve
 from litspark.queries import views as V
@@ -211,6 +211,24 @@ def fallback_union(spark, sf_dir):
         F.md5(F.min("chunk_id")).alias("first_md5"))
 
 
+def fallback_union_all(spark, sf_dir):
+    """The same with every document as evidence: dealt over the questions, in id order, of which a question keeps the operator's top."""
+    from pyspark.sql import Window
+
+    asked = V.table(spark, sf_dir, "benchmark").select("item_id").distinct()
+    slots = asked.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("slot"))
+    i = F.col("doc_id")
+    docs = V.table(spark, sf_dir, "documents").where((i % 7 != 0) & (F.coalesce("text", F.lit("")) != "")).withColumn(
+        "slot", F.pmod(i, F.lit(max(asked.count(), 1)))).join(slots, "slot").select(
+        F.col("item_id").cast("string").alias("query_id"), i.alias("pmid"), F.col("source").alias("title"),
+        F.col("text").alias("abstract"), (i % 20 + 2000).cast("string").alias("year"))
+    ext = top_ranked(docs, K.TOP_K_RERANK, F.lit(0), "query_id", "pmid")
+    r = _run(spark, sf_dir, external=external_evidence(ext), floor=0.9).ranked
+    return r.groupBy("query_id", "used_fallback").agg(
+        F.count("*").alias("n"), F.round(F.avg("relevance_score"), 10).alias("mean_relevance"),
+        F.md5(F.min("chunk_id")).alias("first_md5"))
+
+
 def rerank_weights(spark, sf_dir):
     """Design and recency weights and the weighted score of every paper at relevance 0.8."""
     d, y = F.col("study_design"), F.col("year")
@@ -292,7 +310,7 @@ QUERIES = {f.__name__: f for f in (
     keyword_index_df, keyword_doc_stats, keyword_topk, keyword_topk_index, keyword_topk_stored, chunk_paper_join, keyword_matches, keyword_topk_filtered,
     keyword_topk_filtered_index, embedding_cosine,
     dense_topk, dense_topk_filtered, dense_topk_blocks, filter_nulls_dense, filter_nulls_keyword, request_filter_map,
-    rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, rerank_weights,
+    rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, fallback_union_all, rerank_weights,
     answer_confidence_scores, evidence_confidence, gate_counts, weak_suppressed, context_budget, context_budget_card,
     grounded_sources, source_details)}
 
@@ -387,6 +405,16 @@ ORACLE = {
         FROM (SELECT *, false AS used_fallback FROM own UNION ALL SELECT *, true FROM ext WHERE query_id NOT IN (SELECT query_id FROM own)
               AND query_id IN (SELECT query_id FROM questions_v))
         GROUP BY ALL"""),
+    "fallback_union_all": _with("reranked_v questions_v", """
+        own AS (SELECT query_id, chunk_id, relevance_score FROM reranked_v WHERE relevance_score >= 0.9),
+        slot AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM benchmark)),
+        ext AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'pubmed:' || doc_id AS chunk_id, 0.45::DOUBLE AS relevance_score
+                FROM documents JOIN slot ON doc_id % n = slot WHERE doc_id % 7 <> 0 AND text <> ''
+                QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 5)""", """
+        SELECT query_id, used_fallback, count(*) AS n, round(avg(relevance_score), 10) AS mean_relevance, md5(min(chunk_id)) AS first_md5
+        FROM (SELECT *, false AS used_fallback FROM own UNION ALL SELECT *, true FROM ext WHERE query_id NOT IN (SELECT query_id FROM own)
+              AND query_id IN (SELECT query_id FROM questions_v))
+        GROUP BY ALL"""),
     "rerank_weights": sql("papers_v", f"""
         SELECT paper_key, dw::DOUBLE AS design_weight, rw::DOUBLE AS recency_weight, tb::DOUBLE AS trial_boost,
                round(pow(0.8, 0.7) * pow(dw, 0.15) * pow(rw * tb, 0.15), 9) AS final_score

@@ -215,3 +215,13 @@ def test_quantiles_have_no_cartesian_product(spark):
         out = positional_quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, by)
         assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.count() == (3 if by else 1)
+
+
+def test_fallback_draws_on_every_document(spark):
+    """More documents than questions: the fallback takes several a question, not only the one with its id."""
+    from litspark.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    got = [r["n"] for r in QUERIES["fallback_union_all"](spark, sf_dir).where("used_fallback").collect()]
+    assert spark.read.parquet(f"{sf_dir}/documents.parquet").count() > spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    assert max(got) > 1 and max(got) <= 5
