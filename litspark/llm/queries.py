@@ -162,8 +162,8 @@ ORACLE["op12_link_cut_runs"] = r"""
     d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
             THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END)
             ELSE w END AS w FROM shaped),
-    at AS (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM d WHERE n >= 6),
-    grams AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS k FROM at),
+    places AS (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM d WHERE n >= 6),
+    grams AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS k FROM places),
     matches AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
     islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches),
     stretches AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 6 + q AS n FROM islands GROUP BY doc_id, q, island),
