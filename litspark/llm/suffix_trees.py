@@ -9,20 +9,23 @@ record is a run of suffixes with one pivot and the words they need.
 
 1. Records are counted by the 25 words from their pivot, which lie in all
    their windows. Strings that occur under one id only can't repeat elsewhere; their
-   records go no further.
-2. The others are split by variable-length prefixes at the pivot: 5 words if
-   those hold at most ``GROUP_RECORDS`` records, else 25, else the whole window.
-   So every group fits a task, whatever a common passage's frequency.
+   records go no further. Where all records of a string are equal as a whole,
+   they are one leaf of the tree and the smallest id alone decides.
+2. Of the others, one record per whole text goes on, split by variable-length
+   prefixes at the pivot: 5 words if those hold at most ``GROUP_RECORDS`` records,
+   else 25, else the whole window. So every group fits a task, whatever a
+   common passage's frequency.
 3. A group's words form a suffix tree: its suffixes are sorted by prefix doubling
    over word numbers, and neighbours that agree in ``LENGTH`` words or more hang
    below one deep internal node, a repeat. All leaves whose id isn't the node's
    smallest are removed. A prefix as long as the window is such a node already,
    and only its smallest id is needed.
 
-Equal records meet inside a task before the shuffle and one with the smallest id
-goes on, so a passage in a third of all documents sends a record per task. Words
-are compared as they are; hashes only choose pivots, counts and, at whole windows,
-128 bits stand for the words. Memory is bounded by a group and by the longest text.
+Equal records meet in aggregations, which combine inside tasks, so a passage in a
+third of all documents is a row per task. Hashes of 128 bits stand for whole
+records and whole windows; inside a tree words are compared as they are. Memory
+is bounded by a group and by the longest text. The texts are shuffled once, and
+read from that shuffle for the records and for the result.
 
 Null and empty texts have no words. Null ids count as larger than all others;
 rows with one id never remove one another's words, in repeats inside one
@@ -49,8 +52,8 @@ from litspark.session import store
 LENGTH = 50
 #: Prefix lengths below the whole window: of pivots, and of what is counted.
 SHORT, LONG = 5, 25
-#: Records of one prefix that a group may hold, of a shuffle bucket, and held in a task before they are combined.
-GROUP_RECORDS, BUCKET_RECORDS, COMBINED = 20_000, 100_000, 20_000
+#: Records of one prefix that a group may hold, and of a shuffle bucket.
+GROUP_RECORDS, BUCKET_RECORDS = 20_000, 100_000
 #: Words of a tree.
 TREE_WORDS = 1_500_000
 #: Suffixes hashed at once.
@@ -58,10 +61,12 @@ SEGMENT = 1 << 20
 _LAST_ID = (1 << 63) - 1
 _WIDE = np.uint64(0x9E3779B97F4A7C15)
 BY_SHORT, BY_LONG, WHOLE = 0, 1, 2
-SENT, SETTLED = 0, 1
-_RECORD = "kind int, bucket int, prefix long, _id long, _h long, first int, last int, body string"
-_RECORD_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("prefix", pa.int64()), ("_id", pa.int64()), ("_h", pa.int64()),
+#: A key's upper bits tell the short prefix, so longer prefixes extend shorter ones.
+_SHORT_SHIFT = 40
+_RECORD = "bucket int, prefix long, _id long, _h long, first int, last int, body string"
+_RECORD_ARROW = pa.schema([("bucket", pa.int32()), ("prefix", pa.int64()), ("_id", pa.int64()), ("_h", pa.int64()),
                            ("first", pa.int32()), ("last", pa.int32()), ("body", pa.string())])
+_SPAN = ("_id", "_h", "first", "last")
 
 
 def _hash_at(hashes: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -102,8 +107,22 @@ def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, W.span_hashes(data, start, end), np.searchsorted(row, np.arange(len(offsets) - 1))
 
 
+def _keys(hashes: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    low = np.uint64((1 << _SHORT_SHIFT) - 1)
+    return ((_hash_at(hashes, pivot, SHORT) & ~low) | (_hash_at(hashes, pivot, LONG) & low)).view(np.int64)
+
+
+def _run_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of ``size`` words from each position."""
+    total, at = np.zeros(len(first), dtype=np.uint64), np.arange(len(first))
+    for k in range(int(size.max()) if len(size) else 0):
+        at = at[size[at] > k]
+        total[at] = total[at] * _WIDE + hashes[first[at] + k]
+    return W.mix(total + size.astype(np.uint64))
+
+
 def _records(keyed: DataFrame, length: int) -> DataFrame:
-    """``_id, _h, key, short, place``: every record with its prefixes; ``place`` packs first window, windows less one and pivot."""
+    """``_id, _h, key, whole, place`` of every record: hashes from the pivot and of all words; ``place`` packs first window, windows less one and pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slabs(batch.column(2)):
@@ -113,27 +132,37 @@ def _records(keyed: DataFrame, length: int) -> DataFrame:
                 own = row[first]
                 place = ((first - base[own]) << 16) | ((last - first) << 8) | (pivot - first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(_hash_at(hashes, pivot, LONG).view(np.int64)),
-                     pa.array((_hash_at(hashes, pivot, SHORT) >> np.uint64(32)).astype(np.int64)), pa.array(place)],
-                    names=["_id", "_h", "key", "short", "place"])
+                    [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(_keys(hashes, pivot)),
+                     pa.array(_run_hashes(hashes, first, last - first + length).view(np.int64)), pa.array(place)],
+                    names=["_id", "_h", "key", "whole", "place"])
+
+    return store(keyed.mapInArrow(run, "_id long, _h long, key long, whole long, place long"), "suffix-records")
+
 
-    return store(keyed.mapInArrow(run, "_id long, _h long, key long, short long, place long"), "suffix-records")
+def shared_records(records: DataFrame) -> DataFrame:
+    """Records whose key stands under more than one id, with its smallest id and whether all of them are equal."""
+    keys = records.groupBy("key").agg(F.min("_id").alias("least"), F.max("_id").alias("_most"), F.min("whole").alias("_a"), F.max("whole").alias("_b"))
+    keys = store(keys.where("least < _most").select("key", "least", (F.col("_a") == F.col("_b")).alias("same")), "suffix-keys")
+    return store(records.join(keys, "key"), "suffix-found")
 
 
-def planned(records: DataFrame, group_records: int = GROUP_RECORDS) -> DataFrame:
-    """``key, n, ladder`` of prefixes under more than one id: which prefix length keeps the group in a task."""
-    keys = records.groupBy("key").agg(F.min("short").alias("short"), F.count("*").alias("n"), F.min("_id").alias("_a"),
-                                      F.max("_id").alias("_b")).where("_a < _b").drop("_a", "_b")
-    keys = store(keys, "suffix-keys")
-    fit = keys.groupBy("short").agg(F.sum("n").alias("_all")).where(F.col("_all") <= group_records).select("short", F.lit(True).alias("_fits"))
+def planned(wholes: DataFrame, group_records: int = GROUP_RECORDS) -> DataFrame:
+    """``key, n, ladder`` for ``wholes(key, whole)``: which prefix length keeps the group in a task."""
+    keys = wholes.groupBy("key").agg(F.count("*").alias("n")).withColumn("_short", F.shiftright("key", _SHORT_SHIFT))
+    fit = keys.groupBy("_short").agg(F.sum("n").alias("_all")).where(F.col("_all") <= group_records).select("_short", F.lit(True).alias("_fits"))
     ladder = F.when(F.col("_fits"), BY_SHORT).when(F.col("n") <= group_records, BY_LONG).otherwise(WHOLE)
-    return store(keys.join(fit, "short", "left").select("key", "n", ladder.alias("ladder")), "suffix-prefixes")
+    return store(keys.join(fit, "_short", "left").select("key", "n", ladder.alias("ladder")), "suffix-prefixes")
 
 
-def _listed(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``_id, _h``, text and the packed places of each document's records."""
-    places = found.groupBy("_id", "_h").agg(F.collect_list((F.col("place") * 4 + F.col("ladder"))).alias("places"))
-    return keyed.join(places, ["_id", "_h"]).select("_id", "_h", "_text", "places")
+def _windows_of(found: DataFrame) -> DataFrame:
+    first = F.shiftright("place", 16)
+    return found.select("_id", "_h", first.cast("int").alias("first"), (first + F.shiftright("place", 8).bitwiseAND(255)).cast("int").alias("last"))
+
+
+def _listed(asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``keyed`` with the packed places of each document's records. All columns stay, so that the result's join shares the exchange."""
+    places = asked.groupBy("_id", "_h").agg(F.collect_list((F.col("place") * 4 + F.col("ladder"))).alias("places"))
+    return keyed.join(places, ["_id", "_h"]).select("_id", "_h", "_text", "places", *keyed.columns[3:])
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -149,38 +178,24 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield part, data.tobytes(), start, end, hashes, (own, first, (place >> 8) & 255, first + (place & 255), ladder, base[own])
 
 
-def _combine(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    """Of equal records, one with the smallest id goes on; those of larger ids are settled."""
-    least: dict[str, int] = {}
-    for _, own, _, _, _, body in held:
-        if own < least.get(body, _LAST_ID + 1):
-            least[body] = own
-    rows = []
-    for prefix, own, h, first, last, body in held:
-        if own > least[body]:
-            rows.append((SETTLED, (first ^ h) % buckets, 0, own, h, first, last, None))
-        else:
-            rows.append((SENT, prefix % buckets, prefix, own, h, first, last, body))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RECORD_ARROW.types)], schema=_RECORD_ARROW)
-
-
 def _sent(listed: DataFrame, buckets: int, length: int) -> DataFrame:
+    """The records asked for, with their words, by group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
             for part, data, start, end, hashes, (own, first, more, pivot, ladder, base) in _documents(batch):
-                prefix = np.where(ladder == BY_SHORT, _hash_at(hashes, pivot, SHORT), _hash_at(hashes, pivot, LONG)).view(np.int64)
-                ids, hs = part.column(0).to_numpy()[own].tolist(), part.column(1).to_numpy()[own].tolist()
-                for i, (a, n, b) in enumerate(zip(first.tolist(), more.tolist(), base.tolist())):
-                    if ladder[i] == WHOLE:
-                        continue
-                    body = b" ".join([data[x:y] for x, y in zip(start[a:a + n + length].tolist(), end[a:a + n + length].tolist())]).decode()
-                    held.append((int(prefix[i]), ids[i], hs[i], a - b, a - b + n, body))
-                    if len(held) >= COMBINED:
-                        yield _combine(held, buckets)
-                        held = []
-        if held:
-            yield _combine(held, buckets)
+                keep = np.flatnonzero(ladder != WHOLE)
+                own, first, more, pivot, ladder, base = (x[keep] for x in (own, first, more, pivot, ladder, base))
+                key = _keys(hashes, pivot)
+                prefix = np.where(ladder == BY_SHORT, key >> _SHORT_SHIFT, key)
+                for lo in range(0, len(own), 2000):
+                    some = slice(lo, lo + 2000)
+                    bodies = [b" ".join([data[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])
+                              for a, b in zip(first[some].tolist(), (first + more + length)[some].tolist())]
+                    rows, at = pa.array(own[some]), first[some] - base[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((prefix[some] % buckets).astype(np.int32)), pa.array(prefix[some]), part.column(0).take(rows), part.column(1).take(rows),
+                         pa.array(at.astype(np.int32)), pa.array((at + more[some]).astype(np.int32)), pa.array(bodies, pa.binary()).cast(pa.string())],
+                        schema=_RECORD_ARROW)
 
     return listed.mapInArrow(run, _RECORD)
 
@@ -230,28 +245,19 @@ def group_repeats(ids: np.ndarray, bodies: pa.Array, length: int = LENGTH) -> tu
 
 
 def _in_trees(sent: DataFrame, length: int, tree_words: int) -> DataFrame:
-    """Spans ``_id, _h, first, last`` of windows to remove; settled ones pass through."""
-    place = F.when(F.col("kind") == SENT, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    ordered = sent.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place", "prefix").drop("_place")
-    names = ["_id", "_h", "first", "last"]
-
+    """Spans ``_id, _h, first, last`` of windows to remove."""
     def decide(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
         ids, hs, first = (rows.column(c).to_numpy() for c in ("_id", "_h", "first"))
         record, a, b = group_repeats(ids, rows.column("body").combine_chunks(), length)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[record], hs[record], (first[record] + a).astype(np.int32),
-                                                                 (first[record] + b).astype(np.int32))], names=names)
+                                                                 (first[record] + b).astype(np.int32))], names=list(_SPAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, now = [], 0, None
         for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            through = batch.filter(pa.array(kinds != SENT))
-            if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column(c) for c in names], names=names)
-            batch = batch.filter(pa.array(kinds == SENT))
-            prefix, at = batch.column(2).to_numpy(), 0
-            words = np.cumsum(batch.column(6).to_numpy().astype(np.int64) - batch.column(5).to_numpy() + length)
+            prefix, at = batch.column(1).to_numpy(), 0
+            words = np.cumsum(batch.column(5).to_numpy().astype(np.int64) - batch.column(4).to_numpy() + length)
             for cut in [*(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1).tolist(), len(prefix)] if len(prefix) else []:
                 if parts and prefix[at] != now and size > tree_words:
                     yield decide(parts)
@@ -262,7 +268,8 @@ def _in_trees(sent: DataFrame, length: int, tree_words: int) -> DataFrame:
         if parts:
             yield decide(parts)
 
-    return ordered.mapInArrow(run, "_id long, _h long, first int, last int")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "prefix")
+    return dealt.mapInArrow(run, "_id long, _h long, first int, last int")
 
 
 def _whole_windows(listed: DataFrame, length: int) -> DataFrame:
@@ -289,13 +296,18 @@ def _whole_windows(listed: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame, length: int, group_records: int, tree_words: int) -> DataFrame:
     """``_id, _h, first, last``: runs of windows that also start under a smaller id."""
-    records = _records(keyed, length)
-    keys = planned(records, group_records)
-    sums = {r["whole"]: r["n"] for r in keys.groupBy((F.col("ladder") == WHOLE).alias("whole")).agg(F.sum("n").alias("n")).collect()}
-    found = store(records.join(keys.select("key", "ladder"), "key").select("_id", "_h", "place", "ladder"), "suffix-found")
-    spans = _in_trees(_sent(_listed(found.where(F.col("ladder") != WHOLE), keyed), sums.get(False, 0) // BUCKET_RECORDS + 1, length), length, tree_words)
+    found = shared_records(_records(keyed.select("_id", "_h", "_text"), length))
+    mixed = found.where("not same").drop("least", "same")
+    wholes = store(mixed.groupBy("key", "whole").agg(F.min("_id").alias("least")), "suffix-wholes")
+    prefixes = planned(wholes, group_records)
+    sums = {r["hot"]: r["n"] for r in prefixes.groupBy((F.col("ladder") == WHOLE).alias("hot")).agg(F.sum("n").alias("n")).collect()}
+    leaves = store(mixed.join(wholes, ["key", "whole"]).select("_id", "_h", "key", "place", "least"), "suffix-leaves")
+    settled = _windows_of(found.where("same and _id > least")).unionByName(_windows_of(leaves.where("_id > least")))
+    asked = leaves.where("_id = least").join(prefixes.select("key", "ladder"), "key")
+    buckets = sums.get(False, 0) // BUCKET_RECORDS + 1
+    spans = settled.unionByName(_in_trees(_sent(_listed(asked.where(F.col("ladder") != WHOLE), keyed), buckets, length), length, tree_words))
     if sums.get(True):
-        spans = spans.unionByName(_whole_windows(_listed(found.where(F.col("ladder") == WHOLE), keyed), length))
+        spans = spans.unionByName(_whole_windows(_listed(asked.where(F.col("ladder") == WHOLE), keyed), length))
     return spans
 
 
@@ -310,7 +322,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     others = [F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names) if n != text]
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("_id"), F.xxhash64(text).alias("_h"),
                         F.col(text).alias("_text"), *others)
-    spans = repeated_windows(keyed.select("_id", "_h", "_text"), length, group_records, tree_words)
+    spans = repeated_windows(keyed, length, group_records, tree_words)
     lists = spans.groupBy("_id", "_h").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("_spans"))
     source = keyed.join(lists, ["_id", "_h"], "left").select("_text", "_spans", *[f"_c{i}" for i, n in enumerate(names) if n != text])
     schema = T.StructType([*carry, *(T.StructField(n, t) for n, t in added.items())])
