@@ -76,7 +76,7 @@ LAYOUTS = tuple(Mapping(fields=f) for f in (
 
 def by_fingerprint(layouts=LAYOUTS) -> dict[str, Mapping]:
     table = {fingerprint(m.paths()): m for m in layouts}
-    # A list of turns may be empty.
+    # A list of turns may be empty: no turns, whichever layout its items would have.
     return table | {fingerprint({m.items}): m for m in layouts if m.items}
 
 

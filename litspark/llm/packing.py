@@ -14,7 +14,13 @@ source, the second reads them with the offsets of its part. No text moves.
 
 Null and empty texts are documents of the end id alone. The null source is a
 queue of its own. Every row is a document, also where ids repeat or are null.
-With more than ``MAX_QUEUES`` sources, the smallest share the last queue.
+
+Any number of sources: the ``MAX_QUEUES - 1`` largest have queues of their own. The
+documents of the others stand in one more, not source after source but by their
+own due times, the share of their source's tokens that lies before them, so every
+stretch of that queue holds those sources in proportion as well. It is
+range-sorted and numbered by prefix sums in Spark. A source's due times start at a
+hash of its name, so that sources of one document spread evenly.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import types as T
 
 from litspark.llm.common import small
 from litspark.llm.tokens import WordEncoder
-from litspark.llm.words import slabs
+from litspark.llm.words import slabs, tidy
 from litspark.session import store
 
 LENGTH = 4096
@@ -40,7 +46,9 @@ QUANTUM = 64
 MAX_QUEUES = 512
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 4 << 20
+#: Tokens of a range of the common queue, and cells (windows by queues) planned at once.
+RANGE_TOKENS, CELLS = 4_000_000, 500_000
 
 
 class Schedule:
@@ -99,6 +107,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Stored ``part, id, source, n, before, ids``: ``before`` counts the source's earlier tokens in its part."""
     schema = "part int, _id long, _source string, n long, before long, ids binary"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, sums = TaskContext.get().partitionId(), WordEncoder(tokenizer), {}
         for batch in batches:
@@ -127,42 +136,80 @@ def _pieces(plan: Schedule, queue: np.ndarray, start: np.ndarray, n: np.ndarray)
     spans = last - first + 1
     doc = np.repeat(np.arange(len(n)), spans)
     window = np.arange(len(doc)) - np.repeat(np.cumsum(spans) - spans, spans) + first[doc]
-    edges = np.unique(np.concatenate([window, window + 1]))
-    given = plan.given(edges)
-    a, b = given[np.searchsorted(edges, window)], given[np.searchsorted(edges, window + 1)]
-    at = np.arange(len(doc))
-    q = queue[doc]
-    left, right = np.maximum(a[at, q], start[doc]), np.minimum(b[at, q], start[doc] + n[doc])
-    ahead = np.cumsum(b - a, axis=1)[at, q] - (b - a)[at, q]
-    keep = right > left
-    return {k: v[keep] for k, v in {
-        "doc": doc, "start": left - start[doc], "length": right - left, "sequence_id": window,
-        "offset": ahead + left - a[at, q]}.items()}
+    every, parts = np.unique(window), []
+    step = max(16, CELLS // len(plan.t))
+    for lo in range(0, len(every), step):
+        # A text of any length: only so many windows are planned at once.
+        own = every[lo:lo + step]
+        at = np.flatnonzero((window >= own[0]) & (window <= own[-1]))
+        edges = np.unique(np.concatenate([own, own + 1]))
+        given = plan.given(edges)
+        ahead = np.cumsum(np.diff(given, axis=0, append=given[-1:]), axis=1)
+        row, q, d = np.searchsorted(edges, window[at]), queue[doc[at]], doc[at]
+        a, b = given[row, q], given[np.searchsorted(edges, window[at] + 1), q]
+        left, right = np.maximum(a, start[d]), np.minimum(b, start[d] + n[d])
+        # Windows of ``own`` are followed by their ends, so the difference to the next row is the window's.
+        found = np.stack([d, left - start[d], right - left, window[at], ahead[row, q] - (b - a) + left - a])
+        parts.append(found[:, right > left])
+    doc, first, size, window, offset = np.concatenate(parts, axis=1) if parts else np.empty((5, 0), np.int64)
+    order = np.lexsort((window, doc))
+    return {k: v[order] for k, v in {"doc": doc, "start": first, "length": size, "sequence_id": window, "offset": offset}.items()}
+
+
+def _queued(encoded: DataFrame, max_queues: int) -> tuple[DataFrame, list[int]]:
+    """``_id, _queue, _at, n, ids``: each document's place in its queue, and the queues' tokens."""
+    key = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")).alias("_key")
+    sums = store(encoded.groupBy(key, "part").agg(F.sum("n").alias("n")), "pack-sums")
+    totals = store(sums.groupBy("_key").agg(F.sum("n").alias("_all")), "pack-queues")
+    more = totals.limit(max_queues + 1).count() > max_queues
+    # At most ``max_queues`` sums.
+    heads = totals.orderBy(F.desc("_all"), "_key").limit(max_queues - more).collect()
+    earlier = Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    numbers = encoded.sparkSession.createDataFrame([(r["_key"], i) for i, r in enumerate(heads)], "_key string, _queue long")
+    bases = store(bases.join(totals, "_key").join(F.broadcast(numbers), "_key", "left"), "pack-bases")
+    placed = encoded.withColumn("_key", key).join(small(bases), ["_key", "part"]).withColumn("_at", F.col("_base") + F.col("before"))
+    own = placed.where("_queue is not null").select("_id", "_queue", "_at", "n", "ids")
+    if not more:
+        return own, [r["_all"] for r in heads]
+    rest = totals.join(F.broadcast(numbers), "_key", "left_anti").agg(F.sum("_all")).first()[0]
+    phase = F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) / (1 << 20)
+    due = (F.col("_at") + phase * F.col("n")) / F.col("_all")
+    tail = placed.where("_queue is null").select(due.alias("_due"), "_key", "_at", "_id", "n", "ids")
+    schema = "part int, before long, _id long, n long, ids binary"
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(before + np.cumsum(n) - n), *batch.columns[3:]],
+                                             names=["part", "before", "_id", "n", "ids"])
+            before += int(n.sum())
+
+    ranged = tail.repartitionByRange(int(rest // RANGE_TOKENS) + 1, "_due", "_key", "_at").sortWithinPartitions("_due", "_key", "_at")
+    ranged = store(ranged.mapInArrow(run, schema), "pack-common")
+    # One row per range.
+    in_order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_base"))
+    common = ranged.join(small(store(starts, "pack-ranges")), "part").select(
+        "_id", F.lit(len(heads)).cast("long").alias("_queue"), (F.col("_base") + F.col("before")).alias("_at"), "n", "ids")
+    return own.unionByName(common), [*(r["_all"] for r in heads), rest]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH,
-         quantum: int = QUANTUM, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+         quantum: int = QUANTUM, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False,
+         max_queues: int = MAX_QUEUES) -> DataFrame:
     """Per piece: id, ``start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on request, its ``ids``."""
     encoded = _encoded(docs.select(F.col(id_col).cast("long"), F.col(text), F.col(source).cast("string")), tokenizer, end_id)
-    sums = store(encoded.groupBy("_source", "part").agg(F.sum("n").alias("n")), "pack-sums")
-    by_size = Window.orderBy(F.desc("n"), F.asc_nulls_last("_source"))
-    queues = sums.groupBy("_source").agg(F.sum("n").alias("n")).withColumn(
-        "_queue", F.least(F.row_number().over(by_size), F.lit(MAX_QUEUES)) - 1)
-    queues = store(queues, "pack-queues")
-    # At most MAX_QUEUES sums.
-    totals = [r["n"] for r in queues.groupBy("_queue").agg(F.sum("n").alias("n")).orderBy("_queue").collect()]
-    earlier = Window.partitionBy("_queue").orderBy("_source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    key = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")).alias("_key")
-    bases = sums.select(key, "part", "n").join(queues.select(key, "_source", "_queue"), "_key").select(
-        "_key", "part", "_queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    placed = encoded.select("*", key).join(small(bases), ["_key", "part"]).select(
-        "_id", "_queue", (F.col("_base") + F.col("before")).alias("_at"), "n", "ids")
+    placed, totals = _queued(encoded, max_queues)
     fields = [T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
     names = [f.name for f in fields]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Schedule(totals, length, quantum)
         for whole in batches:

@@ -216,6 +216,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", runs: str = "runs", colla
     source = docs.select(docs[text].alias("_searched"), *[f"`{n}`" for n in names])
     schema = T.StructType([*carry, *(T.StructField(n, t) for n, t in added.items())])
 
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slabs(batch.column(0)):

@@ -26,6 +26,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: Share of a document's word characters that may go with its failing lines.
 MAX_LOST_PERCENT = 30
+#: The same with notices among the lost lines.
+MAX_GONE_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10
 MAX_UPPER_PERCENT = 60
 #: Phrases of notices; a line of at most MAX_NOTICE_WORDS words that holds one is boilerplate.
@@ -96,12 +98,12 @@ def _judge(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     bad = ~closed | navigation | noisy | shouting | notice
     sizes = heads[le] - heads[ls]
     lost, all_chars = W.count_by(lr, n, sizes * bad), W.count_by(lr, n, sizes)
-    # A notice is taken out, but doesn't count against the text around it.
+    # A notice is taken out, but counts little against the text around it.
     harm, rest = W.count_by(lr, n, sizes * (bad & ~notice)), W.count_by(lr, n, sizes * ~notice)
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (
         100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
     out["lost_chars"] = lost
-    out["kept"] = ~out["base_failed"] & (lost < all_chars) & (100 * harm <= MAX_LOST_PERCENT * rest) & (
+    out["kept"] = ~out["base_failed"] & (100 * lost <= MAX_GONE_PERCENT * all_chars) & (lost < all_chars) & (100 * harm <= MAX_LOST_PERCENT * rest) & (
         100 * out["n_symbols"] <= MAX_SYMBOL_PERCENT * out["word_chars"])
     # Lines without a word stay where they are; a failing line goes with its newline.
     drop = np.zeros(len(data) + 1, dtype=np.int64)
@@ -122,7 +124,8 @@ def judge_lines(docs: DataFrame, text: str = "text", cleaned: str | None = "clea
 
     ``kept`` is false when a base rule fails, when every line goes, when
     failing lines other than notices hold more than ``MAX_LOST_PERCENT`` of the
-    characters of lines other than notices, or when symbols exceed
+    characters of lines other than notices, when all failing lines hold more
+    than ``MAX_GONE_PERCENT`` of all characters, or when symbols exceed
     ``MAX_SYMBOL_PERCENT`` of the word characters. Columns of ``docs`` that
     clash with a result column are replaced; without ``cleaned`` texts are
     neither rebuilt nor returned.
@@ -133,6 +136,7 @@ def judge_lines(docs: DataFrame, text: str = "text", cleaned: str | None = "clea
     source = docs.select(docs[text].alias("_judged"), *[f"`{f.name}`" for f in carry])
     names = [f.name for f in carry]
 
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slabs(batch.column(0)):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.llm.common import small
-from litspark.llm.words import mix, slabs, span_hashes, window_hashes, word_spans
+from litspark.llm.words import mix, slabs, span_hashes, tidy, window_hashes, word_spans
 from litspark.session import store
 
 #: Two sets link when their intersection holds at least so many hundredths of their union.
@@ -92,6 +92,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def cell_levels(docs: DataFrame, text: str) -> np.ndarray:
     """How common the shingles of each hashed cell are, 0 for the ordinary, from counts over all texts."""
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
@@ -102,6 +103,7 @@ def cell_levels(docs: DataFrame, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())],
                                          names=["part", "counts"])
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -128,6 +130,7 @@ def _prefixes(docs: DataFrame, text: str, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     schema = "_key long, _h long, n long, sid long, k0 long, k1 long, k2 long, prefix binary"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.astype(np.uint64)
         for batch in batches:
@@ -165,6 +168,7 @@ def compare(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str) -> Da
     wanted = store(wanted, "join-wanted")
     source = docs.select("_key", "_h", text).join(small(wanted, BROADCAST_ROWS), ["_key", "_h"]).select("sid", "ys", "salts", text)
 
+    @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in slabs(batch.column(3)):
@@ -185,6 +189,7 @@ def compare(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
                         pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["y", "salt", "role", "x", "members"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, last = None, None, None
         for batch in batches:
@@ -315,6 +320,7 @@ def _candidates(prefixes: DataFrame, centres: DataFrame, total: int) -> DataFram
     placed = prefixes.where("n > 0").select("sid", "n", "prefix").join(small(centres, BROADCAST_ROWS), "sid", "left").select(
         F.coalesce("centre", "sid").alias("centre"), F.coalesce("centre_n", "n").alias("n"), F.col("centre").isNotNull().alias("many"), "prefix")
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, homes, size = [], [], 0
 
@@ -345,6 +351,7 @@ def _candidates(prefixes: DataFrame, centres: DataFrame, total: int) -> DataFram
         if size:
             yield from flush()
 
+    @tidy
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _grouped(batches, ENTRY):
             found = _entries(parts)
@@ -356,6 +363,7 @@ def _candidates(prefixes: DataFrame, centres: DataFrame, total: int) -> DataFram
             out["many"] = found["many"][at] | found["many"][to]
             yield from _homed(out, out["y"], buckets)
 
+    @tidy
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _grouped(batches, PAIR):
             found = np.concatenate(parts)
@@ -410,6 +418,7 @@ def _listed(keys: np.ndarray, values: np.ndarray, names: list[str]) -> Iterator[
 
 def _destinations(blocks: DataFrame, homes: int) -> DataFrame:
     """``sid, to``: the blocks that need a set, from ``blocks(xs, label, sub)``."""
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.diff(batch.column(0).offsets.to_numpy())
@@ -419,6 +428,7 @@ def _destinations(blocks: DataFrame, homes: int) -> DataFrame:
             out = np.unique(out)
             yield from _homed(out, out["x"], homes)
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _grouped(batches, SENT):
             found = np.unique(np.concatenate(parts))
@@ -457,6 +467,7 @@ def compare_blocks(partners: DataFrame, docs: DataFrame, sets: DataFrame, state:
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary())
     slack = 1 - LINK / 100 + 1e-9
 
+    @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in slabs(batch.column(6)):
@@ -473,6 +484,7 @@ def compare_blocks(partners: DataFrame, docs: DataFrame, sets: DataFrame, state:
                 for lo in range(0, len(out), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo:lo + 500]), kinds)], names=names)
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ys, wants, parent, out, last = None, {}, {}, {}, [], None
 
@@ -521,8 +533,8 @@ def compare_blocks(partners: DataFrame, docs: DataFrame, sets: DataFrame, state:
     return store(met.mapInArrow(meet, "x long, y long, d double, linked boolean"), "join-judged")
 
 
-def link_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links (null only without an id)."""
+def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``_key, _h, n, _group`` of every row; the group, a set of those linked, is null for rows without a shingle."""
     docs = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_key"), F.col(text).alias("_text")).withColumn(
         "_h", F.xxhash64("_text"))
     prefixes = _prefixes(docs, "_text", cell_levels(docs, "_text"))
@@ -566,9 +578,37 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
     edges = close.select("x", "y").unionByName(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     whole = components(edges)
-    labelled = prefixes.select("_key", "n", "sid").join(small(whole.withColumnRenamed("node", "sid"), BROADCAST_ROWS), "sid", "left").withColumn(
+    labelled = prefixes.select("_key", "_h", "n", "sid").join(small(whole.withColumnRenamed("node", "sid"), BROADCAST_ROWS), "sid", "left").withColumn(
         "_group", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
+    return labelled.select("_key", "_h", "n", "_group")
+
+
+def link_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links (null only without an id)."""
+    labelled = _rows(docs, id_col, text)
     ids = labelled.where(F.col("_group").isNotNull() & (F.col("_key") != NONE)).groupBy("_group").agg(F.min("_key").alias("_least"))
     return labelled.join(ids, "_group", "left").select(
         F.when(F.col("_key") != NONE, F.col("_key")).alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("_least", F.when(F.col("_key") != NONE, F.col("_key"))).alias("component_id"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of each group of linked rows, and all rows that link with none; nulls count as the largest id.
+
+    Rows go by id and text, so another text under the id of a duplicate stays.
+    Of rows equal in both, one stays, also where they hold no shingle.
+    """
+    labelled = store(_rows(docs, id_col, text), "join-rows")
+    order = F.struct((F.col("_key") == NONE).alias("none"), "_key", "_h")
+    first = labelled.where("_group is not null").groupBy("_group").agg(F.min(order).alias("_first"))
+    row = F.struct("_key", "_h")
+    gone = labelled.select("_group", row.alias("_row")).join(small(first, BROADCAST_ROWS), "_group").where(
+        F.col("_row") != F.struct("_first._key", "_first._h")).select("_row.*").distinct()
+    again = store(labelled.groupBy("_key", "_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_key", "_h"), "join-repeated")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)), "_h": F.xxhash64(text)})
+    kept = keyed.join(small(gone, BROADCAST_ROWS), ["_key", "_h"], "left_anti")
+    if again.limit(1).count():
+        # Only rows that share id and text can be repeats of one another.
+        again = small(again, BROADCAST_ROWS)
+        kept = kept.join(again, ["_key", "_h"], "left_anti").unionByName(kept.join(again, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]))
+    return kept.drop("_key", "_h")

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.words import mix, raw
+from litspark.llm.words import mix, raw, tidy
 from litspark.session import store
 
 #: Bytes of a repeated string: eight q-grams.
 LENGTH = 200
+#: A record tells in one byte how many windows share its anchor.
+MAX_LENGTH = 504
 #: Text per hash bucket, and records combined in a task before they are sent.
 BUCKET_BYTES, COMBINED = 64 << 20, 250_000
 #: Windows refined singly per hash bucket, at most.
@@ -220,6 +222,7 @@ def _in_buckets(sent: DataFrame, homes: int, length: int, windows: bool) -> Data
         left["many"] = many[open_ & first]
         return out + _to_docs(left, OPEN, homes, length)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, size, partial = None, [], 0, False
         for batch in batches:
@@ -250,6 +253,7 @@ def _records(a: np.ndarray, b: np.ndarray, ids: np.ndarray, hs: np.ndarray, at:
 
 
 def _anchor_round(keyed: DataFrame, buckets: int, homes: int, length: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -271,6 +275,7 @@ def _anchor_round(keyed: DataFrame, buckets: int, homes: int, length: int) -> Da
 
 
 def _window_round(opened: DataFrame, buckets: int, homes: int, length: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -294,6 +299,7 @@ def _window_round(opened: DataFrame, buckets: int, homes: int, length: int) -> D
 
 def _gathered(found: DataFrame) -> DataFrame:
     """``_id, _h, runs``: a row per document with its (first, last, many) in order, as 32-bit numbers."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             own = np.unique(np.concatenate(parts))
@@ -321,8 +327,8 @@ def _gathered(found: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the keys ``_id, _h``, and per key its repeated spans."""
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
+    if length % 8 or length > MAX_LENGTH:
+        raise ValueError(f"length must be a multiple of 8 and at most {MAX_LENGTH}")
     keyed = docs.withColumns({
         "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))})
     narrow = keyed.select("_id", "_h", text)
@@ -351,6 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     source = keyed.join(spans, ["_id", "_h"], "left").select(F.col(text).alias("_text"), "runs", *[f"`{n}`" for n in names])
     schema = T.StructType([*carry, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(0))

@@ -123,6 +123,7 @@ def _run_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.n
 
 def _records(keyed: DataFrame, length: int) -> DataFrame:
     """``_id, _h, key, whole, place`` of every record: hashes from the pivot and of all words; ``place`` packs first window, windows less one and pivot."""
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slabs(batch.column(2)):
@@ -180,6 +181,7 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def _sent(listed: DataFrame, buckets: int, length: int) -> DataFrame:
     """The records asked for, with their words, by group."""
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, start, end, hashes, (own, first, more, pivot, ladder, base) in _documents(batch):
@@ -253,6 +255,7 @@ def _in_trees(sent: DataFrame, length: int, tree_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[record], hs[record], (first[record] + a).astype(np.int32),
                                                                  (first[record] + b).astype(np.int32))], names=list(_SPAN))
 
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, now = [], 0, None
         for batch in batches:
@@ -274,6 +277,7 @@ def _in_trees(sent: DataFrame, length: int, tree_words: int) -> DataFrame:
 
 def _whole_windows(listed: DataFrame, length: int) -> DataFrame:
     """Spans of windows under prefixes too common for a group: the prefix is the window itself."""
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _, _, hashes, (own, first, more, _, ladder, base) in _documents(batch):
@@ -327,6 +331,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     source = keyed.join(lists, ["_id", "_h"], "left").select("_text", "_spans", *[f"_c{i}" for i, n in enumerate(names) if n != text])
     schema = T.StructType([*carry, *(T.StructField(n, t) for n, t in added.items())])
 
+    @W.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.slabs(batch.column(0)):

@@ -28,16 +28,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.words import mix, slabs, span_hashes, word_spans
+from litspark.llm.words import mix, slabs, span_hashes, tidy, word_spans
 
 WINDOW, STEP = 24, 12
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 10, 8, 8
 #: Labelled rows of either class that the network is fitted on.
 TRAIN_DOCS = 1500
+#: Bytes of all training texts together, in the same order.
+TRAIN_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 3
 #: Embeddings move slower than the rest, by this factor.
 EMBEDDING_RATE = 0.6
@@ -271,14 +274,21 @@ def fold(id_col: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
                   per_class: int = TRAIN_DOCS) -> list:
-    """A bounded sample of labelled rows outside the held-out fold, in hash order."""
+    """A bounded sample of labelled rows outside the held-out fold, in hash order: at most ``per_class`` ids of each label and ``TRAIN_BYTES`` of text.
+
+    Where an id stands on several rows, the text with the least hash is taken.
+    """
     usable = labels.where(F.col(label).isin(0, 1) & (fold(F.col(id_col)) != 1)).select(id_col, F.col(label).cast("int").alias("_label"))
     drawn = None
     for value in (0, 1):
-        one = usable.where(F.col("_label") == value).orderBy(F.xxhash64(F.lit(SEED), id_col), id_col).limit(per_class)
+        one = usable.where(F.col("_label") == value).distinct().orderBy(F.xxhash64(F.lit(SEED), id_col), id_col).limit(per_class)
         drawn = one if drawn is None else drawn.unionByName(one)
     found = docs.select(id_col, F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(drawn), id_col)
-    return sorted(((r["_label"], r["_text"]) for r in found.limit(4 * per_class).collect()), key=lambda r: (r[1], r[0]))
+    found = found.groupBy(id_col, "_label").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+    # At most ``2 * per_class`` rows are left.
+    order = Window.orderBy(F.xxhash64(F.lit(SEED), id_col), id_col, "_label")
+    fits = found.withColumn("_sum", F.sum(F.octet_length("_text")).over(order)).where(F.col("_sum") <= TRAIN_BYTES)
+    return sorted(((r["_label"], r["_text"]) for r in fits.collect()), key=lambda r: (r[1], r[0]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -290,6 +300,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
                            T.StructField("predicted", T.IntegerType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:

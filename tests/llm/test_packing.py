@@ -90,6 +90,31 @@ def test_pack(spark, encode):
             assert abs(window.get(s, 0) - 512 * n / sum(total.values())) <= 2 * P.QUANTUM
 
 
+def test_any_number_of_sources(spark, encode, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_TOKENS", 3_000)
+    monkeypatch.setattr(P, "CELLS", 200)
+    docs = [(s * 10 + k, f"word {k} of " * (1 + k), f"src{s}" if s else None) for s in range(2_000) for k in range(3 if s % 3 else 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    rows = P.pack(df, length=1024, with_ids=True, max_queues=20).collect()
+    check(rows, docs, encode, 1024)
+    last = max(r["sequence_id"] for r in rows)
+    of = {i: s for i, _, s in docs}
+    # Every window holds its share of small sources, and they are spread: one half of them is half in each half of the windows.
+    counts = {}
+    for r in rows:
+        counts.setdefault(r["sequence_id"], set()).add(of[r["doc_id"]])
+    assert min(len(counts[w]) for w in range(last)) > 40
+    early = sum(r["length"] for r in rows if r["sequence_id"] < last / 2 and (of[r["doc_id"]] or "src0") < "src5")
+    late = sum(r["length"] for r in rows if r["sequence_id"] >= last / 2 and (of[r["doc_id"]] or "src0") < "src5")
+    assert 0.8 < early / late < 1.25
+
+
+def test_a_very_long_text(spark, encode):
+    docs = [(1, "long text here " * 60_000, "a"), (2, "b c", "b"), (3, "x y z " * 900, None)]
+    rows = P.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), length=256, with_ids=True).collect()
+    check(rows, docs, encode, 256)
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s")] * 9 + [(None, None, None)], "doc_id long, text string, source string")
     assert sum(r["length"] for r in P.pack(df).collect()) == 9 * 3 + 1

@@ -101,9 +101,10 @@ def test_packing(spark, tables):
 
 def test_repeated_and_null_ids(spark):
     text = "The old mill by the river turns slowly while the miller counts his sacks of grain every evening."
-    rows = [(5, text), (5, text), (3, text), (None, text + " And more."), (None, "Quite another story about boats and tides and harbours at dawn."), (8, None)]
+    rows = [(5, text), (5, text), (3, text), (None, text + " And more."), (None, "Quite another story about boats and tides and harbours at dawn."), (8, None), (5, "Under the same number stands an unrelated note about bees that nobody else has written down so far.")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = P.near_duplicates(spark, docs, SF_DIR)
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 3, 8]
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 5, 8]
+    assert {r["text"][:5] for r in kept.where("doc_id = 5 or doc_id is null").collect()} == {"Under", "Quite"}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0

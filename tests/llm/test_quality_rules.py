@@ -74,6 +74,15 @@ def test_lines_go_before_documents(run):
     assert got[3][6] is False and got[3][7] == ""
 
 
+def test_a_text_of_notices_goes(run):
+    lines = [f"Copy number {i} of this page, all rights reserved." for i in range(200)]
+    rest = ("Rivers carve their valleys slowly over thousands of patient years.\nFarmers upstream watch each flood with worry and some hope.\n"
+            "Boats return at dusk with lights along the mole.")
+    got = run(["\n".join([*lines, SENTENCE]), f"{rest}\n{lines[0]}"])
+    assert got[0][6] is False
+    assert got[1][6] is True and "reserved" not in got[1][7]
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, SENTENCE, "mine", 7)], "doc_id long, text string, kept string, n_words int")
     out = Q.judge_lines(df)
