@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near duplicates, repeated substrings, mixing and packing, one table after the other.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents (others are dropped, so
+names can't clash). Null and empty texts, of any id, have no words and go in the
+first stage. Texts of any length stay whole. Ties go to the smaller id, and rows
+that agree in id and text count as one document from the second stage on. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.llm import mixing, packing, quality_rules, set_join, substrings
-from litspark.llm.common import small
 from litspark.session import store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,17 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id; of repeated rows, one."""
-    linked = store(set_join.link_sets(docs.select("doc_id", "text")).select("doc_id", "component_id"), "pipeline-links")
-    docs = docs.select(*COLUMNS)
-    repeated = store(linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
-    if repeated.limit(1).count():
-        # Only rows that share an id can be repeats of one another.
-        ids = repeated.withColumnRenamed("doc_id", "_again")
-        same = F.col("doc_id").eqNullSafe(F.col("_again"))
-        docs = docs.join(ids, same, "left_anti").unionByName(docs.join(ids, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(small(gone, set_join.BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of linked ones, the one with the smallest id; nulls count as the largest, and equal rows are one document."""
+    return set_join.survivors(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
