@@ -36,17 +36,21 @@ def legacy_window_texts(
 
 def section_texts(
     content: Column, kind: Column, word_list: Column,
-    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
+    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, table_cap: int | None = None,
 ) -> Column:
-    """Chunk texts of one section according to its kind and length."""
+    """Chunk texts of one section according to its kind and length.
+
+    A table beyond ``TABLE_WORD_CAP`` words is windowed like prose; with ``table_cap``
+    it is cut after so many words, with a note, and the rest is in no chunk.
+    """
     n = F.size(word_list)
     whole = F.array(content)
     none = F.array().cast("array<string>")
-    table = F.when(
-        n > K.TABLE_WORD_CAP,
-        F.array(F.concat(F.array_join(F.slice(word_list, 1, K.TABLE_WORD_CAP), " "),
-                         F.lit(" " + K.TABLE_NOTE))),
-    ).otherwise(whole)
+    if table_cap is None:
+        table = F.when(n > K.TABLE_WORD_CAP, window_texts(word_list, size, overlap)).otherwise(whole)
+    else:
+        cut = F.concat(F.array_join(F.slice(word_list, 1, table_cap), " "), F.lit(" " + K.TABLE_NOTE))
+        table = F.when(n > table_cap, F.array(cut)).otherwise(whole)
     prose = (
         F.when(n < K.MIN_CHUNK_WORDS, none)
         .when(n <= K.SHORT_SECTION_WORDS, whole)
@@ -61,7 +65,7 @@ def section_texts(
 
 
 def paper_chunks(
-    sections: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+    sections: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, table_cap: int | None = None,
 ) -> Column:
     """``array<struct<section, chunk_type, text>>`` over all sections in order."""
     split = F.transform(
@@ -76,7 +80,7 @@ def paper_chunks(
         F.transform(
             split,
             lambda s: F.transform(
-                section_texts(s["content"], s["kind"], s["words"], size, overlap),
+                section_texts(s["content"], s["kind"], s["words"], size, overlap, table_cap),
                 lambda t: F.struct(
                     s["name"].alias("section"), kind(s["kind"]).alias("chunk_type"), t.alias("text")
                 ),

@@ -100,8 +100,9 @@ def author_heads(authors: Column, keep: int = 3) -> Column:
     return F.when(F.size(people) > keep, F.concat(joined, F.lit(" et al."))).otherwise(joined)
 
 
-def source_detail(c: Column) -> Column:
-    """Ten-field source record of a ranked chunk struct."""
+def source_detail(c: Column, finding_chars: int | None = None) -> Column:
+    """Ten-field source record of a ranked chunk struct; ``finding_chars`` cuts the key finding."""
+    finding = F.coalesce(c["text"], F.lit(""))
     blank = F.lit("")
     return F.struct(
         c["chunk_id"].alias("chunk_id"),
@@ -112,7 +113,7 @@ def source_detail(c: Column) -> Column:
         F.coalesce(c["study_design"], blank).alias("study_design"),
         c["sample_size"].alias("sample_size"),
         F.coalesce(c["section"], blank).alias("section"),
-        F.left(F.coalesce(c["text"], blank), F.lit(150)).alias("key_finding"),
+        (finding if finding_chars is None else F.left(finding, F.lit(finding_chars))).alias("key_finding"),
         F.coalesce(c["pmid"], blank).alias("pmid"),
     )
 

@@ -45,6 +45,29 @@ def harvest_ids(pages: DataFrame, cap: int | None = None) -> DataFrame:
     return ids if cap is None else ids.orderBy("window", "position").limit(cap)
 
 
+def harvest_windows(hits: DataFrame, limit: int = K.HARVEST_LIMIT) -> DataFrame:
+    """``start, end, hits, over``: date windows of at most ``limit`` hits, from ``hits(day, hits)``.
+
+    One window if all hits fit; else one per year, a year above the limit by months
+    and a month above it by days. A single day above the limit can't be split
+    and is marked ``over``. Days may repeat; null days and days without hits are left out.
+    """
+    day = hits.where("day is not null").groupBy("day").agg(F.sum("hits").cast("bigint").alias("hits")).where("hits > 0")
+    day = day.withColumns({"year": F.trunc("day", "year"), "month": F.trunc("day", "month")})
+    month = day.groupBy("year", "month").agg(F.sum("hits").alias("month_hits"))
+    year = month.groupBy("year").agg(F.sum("month_hits").alias("year_hits"))
+    total = F.coalesce(year.agg(F.sum("year_hits").alias("t")).scalar(), F.lit(0))
+    # Totals per year and month are few rows; only days move, and only their counts.
+    marked = day.join(F.broadcast(year), "year").join(month.drop("year"), "month")
+    level = F.when(total <= limit, 0).when(F.col("year_hits") <= limit, 1).when(F.col("month_hits") <= limit, 2).otherwise(3)
+    window = F.when(level == 0, F.lit(None).cast("date")).when(level == 1, F.col("year")).when(level == 2, F.col("month")).otherwise(F.col("day"))
+    last = F.when(level == 1, F.last_day(F.add_months("year", 11))).when(level == 2, F.last_day("month")).otherwise(F.col("day"))
+    first = F.when(level == 0, F.col("day")).otherwise(window)
+    return marked.select(window.alias("_w"), level.alias("_l"), first.alias("start"), last.alias("end"), "hits").groupBy("_w", "_l").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("hits").alias("hits")).select(
+        "start", "end", "hits", (F.col("hits") > limit).alias("over"))
+
+
 def normalise_extractions(papers: DataFrame, responses: DataFrame, model: str = "") -> DataFrame:
     """Normalised extraction record per paper from raw responses ``(pmid, response)``."""
     return papers.select("pmid", "abstract").join(responses, "pmid", "left").select(
@@ -71,13 +94,13 @@ PAPER_FIELDS = ["paper_key", "pmid", "title", "authors", "journal", "year", "can
                 "sample_size", "primary_outcome", "intervention", "comparator", "evidence_level", "topic"]
 
 
-def chunk_papers(papers: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+def chunk_papers(papers: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, table_cap: int | None = None) -> DataFrame:
     """Chunks of every paper with paper fields repeated; no shuffle.
 
     ``papers(paper_key, sections array<struct<name, content, section_type>>, …)``.
     """
     keep = [c for c in PAPER_FIELDS if c in papers.columns]
-    flat = papers.select(*keep, F.posexplode(paper_chunks(F.col("sections"), size, overlap)).alias(
+    flat = papers.select(*keep, F.posexplode(paper_chunks(F.col("sections"), size, overlap, table_cap)).alias(
         "chunk_index", "c"))
     return flat.select(
         chunk_id(F.col("paper_key"), F.col("c.section"), F.col("chunk_index")).alias("chunk_id"),

@@ -81,10 +81,11 @@ def cosine_relevance(candidates: DataFrame, query_vectors: DataFrame, vectors: D
         "relevance_score", F.round(cosine(F.col("_q"), F.col("_v")), 9)).drop("_q", "_v")
 
 
-def extract_responses(papers: DataFrame, fn: Callable[[list], list], max_chars: int = 2000,
+def extract_responses(papers: DataFrame, fn: Callable[[list], list], max_chars: int | None = None,
                       batch: int = BATCH) -> DataFrame:
-    """``(pmid, response)``: the extractor's raw text per abstract; null where it failed."""
-    asked = papers.select("pmid", F.left("abstract", F.lit(max_chars)).alias("_abstract"))
+    """``(pmid, response)``: the extractor's raw text per abstract, null where it failed; ``max_chars`` cuts what it is asked."""
+    abstract = F.col("abstract") if max_chars is None else F.left("abstract", F.lit(max_chars))
+    asked = papers.select("pmid", abstract.alias("_abstract"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -32,7 +32,7 @@ class CorpusBuild:
 
 def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = None,
                  skip_low_quality: bool = True, max_papers_per_topic: int | None = None,
-                 size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> CorpusBuild:
+                 size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, table_cap: int | None = None) -> CorpusBuild:
     """Skip known papers, settle topics, gate quality, attach metadata, chunk.
 
     Which papers are new, and under which topic, is decided on ids alone; whole
@@ -53,7 +53,7 @@ def build_corpus(papers: DataFrame, state: DataFrame, meta: DataFrame | None = N
                 "intervention string, comparator string")
     ready = corpus.attach_metadata(kept, meta)
     return CorpusBuild(
-        papers=ready, chunks=corpus.with_embedding_text(corpus.chunk_papers(ready, size, overlap)),
+        papers=ready, chunks=corpus.with_embedding_text(corpus.chunk_papers(ready, size, overlap, table_cap)),
         rejected=quality.rejections(scored), found=found, new=new)
 
 

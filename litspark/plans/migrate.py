@@ -14,12 +14,12 @@ from litspark.operators.scorers import embed
 from litspark.sources.records import LEGACY_KEYS, current_payload, eav_pivot
 
 
-def migrate_eav(embeddings: DataFrame, metadata: DataFrame) -> DataFrame:
+def migrate_eav(embeddings: DataFrame, metadata: DataFrame, text_cut: int | None = None) -> DataFrame:
     """Current chunk rows with point id and embedding text, before any model call."""
     wide = eav_pivot(embeddings, metadata, LEGACY_KEYS)
-    texts = wide.select(F.col("embedding_id").alias("chunk_id"), embedding_text(
-        F.coalesce("`chroma:document`", F.lit("")), F.col("title"), F.col("section_name")).alias("embed_text"))
-    return current_payload(wide).join(texts, "chunk_id").withColumn("point_id", point_id(F.col("chunk_id")))
+    # The embedding text is of the whole text, whatever is kept of it.
+    rows = current_payload(wide).withColumns({"embed_text": embedding_text(F.col("text"), F.col("title"), F.col("section")), "point_id": point_id(F.col("chunk_id"))})
+    return rows if text_cut is None else rows.withColumn("text", F.left("text", F.lit(text_cut)))
 
 
 def run_migration(embeddings: DataFrame, metadata: DataFrame, embedder: Callable[[list], list], path: str) -> DataFrame:

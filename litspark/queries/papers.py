@@ -285,7 +285,7 @@ def eav_pivot(spark, sf_dir):
 def payload_map(spark, sf_dir):
     """Wide rows mapped to the current chunk layout, with the embedding text."""
     wide = records.eav_pivot(*_eav(spark, sf_dir), records.LEGACY_KEYS)
-    cur = records.current_payload(wide)
+    cur = records.current_payload(wide, 2000)
     return _big(cur.select(
         "chunk_id", "text", "pmcid", "title", "year", "topic", F.array_join("cancer_type", ",").alias("cancer_type"),
         "chunk_index", "total_chunks", "evidence_level", "study_design",

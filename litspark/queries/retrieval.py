@@ -199,20 +199,12 @@ def retrieval_confidence(spark, sf_dir):
 
 
 def fallback_union(spark, sf_dir):
-    """Questions without a graded chunk answered from external abstracts."""
-    i = F.col("doc_id")
-    ext = V.table(spark, sf_dir, "documents").join(
-        V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select(
-        i.cast("string").alias("query_id"), F.lit(1).alias("rank"), i.alias("pmid"), F.col("source").alias("title"),
-        F.when(i % 7 != 0, F.col("text")).otherwise("").alias("abstract"), (i % 20 + 2000).cast("string").alias("year"))
-    r = _run(spark, sf_dir, external=external_evidence(ext), floor=0.9).ranked
-    return r.groupBy("query_id", "used_fallback").agg(
-        F.count("*").alias("n"), F.round(F.avg("relevance_score"), 10).alias("mean_relevance"),
-        F.md5(F.min("chunk_id")).alias("first_md5"))
-
+    """Questions without a graded chunk answered from external abstracts.
 
-def fallback_union_all(spark, sf_dir):
-    """The same with every document as evidence: dealt over the questions, in id order, of which a question keeps the operator's top."""
+    Every document is evidence, dealt over the questions, in id order, of which a
+    question keeps the operator's top. Documents whose id is divisible by seven
+    stand for records without an abstract, which the operator drops.
+    """
     from pyspark.sql import Window
 
     asked = V.table(spark, sf_dir, "benchmark").select("item_id").distinct()
@@ -302,7 +294,7 @@ def grounded_sources(spark, sf_dir):
 def source_details(spark, sf_dir):
     """Ten-field source record of every ranked paper."""
     r = _ranked_docs(spark, sf_dir)
-    d = r.select("query_id", C.source_detail(F.struct(*r.columns)).alias("d")).select("query_id", "d.*")
+    d = r.select("query_id", C.source_detail(F.struct(*r.columns), 150).alias("d")).select("query_id", "d.*")
     return _ints(d, "year", "sample_size")
 
 
@@ -310,9 +302,11 @@ QUERIES = {f.__name__: f for f in (
     keyword_index_df, keyword_doc_stats, keyword_topk, keyword_topk_index, keyword_topk_stored, chunk_paper_join, keyword_matches, keyword_topk_filtered,
     keyword_topk_filtered_index, embedding_cosine,
     dense_topk, dense_topk_filtered, dense_topk_blocks, filter_nulls_dense, filter_nulls_keyword, request_filter_map,
-    rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, fallback_union_all, rerank_weights,
+    rrf_fusion, diversity_cap, hybrid_retrieve, retrieval_confidence, fallback_union, rerank_weights,
     answer_confidence_scores, evidence_confidence, gate_counts, weak_suppressed, context_budget, context_budget_card,
     grounded_sources, source_details)}
+#: The name under which all documents were evidence first.
+QUERIES["fallback_union_all"] = fallback_union
 
 _CENTER = """
 dim_v AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
@@ -398,14 +392,6 @@ ORACLE = {
         FROM questions_v q LEFT JOIN (SELECT query_id, avg(relevance_score) AS c, count(*) AS n FROM graded_v GROUP BY 1) USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS k FROM capped_v GROUP BY 1) USING (query_id)"""),
     "fallback_union": _with("reranked_v questions_v", """
-        own AS (SELECT query_id, chunk_id, relevance_score FROM reranked_v WHERE relevance_score >= 0.9),
-        ext AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, 'pubmed:' || doc_id AS chunk_id, 0.45::DOUBLE AS relevance_score
-                FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark) AND doc_id % 7 <> 0)""", """
-        SELECT query_id, used_fallback, count(*) AS n, round(avg(relevance_score), 10) AS mean_relevance, md5(min(chunk_id)) AS first_md5
-        FROM (SELECT *, false AS used_fallback FROM own UNION ALL SELECT *, true FROM ext WHERE query_id NOT IN (SELECT query_id FROM own)
-              AND query_id IN (SELECT query_id FROM questions_v))
-        GROUP BY ALL"""),
-    "fallback_union_all": _with("reranked_v questions_v", """
         own AS (SELECT query_id, chunk_id, relevance_score FROM reranked_v WHERE relevance_score >= 0.9),
         slot AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM benchmark)),
         ext AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'pubmed:' || doc_id AS chunk_id, 0.45::DOUBLE AS relevance_score
@@ -443,6 +429,7 @@ ORACLE = {
                array_to_string(authors[1:3], ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors, journal, year, study_design,
                sample_size, 'abstract' AS section, left(whole, 150) AS key_finding, pmid FROM docs_v"""),
 }
+ORACLE["fallback_union_all"] = ORACLE["fallback_union"]
 ORACLE["keyword_topk_index"] = ORACLE["keyword_topk_stored"] = ORACLE["keyword_topk"]
 ORACLE["chunk_paper_join"] = sql("chunks_v", """
     SELECT journal, section, count(*) AS chunks, count(DISTINCT paper_key) AS papers, max(year)::BIGINT AS latest FROM chunks_v GROUP BY ALL""")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litspark import constants as K
 from litspark.operators import evaluate, stats
 from litspark.operators.keyword import top_ranked
 from litspark.operators.quantiles import positional_quantiles
@@ -118,8 +119,8 @@ def audit_stream(spark, sf_dir):
     return spark.read.parquet(out).select("query_id", F.md5("answer").alias("answer_md5"), "flagged")
 
 
-def _minute_counts(spark, sf_dir, close: bool):
-    """Requests per key, counted per hour by a watermarked stream; with ``close`` a closing event ends all windows."""
+def minute_stream(spark, sf_dir):
+    """Requests counted per key and hour by a watermarked stream; a closing event at the end of the input ends all windows."""
     land, out, mark = (_folder(spark, n) for n in ("requests", "counts", "mark"))
     requests = _requests(spark, sf_dir)
     requests.write.mode("overwrite").parquet(land)
@@ -131,23 +132,12 @@ def _minute_counts(spark, sf_dir, close: bool):
             "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
 
     drain()
-    if close:
-        jobs.closing_request(spark.read.parquet(land), seconds=3600).write.mode("append").parquet(land)
-        drain()
+    jobs.closing_request(spark.read.parquet(land), seconds=3600).write.mode("append").parquet(land)
+    drain()
     return spark.read.schema("key string, window_start timestamp, requests bigint, rejected bigint").parquet(out).groupBy("key").agg(
         F.count("*").alias("windows"), F.sum("requests").alias("requests"))
 
 
-def minute_stream(spark, sf_dir):
-    """Requests counted per key and hour by a watermarked stream; closed windows only."""
-    return _minute_counts(spark, sf_dir, False)
-
-
-def minute_stream_closed(spark, sf_dir):
-    """The same after the end of the input: the windows still open are closed and counted too."""
-    return _minute_counts(spark, sf_dir, True)
-
-
 def ingest_stream(spark, sf_dir):
     """Papers streamed into chunks twice; the second pass adds nothing."""
     land, out, mark, mark2 = (_folder(spark, n) for n in ("papers", "corpus", "mark", "mark"))
@@ -156,10 +146,27 @@ def ingest_stream(spark, sf_dir):
     embedder = lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
     for checkpoint in (mark, mark2):
         src = spark.readStream.schema(p.schema).parquet(land)
-        jobs.ingest_stream(src, out, checkpoint, embedder).trigger(availableNow=True).start().awaitTermination()
+        jobs.ingest_stream(src, out, checkpoint, embedder, K.TABLE_WORD_CAP).trigger(availableNow=True).start().awaitTermination()
     return _by_topic(runs.read(spark, out, "chunks"))
 
 
+def ingest_retry(spark, sf_dir):
+    """Papers streamed while the model fails on some texts, once more under a second checkpoint, then the failed ones retried."""
+    land, out = _folder(spark, "papers"), _folder(spark, "corpus")
+    p = V.papers(spark, sf_dir).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    p.write.parquet(land)
+
+    def ailing(texts):
+        return [None if len(t) % 5 == 0 else v for t, v in zip(texts, _word_counts(texts))]
+
+    for _ in range(2):
+        src = spark.readStream.schema(p.schema).parquet(land)
+        jobs.ingest_stream(src, out, _folder(spark, "mark"), ailing, K.TABLE_WORD_CAP).trigger(availableNow=True).start().awaitTermination()
+    for run_id in ("retry", "again"):
+        jobs.retry_failed(spark, out, _word_counts, run_id, K.TABLE_WORD_CAP)
+    return _by_topic(runs.read(spark, out, "chunks").where(F.col("embedding").isNotNull()))
+
+
 def _by_topic(chunks):
     return chunks.groupBy("topic").agg(F.count("*").alias("chunks"), F.count_distinct("paper_key").alias("papers"))
 
@@ -176,7 +183,7 @@ def ingest_two_sources(spark, sf_dir):
         p.where(F.pmod(F.col("paper_key").cast("bigint"), F.lit(2)) == part).write.parquet(land)
     for land in (even, odd, even):
         src = spark.readStream.schema(p.schema).parquet(land)
-        jobs.ingest_stream(src, out, _folder(spark, "mark"), _word_counts).trigger(availableNow=True).start().awaitTermination()
+        jobs.ingest_stream(src, out, _folder(spark, "mark"), _word_counts, K.TABLE_WORD_CAP).trigger(availableNow=True).start().awaitTermination()
     return _by_topic(runs.read(spark, out, "chunks"))
 
 
@@ -185,7 +192,7 @@ def ingest_rerun(spark, sf_dir):
     out = _folder(spark, "corpus")
     p = store(V.papers(spark, sf_dir).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id"), "papers")
     for commits in (False, True, True):
-        build = corpus_plan.build_corpus(p, runs.read(spark, out, "state", jobs.STATE))
+        build = corpus_plan.build_corpus(p, runs.read(spark, out, "state", jobs.STATE), table_cap=K.TABLE_WORD_CAP)
         if commits:
             corpus_plan.ingest(build, _word_counts, out)
         else:
@@ -195,7 +202,9 @@ def ingest_rerun(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     latency_percentiles, latency_by_type, rate_limit_minute, rate_limit_exact, session_trend, session_metrics, latest_run,
-    candidate_ranks, audit_stream, minute_stream, minute_stream_closed, ingest_stream, ingest_two_sources, ingest_rerun)}
+    candidate_ranks, audit_stream, minute_stream, ingest_stream, ingest_two_sources, ingest_rerun, ingest_retry)}
+#: The name under which all windows were counted first.
+QUERIES["minute_stream_closed"] = minute_stream
 
 _PCT = "list(value ORDER BY value)[least(CAST(floor(count(*) * {0}::DOUBLE) AS BIGINT), count(*) - 1) + 1]"
 _PCTS = ", ".join(f"{_PCT.format(q)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
@@ -228,16 +237,12 @@ ORACLE = {
     "latest_run": """
         SELECT event_id AS run_id, 'completed' AS status, value FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 1""",
     "candidate_ranks": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 20",
-    # A window is written once the watermark, two minutes behind the newest request, has passed its end.
     "minute_stream": f"""
-        SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (
-          SELECT key, date_trunc('hour', ts) AS h, count(*) AS n FROM ({_KEYED}) GROUP BY ALL)
-        WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ({_KEYED})) - INTERVAL 2 MINUTE GROUP BY key""",
-    "minute_stream_closed": f"""
         SELECT key, count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests FROM (
           SELECT key, date_trunc('hour', ts) AS h, count(*) AS n FROM ({_KEYED}) GROUP BY ALL) GROUP BY key""",
     "ingest_stream": _quality_sql("papers_v kept_v chunks_v", _SCORED, """
         SELECT c.topic, count(*) AS chunks, count(DISTINCT doc_id) AS papers FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) GROUP BY c.topic"""),
     "audit_stream": V.sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5, false AS flagged FROM qa_v"),
 }
-ORACLE["ingest_two_sources"] = ORACLE["ingest_rerun"] = ORACLE["ingest_stream"]
+ORACLE["ingest_two_sources"] = ORACLE["ingest_rerun"] = ORACLE["ingest_retry"] = ORACLE["ingest_stream"]
+ORACLE["minute_stream_closed"] = ORACLE["minute_stream"]

@@ -85,7 +85,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=16)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_papers(papers(spark, sf_dir))
+    return chunk_papers(papers(spark, sf_dir), table_cap=K.TABLE_WORD_CAP)
 
 
 @lru_cache(maxsize=16)

@@ -27,14 +27,14 @@ LEGACY_KEYS = ["pmc_id", "pmid", "title", "journal", "year", "section_name", "to
                "total_chunks", "doi", "chroma:document"]
 
 
-def current_payload(wide: DataFrame, text_cut: int = 2000) -> DataFrame:
-    """Chunk rows of the current layout from pivoted older records."""
+def current_payload(wide: DataFrame, text_cut: int | None = None) -> DataFrame:
+    """Chunk rows of the current layout from pivoted older records; ``text_cut`` cuts the texts."""
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
     topic = F.nullif(text("topic"), F.lit(""))
     return wide.select(
-        F.col("embedding_id").alias("chunk_id"), F.left(text("chroma:document"), F.lit(text_cut)).alias("text"),
+        F.col("embedding_id").alias("chunk_id"), (text("chroma:document") if text_cut is None else F.left(text("chroma:document"), F.lit(text_cut))).alias("text"),
         text("pmc_id").alias("pmcid"), text("pmid").alias("pmid"), text("title").alias("title"),
         text("journal").alias("journal"), safe_int(F.col("year")).alias("year"),
         text("section_name").alias("section"), text("topic").alias("topic"), as_array(topic).alias("cancer_type"),
@@ -132,14 +132,14 @@ def append_rejections(rejected: DataFrame, path: str) -> None:
     rejected.write.mode("append").parquet(path)
 
 
-def evaluation_rows(results: DataFrame, answer_cut: int = 500) -> DataFrame:
-    """Detail rows of an evaluation report; the stored answer is cut for display."""
-    return results.withColumn("answer", F.left("answer", F.lit(answer_cut)))
+def evaluation_rows(results: DataFrame, answer_cut: int | None = None) -> DataFrame:
+    """Detail rows of an evaluation report; ``answer_cut`` cuts the stored answer for display."""
+    return results if answer_cut is None else results.withColumn("answer", F.left("answer", F.lit(answer_cut)))
 
 
-def write_report(results: DataFrame, summary: DataFrame, path: str, run_id: str) -> None:
+def write_report(results: DataFrame, summary: DataFrame, path: str, run_id: str, answer_cut: int | None = None) -> None:
     """Detail rows and a one-row summary per run, and the summary again as ``latest``."""
-    evaluation_rows(results).write.mode("overwrite").json(f"{path}/{run_id}/detailed")
+    evaluation_rows(results, answer_cut).write.mode("overwrite").json(f"{path}/{run_id}/detailed")
     stamped = summary.withColumn("run_id", F.lit(run_id)).withColumn("timestamp", F.current_timestamp())
     stamped.write.mode("overwrite").json(f"{path}/{run_id}/metrics")
     stamped.write.mode("overwrite").json(f"{path}/latest")

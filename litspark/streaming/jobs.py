@@ -25,13 +25,15 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
-def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Callable[[list], list]):
-    """Stream of parsed papers into ``papers``, ``chunks``, ``rejected``, ``progress`` and ``state``.
+def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Callable[[list], list], table_cap: int | None = None):
+    """Stream of parsed papers into ``papers``, ``chunks``, ``failed``, ``rejected``, ``progress`` and ``state``.
 
     Each micro-batch is a step of :mod:`litspark.sources.runs`: it skips what any
     other committed step holds, writes its own folders and commits last. A
     repeated batch replaces itself; a new checkpoint is a new run and leaves
-    earlier ones alone. Read the tables with ``runs.read``.
+    earlier ones alone. Only papers whose chunks all have a vector enter
+    ``chunks`` and ``state``; the others stand in ``failed`` for :func:`retry_failed`.
+    Read the tables with ``runs.read``.
     """
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,16 +48,37 @@ def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Calla
         ready = corpus.attach_metadata(quality.passed(scored), spark.createDataFrame(
             [], "pmid string, study_design string, sample_size int, primary_outcome string, "
                 "intervention string, comparator string"))
-        written = put(embed(corpus.with_embedding_text(corpus.chunk_papers(ready)), embedder), "chunks")
         put(quality.rejections(scored), "rejected")
-        failed = written.where(F.col("embedding").isNull()).select("paper_key").distinct()
-        done = put(ready.select("paper_key", "topic").join(failed, "paper_key", "left_anti"), "state")
-        put(batch_progress(done, written), "progress")
+        _settle(ready, put, embedder, table_cap)
         runs.commit(spark, path, run_id, batch_id)
 
     return papers.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 
 
+def _settle(ready: DataFrame, put: Callable[[DataFrame, str], DataFrame], embedder: Callable[[list], list], table_cap: int | None) -> None:
+    """Embed a step's papers: complete ones into ``chunks`` and ``state``, the others into ``failed``."""
+    staged = put(embed(corpus.with_embedding_text(corpus.chunk_papers(ready, table_cap=table_cap)), embedder), "staged")
+    failed = staged.where(F.col("embedding").isNull()).select("paper_key").distinct()
+    put(staged.join(failed, "paper_key", "left_anti"), "chunks")
+    put(ready.join(failed, "paper_key", "left_semi"), "failed")
+    done = put(ready.select("paper_key", "topic").join(failed, "paper_key", "left_anti"), "state")
+    put(batch_progress(done, staged), "progress")
+
+
+def retry_failed(spark: SparkSession, path: str, embedder: Callable[[list], list], run_id: str, table_cap: int | None = None) -> int:
+    """Papers that failed in committed steps and are in no later state, embedded again as one committed step; how many there were."""
+    failed = runs.read(spark, path, "failed").drop("run_id", "batch_id")
+    todo = corpus.skip_known(failed.dropDuplicates(["paper_key"]), runs.read(spark, path, "state", STATE).where(F.col("run_id") != run_id))
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return runs.put(df, path, name, run_id, 0)
+
+    ready = put(todo, "retried")
+    _settle(ready, put, embedder, table_cap)
+    runs.commit(spark, path, run_id, 0)
+    return ready.count()
+
+
 def batch_progress(done: DataFrame, chunks: DataFrame) -> DataFrame:
     """Counters per topic and in total (null topic) after one batch."""
     p = done.groupBy("topic").agg(F.count("*").alias("papers_fetched"))

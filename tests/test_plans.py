@@ -139,7 +139,7 @@ def test_report_and_evaluation_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r/grades")).count() == 6
     res = V.answered(spark, SF).select("query_id", F.repeat("answer", 20).alias("answer"))
     for run in ("r1", "r2"):
-        records.write_report(res, res.agg(F.count("*").alias("n")), str(tmp_path / "e"), run)
+        records.write_report(res, res.agg(F.count("*").alias("n")), str(tmp_path / "e"), run, 500)
     assert spark.read.json(str(tmp_path / "e/r1/detailed")).agg(F.max(F.length("answer"))).first()[0] == 500
     assert spark.read.json(str(tmp_path / "e/latest")).first()["run_id"] == "r2"
 
@@ -150,9 +150,10 @@ def test_migration(spark, tmp_path):
         (1, "pmc_id", "P", None, None), (1, "year", "", 2020, None), (1, "chroma:document", "x" * 3000, None, None), (1, "title", "T", None, None),
         (1, "topic", "kidney", None, None), (2, "year", "n.d.", None, None), (2, "chunk_index", None, None, 3.0)],
         "id long, key string, string_value string, int_value long, float_value double")
-    rows = {r["chunk_id"]: r for r in migrate_eav(emb, meta).collect()}
+    rows = {r["chunk_id"]: r for r in migrate_eav(emb, meta, 2000).collect()}
     assert (len(rows["e1"]["text"]), rows["e1"]["year"], rows["e1"]["cancer_type"]) == (2000, 2020, ["kidney"])
     assert len(rows["e1"]["embed_text"]) == len("T | \n") + 3000
+    assert max(len(r["text"]) for r in migrate_eav(emb, meta).collect()) == 3000
     assert (rows["e2"]["year"], rows["e2"]["cancer_type"], rows["e2"]["evidence_level"]) == (None, [], 6)
     out = run_migration(emb, meta, _embed, str(tmp_path / "m")).first()
     assert (out["source_count"], out["migrated"], out["failed"]) == (2, 2, 0)

@@ -104,8 +104,12 @@ def test_chunk_boundaries(spark):
             for kind in ("text", "table", "figure_caption") for n in [*sizes, 500, 501]]
     df = spark.createDataFrame(rows, "kind string, n int, content string")
     section = F.array(F.struct(F.lit("results").alias("name"), F.col("content"), F.col("kind").alias("section_type")))
-    for r in df.select("kind", "n", "content", C.paper_chunks(section).alias("c")).collect():
+    both = df.select("kind", "n", "content", C.paper_chunks(section, table_cap=500).alias("c"), C.paper_chunks(section).alias("whole"))
+    for r in both.collect():
         assert [c["text"] for c in r["c"]] == _expected(r["kind"], r["content"].split()), (r["kind"], r["n"])
+        # Without a cap no word of a long table is lost.
+        if r["kind"] == "table" and r["n"] > 500:
+            assert [c["text"] for c in r["whole"]] == _windows(r["content"].split())
 
 
 def test_legacy_windows_keep_the_trailing_overlap(spark):
