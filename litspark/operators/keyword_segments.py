@@ -9,8 +9,9 @@ as one segment and readers start from there.
 
 A term's postings lie in blocks of ``BLOCK``, best first, with the largest term
 frequency and the smallest chunk length, which bound the weight of any posting in
-them. A search scores every term's first blocks, which gives a threshold per
-question: its ``k``-th score so far. A block counts only if its bound and the best
+them. A search scores every term's first blocks and then the best chunks found there
+by all their terms, from their forward rows; the ``k``-th of these scores is a
+threshold per question. A block counts only if its bound and the best
 of the question's other terms reach the threshold; a chunk above it lies in
 such blocks with all its terms, so the result is exact.
 
@@ -32,8 +33,8 @@ from litspark.session import store
 from litspark.sizing import LITERAL_ROWS, join_small
 from litspark.sources import runs
 
-#: Postings of a block, and of a term that are put in order together.
-BLOCK, SALT_POSTINGS = 128, 100_000
+#: Postings of a block, and of a term that are put in order together; chunks per wanted one that give the threshold.
+BLOCK, SALT_POSTINGS, FIRST = 128, 100_000, 4
 FORWARD = "chunk_id string, dl int, terms array<struct<term:string,tf:bigint>>, step bigint"
 BLOCKS = "term string, salt int, no int, max_tf bigint, min_dl int, postings array<struct<chunk_id:string,tf:bigint,dl:int>>, step bigint"
 TERMS, TOTALS, GONE, BASES = "term string, df bigint, step bigint", "n_chunks bigint, tokens bigint, step bigint", "chunk_id string, step bigint", "step bigint"
@@ -167,8 +168,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = K.TOP_K_
     def met(some: DataFrame, limits: DataFrame) -> DataFrame:
         return join_small(some, limits, ["term"], bounded_by=wanted)
 
-    first = top_ranked(scored(met(blocks.where("no = 0"), wanted)), k)
-    floor = store(first.where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("floor")), "segment-floor")
+    first = store(top_ranked(scored(met(blocks.where("no = 0"), wanted)), k * FIRST).select("query_id", "chunk_id"), "segment-first")
+    whole = _alive(join_small(_table(spark, path, "forward"), first.select("chunk_id").distinct(), ["chunk_id"], "left_semi"), gone)
+    whole = join_small(whole, first, ["chunk_id"]).select("query_id", "chunk_id", "dl", F.explode("terms").alias("t")).select("query_id", "chunk_id", "dl", "t.*")
+    whole = join_small(whole, wanted, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum(weight(F.col("tf"), F.col("dl"))), digits).alias("score"))
+    floor = store(top_ranked(whole, k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("floor")), "segment-floor")
     limits = wanted.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     reaches = bound + F.col("others") >= F.col("floor")
     top = top_ranked(scored(met(blocks, limits).where(reaches)).where("score > 0"), k).select("query_id", "chunk_id", "score", "rank")
