@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from litspark import constants as K
 from litspark.operators.keyword import top_ranked
-from litspark.operators.topk import ARROW_OUT, OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, offer
+from litspark.operators.topk import OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, offer
+from litspark.session import store, store_parts
 
 MAX_QUERY_FLOATS = 8_000_000   # 64 MB of query vectors per task
-BLOCK_ROWS = 20_000            # vectors per block when the query side is too large
 
 
 def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
 def dense_topk(
     queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K_RETRIEVAL,
     condition: Column | None = None, conditions: list[Column] | None = None,
-    digits: int = 9, max_query_floats: int = MAX_QUERY_FLOATS, block_rows: int = BLOCK_ROWS,
+    digits: int = 9, max_query_floats: int = MAX_QUERY_FLOATS,
 ) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the ``k`` nearest vectors of every query.
 
@@ -73,7 +73,7 @@ def dense_topk(
     if size["n"] * size["d"] <= max_query_floats:
         partial = _per_partition(asked, slim, k, digits)
     else:
-        partial = _per_block(asked, slim, k, digits, size["n"], size["d"], max_query_floats, block_rows)
+        partial = _per_block(asked, slim, k, digits, size["n"], size["d"], max_query_floats)
     return top_ranked(partial, k)
 
 
@@ -99,29 +99,14 @@ def _per_partition(asked: DataFrame, vectors: DataFrame, k: int, digits: int) ->
     return vectors.mapInArrow(scan, OUT)
 
 
-def _per_block(asked: DataFrame, vectors: DataFrame, k: int, digits: int, n: int, dims: int,
-               max_query_floats: int, block_rows: int) -> DataFrame:
-    """Query side too large for one task: every vector block meets every query block.
+def _per_block(asked: DataFrame, vectors: DataFrame, k: int, digits: int, n: int, dims: int, max_query_floats: int) -> DataFrame:
+    """Query side too large for one task: its blocks go over the vectors in turn.
 
-    Blocks are hashed, so their size is even whatever the data, and each meeting
-    is one group of bounded size.
+    A block is a hash range of bounded size and is broadcast; vectors stay where
+    they lie and are read once per block, and a task sends ``k`` rows per query.
     """
-    q_blocks = max(1, -(-n * max(dims, 1) // max(1, max_query_floats // 2)))
-    v_blocks = max(1, -(-vectors.count() // block_rows))
-    left = vectors.withColumn("vb", F.pmod(F.xxhash64("chunk_id"), F.lit(v_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-
-    def meet(v: pa.Table, q: pa.Table) -> pa.Table:
-        names = np.array(q.column("query_id").to_pylist(), dtype=object)
-        bests = blocks(len(names), k)
-        if len(names) and v.num_rows:
-            matrix = _unit_rows(q.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), len(names))
-            numbers = q.column("filter_no").to_numpy().astype(float)
-            for batch in v.to_batches():
-                m, ids, flags = _batch_arrays(batch)
-                _scan(bests, matrix, m, ids, allowed_rows(numbers, flags), digits)
-        return pa.Table.from_batches(list(as_batches(bests, names)), ARROW_OUT)
-
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, OUT)
+    blocks_ = max(1, -(-n * max(dims, 1) // max(1, max_query_floats // 2)))
+    placed = store(asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks_))), "dense-queries")
+    return store_parts((
+        top_ranked(_per_partition(placed.where(F.col("_block") == b).drop("_block"), vectors, k, digits), k).drop("rank")
+        for b in range(blocks_)), "dense-blocks")

@@ -37,14 +37,36 @@ def vocabulary_counts(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(term, df, total)`` for the vocabulary, and a row for the empty term.
 
     The empty term, which no text contains, stands for the corpus: its ``df`` is
-    the number of chunks and its ``total`` the number of tokens.
+    the number of chunks and its ``total`` the number of tokens. Tokens are
+    looked up where they lie; a task sends a row per term it has met.
     """
+    # Bounded by the check on query terms.
+    words = sorted(r["term"] for r in vocabulary.select("term").distinct().collect())
+    shared = chunks.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set = pa.array(shared.value, pa.string())
+        df, n, total = np.zeros(len(value_set), dtype=np.int64), 0, 0
+        for batch in batches:
+            chunk, term, dl = _known_tokens(batch.column(0), value_set)
+            n, total = n + len(dl), total + int(dl.sum())
+            df += np.bincount(np.unique(chunk * len(value_set) + term) % max(len(value_set), 1), minlength=len(df))
+        if n:
+            met = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([value_set.take(pa.array(met)), pa.array([""])]), pa.array(np.append(df[met], n)), pa.array(np.append(0 * met, total))],
+                names=["term", "df", "total"])
+
     toks = chunks.select(tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    marked = toks.select(F.size("tokens").alias("dl"), F.explode_outer(
-        F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
-    wanted = vocabulary.select("term").unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string"))
-    return marked.join(F.broadcast(wanted), "term").groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("dl").alias("total"))
+    return toks.mapInArrow(count, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _known_tokens(column: pa.Array, value_set: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and vocabulary number of every token that is in the vocabulary, and all rows' lengths."""
+    dl = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    term = pc.fill_null(pc.index_in(column.flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = term >= 0
+    return np.repeat(np.arange(len(dl)), dl)[known], term[known], dl
 
 
 def scan_topk(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K_RETRIEVAL,
@@ -107,13 +129,9 @@ def _score(bests: list[Best], batch: pa.RecordBatch, value_set: pa.Array, term_s
            k1: float, b: float, digits: int) -> None:
     column = batch.column(batch.schema.get_field_index("tokens"))
     ids = np.array(batch.column(batch.schema.get_field_index("chunk_id")).to_pylist(), dtype=object)
-    dl = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    dl = np.nan_to_num(dl.astype(float)).astype(np.int64)
-    term = pc.fill_null(pc.index_in(column.flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False)
-    chunk = np.repeat(np.arange(len(ids)), dl)
-    known = term >= 0
+    chunk, term, dl = _known_tokens(column, value_set)
     # One entry per (chunk, term) with its frequency, in chunk order.
-    pair, tf = np.unique(chunk[known] * len(value_set) + term[known], return_counts=True)
+    pair, tf = np.unique(chunk * len(value_set) + term, return_counts=True)
     chunk, term = pair // len(value_set), pair % len(value_set)
     part = tf / (tf + k1 * (1 - b + b * dl[chunk] / avgdl))
     uses = term_start[term + 1] - term_start[term]

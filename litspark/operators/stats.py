@@ -113,3 +113,18 @@ def request_counts(requests: DataFrame, limit: int = 60, seconds: int = 60) -> D
         F.count("*").alias("requests")).select(
         "key", F.col("w.start").alias("window_start"), "requests",
         F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))
+
+
+def stat_deltas(before: DataFrame, after: DataFrame, before_chunks: DataFrame, after_chunks: DataFrame) -> DataFrame:
+    """Signed counts ``(facet, value, n)`` of one step, for the papers and chunks it removes and adds."""
+    def counted(papers: DataFrame, chunks: DataFrame, sign: int) -> DataFrame:
+        return corpus_stats(papers, chunks).withColumn("n", F.col("n") * sign)
+
+    return counted(after, after_chunks, 1).unionByName(counted(before, before_chunks, -1)).groupBy("facet", "value").agg(
+        F.sum("n").alias("n")).where("n <> 0")
+
+
+def stats_of_deltas(deltas: DataFrame) -> DataFrame:
+    """``corpus_stats`` from the signed counts of all committed steps; facets that sum to nothing are left out, totals stay."""
+    total = F.col("facet").isin("papers", "chunks")
+    return deltas.groupBy("facet", "value").agg(F.sum("n").alias("n")).where((F.col("n") != 0) | total)

@@ -128,7 +128,7 @@ def dense_topk_filtered(spark, sf_dir):
 def dense_topk_blocks(spark, sf_dir):
     """As ``dense_topk`` through the block plan that serves query sides of any size."""
     q = _centroids(spark, sf_dir).select(F.col("label").cast("string").alias("query_id"), "embedding")
-    return _ints(nearest(q, _points(spark, sf_dir), max_query_floats=256, block_rows=100), "rank")
+    return _ints(nearest(q, _points(spark, sf_dir), max_query_floats=256), "rank")
 
 
 # --- filters -----------------------------------------------------------------------

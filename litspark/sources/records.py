@@ -27,6 +27,25 @@ LEGACY_KEYS = ["pmc_id", "pmid", "title", "journal", "year", "section_name", "to
                "total_chunks", "doi", "chroma:document"]
 
 
+def open_metadata(embeddings: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``embedding_id, meta``: all metadata of a record as one VARIANT object, whatever its keys.
+
+    A key's value is its first filled one: text, number, fraction; repeated keys keep
+    the largest. Unknown keys survive, and their types can be read off with
+    ``schema_of_variant_agg``. Records without metadata have an empty object.
+    """
+    def json(column: str) -> Column:
+        whole = F.to_json(F.struct(F.col(column).alias("v")))
+        return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+    value = F.coalesce(F.when(F.col("string_value") != "", json("string_value")), F.when(F.col("int_value").isNotNull(), json("int_value")),
+                       F.when(F.col("float_value").isNotNull(), json("float_value")))
+    pairs = metadata.where(F.col("key").isNotNull() & value.isNotNull()).groupBy("id", "key").agg(F.max(value).alias("_value"))
+    made = pairs.select("id", F.concat(json("key"), F.lit(":"), "_value").alias("_pair"))
+    objects = made.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("_pair")), ","), F.lit("}")).alias("_object"))
+    return embeddings.join(objects, "id", "left").select("embedding_id", F.parse_json(F.coalesce("_object", F.lit("{}"))).alias("meta"))
+
+
 def current_payload(wide: DataFrame, text_cut: int | None = None) -> DataFrame:
     """Chunk rows of the current layout from pivoted older records; ``text_cut`` cuts the texts."""
     def text(name: str) -> Column:

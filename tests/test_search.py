@@ -106,7 +106,7 @@ def test_dense_search_matches_brute_force(spark):
              (want(lambda i, j: i % 3 == 2 or (j % 3 == 0) == (i % 3 == 0)), {"conditions": per_query})]
     for expected, options in tests:
         assert run(**options) == expected
-        assert run(**options, max_query_floats=16, block_rows=50) == expected
+        assert run(**options, max_query_floats=16) == expected
 
 
 def test_filters_split_into_parts_give_the_same_rows(spark, corpus, monkeypatch):
