@@ -45,7 +45,7 @@ LINK = 80
 WORDS = 5
 CELL_BITS, CHUNK_BITS = 20, 14
 #: Index entries per hash bucket, about; entries combined in a task; list blocks; members per salt of a centre.
-BUCKET_ENTRIES, COMBINED, BLOCK, SALT_MEMBERS = 1_000_000, 300_000, 64, 2000
+BUCKET_ENTRIES, COMBINED, BLOCK, SALT_MEMBERS = 500_000, 150_000, 64, 2000
 BROADCAST_ROWS = 200_000
 #: Sets this close to the head of their group follow it; sets of a comparison block.
 FOLLOW_WITHIN, BLOCK_SETS = 0.05, 256
@@ -274,7 +274,7 @@ def list_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         x, y = entries["centre"][i[ok]], entries["centre"][j[ok]]
         xs.append(np.minimum(x, y))
         ys.append(np.maximum(x, y))
-        if sum(map(len, xs)) > 1_000_000:
+        if sum(map(len, xs)) > 300_000:
             kept.append(_counted(np.concatenate(xs), np.concatenate(ys), None))
             xs.clear()
             ys.clear()
@@ -283,8 +283,8 @@ def list_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for s in np.unique(sizes[short]):
         a, b = np.triu_indices(s, 1)
         heads = cut[short & (sizes == s)]
-        for lo in range(0, len(heads), max(1, 400_000 // len(a))):
-            own = heads[lo:lo + max(1, 400_000 // len(a)), None]
+        for lo in range(0, len(heads), max(1, 150_000 // len(a))):
+            own = heads[lo:lo + max(1, 150_000 // len(a)), None]
             offer((own + a).ravel(), (own + b).ravel())
     for head, size in zip(cut[~short], sizes[~short]):
         blocks = [(k, min(k + BLOCK, head + size)) for k in range(head, head + size, BLOCK)]

@@ -39,13 +39,13 @@ LENGTH = 200
 #: A record tells in one byte how many windows share its anchor.
 MAX_LENGTH = 504
 #: Text per hash bucket, and records combined in a task before they are sent.
-BUCKET_BYTES, COMBINED = 64 << 20, 250_000
+BUCKET_BYTES, COMBINED = 32 << 20, 150_000
 #: Windows refined singly per hash bucket, at most.
 BUCKET_WINDOWS = 4_000_000
 #: A bucket that outgrows this is sorted in parts; what a part can't settle is refined by window.
 BUCKET_RECORDS = 6_000_000
 #: Text hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _POS_BITS = np.uint64(22)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _R = np.uint64(0x9E3779B97F4A7C15)
