@@ -115,7 +115,7 @@ def processing_stats(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     """Counters and cost per topic and in total; labelled documents count as already ingested."""
     p, state = _offered(spark, sf_dir)
-    build = build_corpus(p, state)
+    build = build_corpus(p, state, table_cap=V.K.TABLE_WORD_CAP)
     made = build.chunks.withColumn("embedded", F.col("chunk_index") % 10 != 9)
     return _rounded(stats.ingest_summary(build.found, build.new, build.papers, made), "estimated_cost_usd")
 
