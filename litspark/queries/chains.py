@@ -11,12 +11,14 @@ from litspark import constants as K
 from litspark.operators import scorers, stats
 from litspark.plans.migrate import run_migration
 from litspark.plans.regulatory import merge_withdrawals
+from litspark.queries import chunking, tables
 from litspark.queries import papers as P
 from litspark.queries import views as V
 from litspark.queries.views import sql
 from litspark.session import shared_dir
-from litspark.sources import records, runs
+from litspark.sources import formats, records, runs
 from litspark.streaming import jobs
+from litspark.streaming.progress import ProgressTable
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -130,9 +132,60 @@ def corpus_stats_incremental(spark, sf_dir):
     return stats.stats_of_deltas(runs.read(spark, path, "deltas"))
 
 
+def jats_source(spark, sf_dir):
+    """Documents as XML files, read back with the ``jats`` format: paper fields."""
+    folder = _folder(spark, "xml")
+    formats.register(spark)
+    formats.write_xml_files(chunking._xml(spark, sf_dir), folder)
+    return chunking.paper_fields(spark.read.format("jats").load(folder))
+
+
+def jats_source_stream(spark, sf_dir):
+    """XML files that arrive in two parts, streamed with the ``jats`` format under one checkpoint and ledger; a third run adds nothing."""
+    folder, ledger, out, mark = (_folder(spark, n) for n in ("xml", "ledger", "papers", "mark"))
+    formats.register(spark)
+    xml = chunking._xml(spark, sf_dir)
+    for part in ("pmod(hash(doc_key), 2) = 0", "pmod(hash(doc_key), 2) = 1", None):
+        if part:
+            formats.write_xml_files(xml.where(part), folder)
+        spark.readStream.format("jats").option("ledger", ledger).load(folder).writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return chunking.paper_fields(spark.read.schema("doc_key string, xml string").parquet(out))
+
+
+def report_format(spark, sf_dir):
+    """Answered turns written twice as a report with the ``report`` format and read back."""
+    path = _folder(spark, "report")
+    rows = V.answered(spark, sf_dir).select("query_id", "answer")
+    for kept in (rows.where("length(answer) % 2 = 0"), rows):
+        formats.write_report(kept, path, "run")
+    found = spark.read.schema("query_id string, answer string").json(f"{path}/run/part-*.json")
+    return found.select("query_id", F.md5("answer").alias("answer_md5"))
+
+
+def stream_progress(spark, sf_dir):
+    """Requests counted by a watermarked stream whose progress a listener writes as rows: rows read, late rows, windows left in state."""
+    land, out, mark, log = (_folder(spark, n) for n in ("requests", "counts", "mark", "progress"))
+    tables._requests(spark, sf_dir).write.parquet(land)
+    listener = ProgressTable(spark, log, names=(land,))
+    spark.streams.addListener(listener)
+    try:
+        src = spark.readStream.schema(spark.read.parquet(land).schema).parquet(land)
+        query = jobs.minute_counts(jobs.request_keys(src), seconds=3600).writeStream.queryName(land).format("parquet").option(
+            "path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not listener.wait(query.runId):
+            raise TimeoutError("the listener got no end of the query")
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.read().agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"),
+        F.max_by("state_rows", "batch_id").alias("open_windows"))
+
+
 QUERIES = {f.__name__: f for f in (
     relevance_scored, extractor_seam, judge_override, regulatory_refresh, feed_union, migration_counts, report_sink, ingest_progress, eav_variant,
-    corpus_stats_incremental)}
+    corpus_stats_incremental, jats_source, jats_source_stream, report_format, stream_progress)}
 
 _COST = f"round(coalesce(sum(CASE WHEN ok THEN len({V.WORDS.format('e')}) END), 0) * {K.TOKENS_PER_WORD} / 1000 * {K.COST_PER_1K_TOKENS}, 9)"
 ORACLE = {
@@ -170,4 +223,11 @@ ORACLE = {
         SELECT 'e' || event_id AS embedding_id, 'P' || user_id AS pmc_id, event_id % 30 + 1995 AS year, CASE WHEN event_id % 3 <> 0 THEN event_type END AS title,
                true AS document_seen FROM events""",
     "corpus_stats_incremental": P.ORACLE.get("corpus_stats", ""),
+    "jats_source": chunking.ORACLE["jats_papers"],
+    "jats_source_stream": chunking.ORACLE["jats_papers"],
+    "report_format": sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5 FROM qa_v"),
+    "stream_progress": f"""
+        WITH w AS (SELECT key, date_trunc('hour', ts) + INTERVAL 1 HOUR AS closes, max(ts) AS last FROM ({tables._KEYED}) GROUP BY ALL)
+        SELECT (SELECT count(*) FROM events) AS input_rows, 0::BIGINT AS late_rows,
+               count(*) FILTER (closes > (SELECT max(last) FROM w) - INTERVAL 2 MINUTE) AS open_windows FROM w""",
 }

@@ -133,7 +133,12 @@ def _xml(spark, sf_dir):
 
 def jats_papers(spark, sf_dir):
     """Documents written as XML and parsed back: paper fields."""
-    return jats.parse_papers(_xml(spark, sf_dir)).select(
+    return paper_fields(_xml(spark, sf_dir))
+
+
+def paper_fields(xml):
+    """Fields of the papers in ``(doc_key, xml)``."""
+    return jats.parse_papers(xml).select(
         "paper_key", "title", "journal", F.col("year").cast("bigint").alias("year"),
         F.array_join("authors", "|").alias("authors"), F.md5("abstract").alias("abstract_md5"),
         F.size("sections").cast("bigint").alias("n_sections"))

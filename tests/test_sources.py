@@ -1,10 +1,12 @@
 import json
+import os
 from html.entities import html5
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
-from litspark.sources import html, jats, records, tables
+from litspark.sources import formats, html, jats, records, tables
 
 PAPER = """<article><front><journal-title>J Urol</journal-title><article-id pub-id-type="pmc">PMC42</article-id>
 <article-id pub-id-type="pmid"> 7 </article-id><article-title>CO<sub>2</sub> in <i>mice</i> [1]</article-title>
@@ -150,3 +152,63 @@ def test_external_evidence(spark):
     got = {r["chunk_id"]: r for r in records.external_evidence(rows).collect()}
     assert set(got) == {"pubmed:5", "pubmed:7"}
     assert got["pubmed:5"]["text"] == "T\n\nA" and got["pubmed:7"]["year"] is None and got["pubmed:7"]["relevance_score"] == 0.45
+
+
+def test_jats_format_packs_files_by_bytes(spark, tmp_path):
+    formats.register(spark)
+    docs = spark.createDataFrame([(f"p{i}", "é" * i + "\r\n" + PAPER) for i in range(40)] + [("none", None)], "doc_key string, xml string")
+    formats.write_xml_files(docs, str(tmp_path))
+    (tmp_path / ".half.xml").write_text("<")
+    (tmp_path / "_old").mkdir()
+    (tmp_path / "_old" / "x.xml").write_text("<")
+    read = spark.read.format("jats").option("partitionBytes", 3 * len(PAPER)).load(str(tmp_path))
+    got = {os.path.basename(r["doc_key"])[:-4]: r["xml"] for r in read.collect()}
+    assert got == {r["doc_key"]: r["xml"] for r in docs.where("xml is not null").collect()}
+    assert read.rdd.getNumPartitions() > 10
+    assert [p.paths for p in formats.packed([("a", 5), ("b", 5), ("c", 99), ("d", 1)], 10)] == [("a", "b"), ("c",), ("d",)]
+
+
+def test_jats_format_of_an_empty_folder_and_remote_paths(spark, tmp_path):
+    formats.register(spark)
+    assert spark.read.format("jats").load(str(tmp_path)).count() == 0
+    assert formats.local_path("file:///a%20b/c") == "/a b/c"
+    with pytest.raises(ValueError):
+        formats.local_path("s3://bucket/papers")
+
+
+def test_jats_stream_reads_each_file_once(spark, tmp_path):
+    formats.register(spark)
+    land, out, mark = (tmp_path / n for n in ("land", "out", "mark"))
+    land.mkdir()
+
+    def drain():
+        spark.readStream.format("jats").option("ledger", str(tmp_path / "ledger")).load(str(land)).writeStream.format("parquet").option(
+            "path", str(out)).option("checkpointLocation", str(mark)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["xml"] for r in spark.read.schema("xml string").parquet(str(out)).collect())
+
+    (land / "m.xml").write_text("one")
+    assert drain() == ["one"]
+    assert drain() == ["one"]
+    (land / "a.xml").write_text("two")  # sorts before what was read, and is older
+    os.utime(land / "a.xml", (1, 1))
+    assert drain() == ["one", "two"]
+
+
+def test_report_writer_leaves_nothing_of_a_failed_job(spark, tmp_path):
+    path = str(tmp_path)
+    rows = spark.range(0, 50, 1, 5).select("id", F.named_struct(F.lit("a"), F.array("id")).alias("s"))
+    formats.write_report(rows, path, "r1")
+    first = sorted(os.listdir(tmp_path / "r1"))
+    failing = rows.select(F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"), "s")
+    for run in ("r1", "r2"):
+        with pytest.raises(Exception, match="lost"):
+            formats.write_report(failing, path, run)
+    assert sorted(os.listdir(tmp_path)) == ["latest.json", "r1"] and sorted(os.listdir(tmp_path / "r1")) == first
+    assert json.loads((tmp_path / "latest.json").read_text())["rows"] == 50
+    assert spark.read.json(f"{path}/r1/part-*.json").agg(F.sum("id"), F.sum(F.col("s.a")[0])).first() == (1225, 1225)
+    formats.write_report(rows.limit(3), path, "r1")
+    assert spark.read.json(f"{path}/r1/part-*.json").count() == 3
+    with pytest.raises(Exception, match="exists"):
+        rows.write.format("report").option("run", "r1").mode("append").save(path)
+    with pytest.raises(Exception, match="folder name"):
+        rows.write.format("report").option("run", "../r").mode("append").save(path)

@@ -7,6 +7,7 @@ from litspark.queries import tables as T
 from litspark.queries import views as V
 from litspark.sources import runs
 from litspark.streaming import jobs
+from litspark.streaming.progress import ProgressTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,3 +148,23 @@ def test_health_paths_are_exempt(spark):
     df = spark.createDataFrame([("/health/x", "k", "1"), ("/q", "", "2"), ("/q", "k", "1"), ("/q", None, None)], "path string, api_key string, ip string")
     got = jobs.request_keys(df.withColumn("ts", F.current_timestamp()))
     assert {(r["key"], r["limit"]) for r in got.collect()} == {("ip:2", 10), ("key:k", 60), ("ip:unknown", 10)}
+
+
+def test_progress_rows_of_named_queries(spark, tmp_path):
+    land = str(tmp_path / "land")
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10, 1, 1).write.mode("append").parquet(land)
+    listener = ProgressTable(spark, str(tmp_path / "log"), every=2, names=("watched",))
+    assert listener.read().count() == 0
+    spark.streams.addListener(listener)
+    try:
+        for name in ("watched", "other"):
+            query = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(land).writeStream.queryName(name).format(
+                "parquet").option("path", str(tmp_path / name)).option(
+                "checkpointLocation", str(tmp_path / f"{name}-mark")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert listener.wait(query.runId, 30 if name == "watched" else 0) == (name == "watched")
+    finally:
+        spark.streams.removeListener(listener)
+    got = listener.read().where("input_rows > 0").orderBy("batch_id").collect()
+    assert [(r["name"], r["input_rows"], r["state_rows"]) for r in got] == [("watched", 10, 0)] * 3
