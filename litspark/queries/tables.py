@@ -18,7 +18,7 @@ from litspark.queries.papers import _SCORED
 from litspark.queries.papers import _with as _quality_sql
 from litspark.session import shared_dir, store
 from litspark.sources import runs
-from litspark.streaming import jobs
+from litspark.streaming import admission, jobs
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,22 @@ def ingest_stream(spark, sf_dir):
     return _by_topic(runs.read(spark, out, "chunks"))
 
 
+def ingest_state(spark, sf_dir):
+    """Two folders with the same papers streamed at the same time in one query that keeps the ids as state, half of them known before."""
+    half, one, two, out = (_folder(spark, n) for n in ("half", "one", "two", "corpus"))
+    p = V.papers(spark, sf_dir).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    p.where(F.pmod(F.col("paper_key").cast("bigint"), F.lit(2)) == 0).write.parquet(half)
+    src = spark.readStream.schema(p.schema).parquet(half)
+    jobs.ingest_stream(src, out, _folder(spark, "mark"), _word_counts, K.TABLE_WORD_CAP).trigger(availableNow=True).start().awaitTermination()
+    for land in (one, two):
+        p.write.parquet(land)
+    both = [spark.readStream.schema(p.schema).parquet(land) for land in (one, two)]
+    with admission.rocksdb_state(spark):
+        admission.ingest_stateful(both[0].unionByName(both[1]), out, _folder(spark, "mark"), _word_counts, K.TABLE_WORD_CAP).trigger(
+            availableNow=True).start().awaitTermination()
+    return _by_topic(runs.read(spark, out, "chunks"))
+
+
 def ingest_retry(spark, sf_dir):
     """Papers streamed while the model fails on some texts, once more under a second checkpoint, then the failed ones retried."""
     land, out = _folder(spark, "papers"), _folder(spark, "corpus")
@@ -202,7 +218,7 @@ def ingest_rerun(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     latency_percentiles, latency_by_type, rate_limit_minute, rate_limit_exact, session_trend, session_metrics, latest_run,
-    candidate_ranks, audit_stream, minute_stream, ingest_stream, ingest_two_sources, ingest_rerun, ingest_retry)}
+    candidate_ranks, audit_stream, minute_stream, ingest_stream, ingest_two_sources, ingest_rerun, ingest_retry, ingest_state)}
 #: The name under which all windows were counted first.
 QUERIES["minute_stream_closed"] = minute_stream
 
@@ -244,5 +260,5 @@ ORACLE = {
         SELECT c.topic, count(*) AS chunks, count(DISTINCT doc_id) AS papers FROM chunks_v c JOIN (SELECT doc_id FROM verdict_v WHERE passed) USING (doc_id) GROUP BY c.topic"""),
     "audit_stream": V.sql("qa_v", "SELECT query_id, md5(answer) AS answer_md5, false AS flagged FROM qa_v"),
 }
-ORACLE["ingest_two_sources"] = ORACLE["ingest_rerun"] = ORACLE["ingest_retry"] = ORACLE["ingest_stream"]
+ORACLE["ingest_two_sources"] = ORACLE["ingest_rerun"] = ORACLE["ingest_retry"] = ORACLE["ingest_state"] = ORACLE["ingest_stream"]
 ORACLE["minute_stream_closed"] = ORACLE["minute_stream"]

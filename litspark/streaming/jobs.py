@@ -20,7 +20,7 @@ from litspark.sources.records import audit_rows
 STATE = "paper_key string, topic string"
 
 
-def _run_id(spark: SparkSession, checkpoint: str) -> str:
+def run_id_of(spark: SparkSession, checkpoint: str) -> str:
     """The query's own id, which its checkpoint keeps across restarts."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
@@ -37,24 +37,31 @@ def ingest_stream(papers: DataFrame, path: str, checkpoint: str, embedder: Calla
     """
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run_id = _run_id(spark, checkpoint)
-
-        def put(df: DataFrame, name: str) -> DataFrame:
-            return runs.put(df, path, name, run_id, batch_id)
-
+        run_id = run_id_of(spark, checkpoint)
         state = runs.read(spark, path, "state", STATE).where((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
-        # Scored once and read back: gate, chunks, log and state all use this table.
-        scored = put(quality.score_papers(corpus.skip_known(corpus.first_topic_wins(batch), state)), "papers")
-        ready = corpus.attach_metadata(quality.passed(scored), spark.createDataFrame(
-            [], "pmid string, study_design string, sample_size int, primary_outcome string, "
-                "intervention string, comparator string"))
-        put(quality.rejections(scored), "rejected")
-        _settle(ready, put, embedder, table_cap)
-        runs.commit(spark, path, run_id, batch_id)
+        scored = quality.score_papers(corpus.skip_known(corpus.first_topic_wins(batch), state))
+        settle_scored(scored, path, run_id, batch_id, embedder, table_cap)
 
     return papers.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 
 
+def settle_scored(scored: DataFrame, path: str, run_id: str, batch_id: int, embedder: Callable[[list], list], table_cap: int | None) -> None:
+    """One step of new papers, each at most once: gate, chunks, log and state, committed last."""
+    spark = scored.sparkSession
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return runs.put(df, path, name, run_id, batch_id)
+
+    # Scored once and read back: gate, chunks, log and state all use this table.
+    scored = put(scored, "papers")
+    ready = corpus.attach_metadata(quality.passed(scored), spark.createDataFrame(
+        [], "pmid string, study_design string, sample_size int, primary_outcome string, "
+            "intervention string, comparator string"))
+    put(quality.rejections(scored), "rejected")
+    _settle(ready, put, embedder, table_cap)
+    runs.commit(spark, path, run_id, batch_id)
+
+
 def _settle(ready: DataFrame, put: Callable[[DataFrame, str], DataFrame], embedder: Callable[[list], list], table_cap: int | None) -> None:
     """Embed a step's papers: complete ones into ``chunks`` and ``state``, the others into ``failed``."""
     staged = put(embed(corpus.with_embedding_text(corpus.chunk_papers(ready, table_cap=table_cap)), embedder), "staged")

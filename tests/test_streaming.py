@@ -3,10 +3,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from litspark import constants as K
+from litspark.operators import quality
 from litspark.queries import tables as T
 from litspark.queries import views as V
 from litspark.sources import runs
-from litspark.streaming import jobs
+from litspark.streaming import admission, jobs
 from litspark.streaming.progress import ProgressTable
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +68,65 @@ def test_a_second_source_keeps_the_first(spark, tmp_path):
     assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
 
 
+def test_state_in_the_stream(spark, tmp_path):
+    """Two sources in one query, a restart, and a new checkpoint over the committed table: every paper once, as in the batch form."""
+    p = V.papers(spark, SF).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    lands, out, plain = [str(tmp_path / n) for n in "ab"], str(tmp_path / "out"), str(tmp_path / "plain")
+    key = F.pmod(F.col("paper_key").cast("bigint"), F.lit(4))
+    topics = [p, p.withColumn("topic", F.lit("zz"))]
+    for land, rows in zip(lands, topics):
+        rows.where(key < 2).coalesce(1).write.parquet(land)
+
+    def run(mark):
+        a, b = (spark.readStream.schema(p.schema).parquet(x) for x in lands)
+        with admission.rocksdb_state(spark):
+            admission.ingest_stateful(a.unionByName(b), out, str(tmp_path / mark), _embed).trigger(availableNow=True).start().awaitTermination()
+        state = runs.read(spark, out, "state")
+        assert state.count() == state.select("paper_key").distinct().count()
+        return {r[0] for r in state.select("paper_key").collect()}
+
+    first = run("m")
+    assert run("m") == first
+    for land, rows in zip(lands, topics):
+        rows.where(key < 3).write.mode("append").parquet(land)
+    second = run("m")
+    assert first < second
+    p.write.mode("append").parquet(lands[1])
+    third = run("other")
+    assert second < third
+    p.write.parquet(plain)
+    src = spark.readStream.schema(p.schema).parquet(plain)
+    jobs.ingest_stream(src, str(tmp_path / "want"), str(tmp_path / "w"), _embed).trigger(availableNow=True).start().awaitTermination()
+    want, got = (runs.read(spark, path, "chunks") for path in (str(tmp_path / "want"), out))
+    assert got.count() == got.select("chunk_id").distinct().count() == want.count()
+    names = ["chunk_id", "paper_key", "text"]
+    assert want.select(names).exceptAll(got.select(names)).isEmpty()
+
+
+def test_admission_order_and_gate(spark, tmp_path):
+    """Of one batch's copies the first topic's counts; a rejected paper leaves no state and may come again."""
+    p = V.papers(spark, SF).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
+    scored = quality.passed(quality.score_papers(p)).orderBy("paper_key").limit(1).select(*p.columns)
+    land, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        with admission.rocksdb_state(spark):
+            src = spark.readStream.schema(p.schema).parquet(land)
+            admission.ingest_stateful(src, out, str(tmp_path / "m"), _embed).trigger(availableNow=True).start().awaitTermination()
+        return [r["topic"] for r in runs.read(spark, out, "state").collect()]
+
+    bad = scored.withColumn("abstract", F.lit("")).withColumn("sections", F.array().cast(p.schema["sections"].dataType))
+    bad.write.parquet(land)
+    assert run() == [] and runs.read(spark, out, "rejected").count() == 1
+    copies = [scored.withColumn("topic", F.lit(t)) for t in ("zz", K.TOPICS[1], K.TOPICS[0], "aa")]
+    for df in copies[1:]:
+        copies[0] = copies[0].unionByName(df)
+    copies[0].write.mode("append").parquet(land)
+    assert run() == [K.TOPICS[0]]
+    scored.write.mode("append").parquet(land)
+    assert run() == [K.TOPICS[0]]
+
+
 def test_a_first_batch_may_be_rejected_whole(spark, tmp_path):
     p = V.papers(spark, SF).drop("study_design", "sample_size", "evidence_level", "cancer_type", "doc_id")
     land, out = str(tmp_path / "in"), str(tmp_path / "out")
