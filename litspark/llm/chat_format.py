@@ -2,15 +2,19 @@
 
 A record's fingerprint is the hash of its sorted nested field paths (array
 items share one path). It selects a declarative mapping: where the turns lie and
-which fields hold role and text. Turns then stream, in order, through a template
+which fields hold role and text. A record with further fields takes the mapping
+with most paths among those whose paths it has all of, the first on a tie. Turns then stream, in order, through a template
 that marks them and escapes its control signs inside texts, so that the output
 can be read back. One shuffle by conversation; state is a few numbers, so a
 conversation of any length streams through its task.
 
 Null roles and texts are empty. Turns go by ``turn``, nulls first; rows that
 agree in it by place in their record, role and text. A null conversation id is a
-conversation of its own. A record of an unknown layout raises an error that
-names its paths. An empty table gives an empty result.
+conversation of its own. Values that are no text are written as JSON. A record no
+mapping fits, that is no JSON or whose list of turns holds other things than
+objects raises an error that names its paths or, with ``unknown="skip"``, is left
+to :func:`rejected_records`. Further columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -74,41 +78,86 @@ LAYOUTS = tuple(Mapping(fields=f) for f in (
 )
 
 
+#: Layouts of other records a task remembers.
+REMEMBERED = 10_000
+
+
 def by_fingerprint(layouts=LAYOUTS) -> dict[str, Mapping]:
     table = {fingerprint(m.paths()): m for m in layouts}
     # A list of turns may be empty: no turns, whichever layout its items would have.
     return table | {fingerprint({m.items}): m for m in layouts if m.items}
 
 
+class Layouts:
+    """The mappings by fingerprint, and what fitted records with further fields."""
+
+    def __init__(self, layouts=LAYOUTS) -> None:
+        self.exact = by_fingerprint(layouts)
+        self.parts = [(m.paths(), m) for m in layouts] + [({m.items}, m) for m in layouts if m.items]
+        self.seen: dict[frozenset[str], Mapping | None] = {}
+
+    def of(self, found: set[str]) -> Mapping | None:
+        key = frozenset(found)
+        if key not in self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[key] = self.exact.get(fingerprint(found)) or self._largest(found)
+        return self.seen[key]
+
+    def _largest(self, found: set[str]) -> Mapping | None:
+        # A path that ends at the list itself is an empty list or an item that is no object.
+        fits = [(len(p), m) for p, m in self.parts if p <= found and (p == {m.items} or m.items not in found)]
+        best = max(fits, key=lambda f: f[0], default=None)
+        if best is None or (best[1].items in found and any(p.startswith(f"{best[1].items}.") for p in found)):
+            return None
+        return best[1]
+
+
 def _get(value, path: str):
     for name in path.removesuffix("[]").split("."):
         value = value.get(name) if isinstance(value, dict) else None
     return value
 
 
-def turns_of(record: dict, table: dict[str, Mapping]) -> list[tuple[str, str]]:
-    """Canonical (role, text) turns of one record."""
-    found = paths(record)
-    mapping = table.get(fingerprint(found))
+def _text(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
+def turns_of(record, table: Layouts) -> list[tuple[str, str]] | None:
+    """Canonical (role, text) turns of one record, None where no mapping fits."""
+    mapping = table.of(paths(record))
     if mapping is None:
-        raise ValueError(f"no mapping for a record with the paths {sorted(found)}")
+        return None
     if mapping.fields:
-        return [(role, _get(record, path) or "") for role, path in mapping.fields]
+        return [(role, _text(_get(record, path))) for role, path in mapping.fields]
     items = (_get(record, mapping.items) or []) if mapping.items else [record]
-    return [(ROLES.get(r := _get(x, mapping.role) or "", r), _get(x, mapping.text) or "") for x in items]
+    if not all(isinstance(x, dict) for x in items):
+        return None
+    return [(ROLES.get(r := _text(_get(x, mapping.role)), r), _text(_get(x, mapping.text))) for x in items]
+
+
+def _parsed(text: str | None):
+    """The record, or an empty list, which no mapping fits, where the text is no JSON."""
+    try:
+        return json.loads(text) if text is not None else []
+    except ValueError:
+        return []
 
 
 TURNS = "conv_id long, turn long, place int, role string, text string"
 
 
-def canonical_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
+def canonical_turns(records: DataFrame, layouts=LAYOUTS, unknown: str = "raise") -> DataFrame:
     """``records(conv_id, turn, record)``, the last a JSON text, as ``conv_id, turn, place, role, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = by_fingerprint(layouts)
+        table = Layouts(layouts)
         for batch in batches:
             out = []
             for conv, turn, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                out += [(conv, turn, k, role, said) for k, (role, said) in enumerate(turns_of(json.loads(text), table))]
+                turns = turns_of(record := _parsed(text), table)
+                if turns is None and unknown == "raise":
+                    raise ValueError(f"no mapping for a record with the paths {sorted(paths(record))}")
+                out += [(conv, turn, k, role, said) for k, (role, said) in enumerate(turns or [])]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
                 pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["conv_id", "turn", "place", "role", "text"])
@@ -116,6 +165,21 @@ def canonical_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
     return records.select("conv_id", "turn", "record").mapInArrow(run, TURNS)
 
 
+def rejected_records(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """The records that ``canonical_turns(…, unknown="skip")`` leaves out, with their ``fingerprint`` and sorted ``paths``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Layouts(layouts)
+        for batch in batches:
+            out = [(*row, fingerprint(found := paths(record)), sorted(found)) for row in zip(*(batch.column(i).to_pylist() for i in range(3)))
+                   if turns_of(record := _parsed(row[2]), table) is None]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
+                pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())))], names=["conv_id", "turn", "record", "fingerprint", "paths"])
+
+    return records.select("conv_id", "turn", "record").mapInArrow(
+        run, "conv_id long, turn long, record string, fingerprint string, paths array<string>")
+
+
 HEAD, BREAK, END = "### ", ": ", " </turn>\n"
 LEARNT = "assistant"
 _CONTROL, _IN_ROLE, _ESCAPED = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]"), re.compile(r"\\(.)", re.S)

@@ -31,14 +31,13 @@ RECORDS = [
 
 
 def test_layouts_by_fingerprint(spark):
-    table = C.by_fingerprint()
+    table = C.Layouts()
     # Two layouts share ``messages[]``: empty, it holds no turns under either.
-    assert len(table) == len(C.LAYOUTS) + len({m.items for m in C.LAYOUTS if m.items})
+    assert len(table.exact) == len(C.LAYOUTS) + len({m.items for m in C.LAYOUTS if m.items})
     assert C.turns_of({"messages": []}, table) == []
     for record, want in RECORDS:
         assert C.turns_of(record, table) == want
-    with pytest.raises(ValueError, match="unknown.a"):
-        C.turns_of({"unknown": {"a": 1}}, table)
+    assert C.turns_of({"unknown": {"a": 1}}, table) is None
     df = spark.createDataFrame([(i, 0, json.dumps(r)) for i, (r, _) in enumerate(RECORDS)], "conv_id long, turn long, record string")
     got = {}
     for r in C.canonical_turns(df).orderBy("conv_id", "place").collect():
@@ -46,6 +45,38 @@ def test_layouts_by_fingerprint(spark):
     assert got == {i: t for i, (_, t) in enumerate(RECORDS) if t}
 
 
+FURTHER = [
+    ({"id": 7, "prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+    ({"system": "s", "prompt": "p", "response": "r", "tags": []}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ({"messages": [{"role": "user", "name": "n", "content": "u"}, {"role": "assistant", "content": "a"}]}, [("user", "u"), ("assistant", "a")]),
+    ({"messages": [{"role": "user", "content": "u"}, {"role": "tool"}], "tools": [{"x": 1}]}, [("user", "u"), ("tool", "")]),
+    ({"messages": [{"role": "user", "content": "u"}, {"role": "user", "content": [{"type": "t"}]}]}, [("user", "u"), ("user", '[{"type": "t"}]')]),
+    ({"conversations": [], "id": "x"}, []), ({"question": 5, "answer": None, "k": 1}, [("user", "5"), ("assistant", "")]),
+]
+UNKNOWN = [{"unknown": {"a": 1}}, {"messages": ["plain", {"role": "user", "content": "u"}]}, {"messages": [None], "id": 1}, {"messages": ["x"]},
+           {"messages": [{"role": "user", "content": ["u"]}]}, [], "text", {}]
+
+
+def test_further_fields_and_rejects(spark):
+    """Fields beyond a layout's don't matter; what no layout fits fails the job or is set aside, whole."""
+    table = C.Layouts()
+    for record, want in FURTHER:
+        assert C.turns_of(record, table) == want
+    for record in UNKNOWN:
+        assert C.turns_of(record, table) is None
+    texts = [json.dumps(r) for r, _ in FURTHER] + [json.dumps(r) for r in UNKNOWN] + ["{no json", None]
+    df = spark.createDataFrame([(i, 0, t, 1) for i, t in enumerate(texts)], "conv_id long, turn long, record string, place int")
+    got = {}
+    for r in C.canonical_turns(df, unknown="skip").orderBy("conv_id", "place").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got == {i: t for i, (_, t) in enumerate(FURTHER) if t}
+    bad = {r["conv_id"]: r for r in C.rejected_records(df).collect()}
+    assert set(bad) == set(range(len(FURTHER), len(texts))) and bad[len(FURTHER)]["paths"] == ["unknown.a"]
+    assert all(bad[i]["record"] == texts[i] for i in bad)
+    with pytest.raises(Exception, match="unknown.a"):
+        C.canonical_turns(df.where(f"conv_id = {len(FURTHER)}")).collect()
+
+
 def test_digests(spark):
     rows = [(c, t, ["user", "assistant", "system", None][(c + t) % 4], TEXTS[(c * 3 + t) % len(TEXTS)] or None)
             for c in range(6) for t in range(40 if c == 3 else c)] + [(None, 0, "assistant", "x"), (9, None, "assistant", "l" * 50000)]
