@@ -25,7 +25,7 @@ from litspark.session import store
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
-#: Rounds of the SQL and by default; the query goes on until the scores have settled.
+#: Rounds by default; the query and its SQL go on until the scores have settled.
 ROUNDS = 10
 #: Largest relative change in a round of settled scores; scores closer than ten times this are equal.
 TOLERANCE = 1e-6
@@ -145,12 +145,10 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str
         F.coalesce("_verdict", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"))
 
 
-def oracle(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
-    """The same in SQL, one table per round."""
+def oracle(rounds: int = 400, damping: float = DAMPING) -> str:
+    """The settled verdicts in SQL: the slowed walk of :func:`propagate` as a recursion, its base as edges from a node of its own."""
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    turns = "".join(f""", s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(s) s FROM (
-        SELECT kind, host, s * {1 - damping} s FROM s0 UNION ALL
-        SELECT p.kind, p.dst, s.s * p.p FROM s{i} s JOIN p ON p.kind = s.kind AND p.src = s.host) GROUP BY ALL)""" for i in range(rounds))
+    slow = 2 / (2 + damping)
     return rf"""
     WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES {rules}),
     named AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') host,
@@ -168,6 +166,13 @@ def oracle(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
     kinds AS (SELECT 'trust' kind, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
     p AS MATERIALIZED (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) * {damping} p FROM kinds),
     seeds AS (SELECT CASE v WHEN 'allow' THEN 'trust' ELSE 'distrust' END kind, host, count(*)::DOUBLE s FROM light WHERE v IS NOT NULL GROUP BY ALL),
-    s0 AS MATERIALIZED (SELECT kind, host, s / sum(s) OVER (PARTITION BY kind) s FROM seeds){turns},
-    bad AS (SELECT host FROM s{rounds} GROUP BY host HAVING round(sum(CASE kind WHEN 'distrust' THEN s ELSE -s END), 9) > 0)
+    s0 AS MATERIALIZED (SELECT kind, host, s / sum(s) OVER (PARTITION BY kind) s FROM seeds),
+    nodes AS (SELECT kind, src h FROM p UNION SELECT kind, dst FROM p UNION SELECT kind, host FROM s0),
+    steps AS MATERIALIZED (SELECT kind, src, dst, p * {slow} p FROM p UNION ALL SELECT kind, h, h, {1 - slow} FROM nodes
+        UNION ALL SELECT kind, ' ', host, s * {(1 - damping) * slow} FROM s0 UNION ALL SELECT DISTINCT kind, ' ', ' ', 1.0 FROM s0),
+    walk(kind, host, s, r) AS (SELECT kind, host, s, 0 FROM s0 UNION ALL SELECT DISTINCT kind, ' ', 1.0::DOUBLE, 0 FROM s0 UNION ALL
+        SELECT w.kind, t.dst, sum(w.s * t.p), w.r + 1 FROM walk w JOIN steps t ON t.kind = w.kind AND t.src = w.host
+        WHERE w.r < {rounds} GROUP BY w.kind, t.dst, w.r),
+    bad AS (SELECT host FROM walk WHERE r = {rounds} GROUP BY host
+        HAVING coalesce(sum(s) FILTER (kind = 'distrust'), 0) > coalesce(sum(s) FILTER (kind = 'trust'), 0) * {1 + 10 * TOLERANCE})
     SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM light"""

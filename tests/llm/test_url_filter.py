@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from litspark.llm import url_filter as U
@@ -92,3 +93,20 @@ def test_verdicts_do_not_depend_on_size_or_distance(spark):
     got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df, rounds=None).collect()}
     assert {got[i] for i in (*range(5000, 10001), *range(20000, 20031))} == {"block"}
     assert {got[i] for i in (30000, 30001, 30002)} == {"allow"}
+
+
+def test_the_sql_settles_as_the_query_does(spark):
+    """Chains of hosts far longer than the default rounds, links back and forth, and a domain with many hosts."""
+    chain = [(i, f"http://c{i}.io/", f"<a href='http://c{i + 1}.io/'><a href='http://c{i - 3}.io/'>") for i in range(60)]
+    chain += [(60, "http://c60.io/", "<a href='http://bad.net/fr/'>")]
+    trust = [(100 + i, f"http://t{i + 1}.io/", None) for i in range(20)] + [(130, "http://a.com/x", "<a href='http://t1.io/'>")]
+    trust += [(140 + i, f"http://t{i}.io/", f"<a href='http://t{i + 1}.io/'>") for i in range(1, 20)] + [(170, "http://t20.io/", "<a href='http://c5.io'>")]
+    hosts = [(200 + i, f"http://h{i}.wide.org/", "<a href='http://deep.net/es/'>" if i % 7 == 0 else None) for i in range(40)]
+    rows = [*chain, *trust, *hosts, (300, "http://deep.net/es/", None), *[(400 + r[0], *r[1:]) for r in PAGES]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in U.filter_urls(df, rounds=None).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == sorted(con.execute(U.oracle()).fetchall(), key=lambda r: r[0])
+    assert {v for *_, v in got} == {"allow", "block"}
