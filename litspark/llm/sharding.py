@@ -43,6 +43,8 @@ def _splitters(base: DataFrame, total: int) -> list[int]:
     chance = F.pmod(F.xxhash64(F.lit(61), "_key", "_id"), F.lit(1 << 30)) / float(1 << 30)
     hits = F.col("size") * (RANGES * DRAWN / max(total, 1))
     drawn = base.withColumn("_hits", F.floor(hits + chance).cast("long")).where("_hits > 0")
+    # A document drawn several times counts as often: all draws are about RANGES * DRAWN rows.
+    drawn = drawn.select("_key", F.explode(F.array_repeat(F.lit(0), F.col("_hits").cast("int"))))
     at = [(i + 1) / RANGES for i in range(RANGES - 1)]
     found = drawn.agg(F.percentile_approx("_key", at, 20 * RANGES).alias("q")).first()["q"] if total else None
     # One key may be several quantiles; the first drawn keys pad a short list.
