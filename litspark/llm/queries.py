@@ -97,6 +97,22 @@ def op8_bucket_pointer_substrings(spark: SparkSession, sf_dir: str) -> DataFrame
     return substrings.remove_repeats(docs, cleaned=None)
 
 
+ORACLE["op8_bucket_pointer_substrings"] = r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    places AS (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+    windows AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 400)) AS k FROM places),
+    again AS (SELECT doc_id, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+    marked AS (SELECT *, i - 200 > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS fresh FROM again),
+    numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+    spans AS (SELECT doc_id, span, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY doc_id, span),
+    gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM spans),
+    cut AS (SELECT doc_id, count(*) AS n, sum(e - s)::BIGINT AS gone, max(e) AS last, string_agg(substr(h, (2 * p + 1)::BIGINT, (2 * (s - p))::BIGINT), '' ORDER BY s) AS head
+        FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+        sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 @query
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +124,25 @@ def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLE["op7_set_relation_join"] = r"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i + 1:i + 5], ' ')) AS s
+        FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+    sets AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    ordered AS (SELECT s.doc_id, s.s, n, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, s.s) AS place
+        FROM shingles s JOIN (SELECT s, count(*) AS df FROM shingles GROUP BY s) f USING (s) JOIN sets USING (doc_id)),
+    heads AS (SELECT doc_id, s, n FROM ordered WHERE place <= n - ceil(0.8 * n) + 1),
+    pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM heads a JOIN heads b
+        ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    shared AS (SELECT a, b, na, nb, count(*) AS k FROM pairs JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * k >= 80 * (na + nb - k)),
+    sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, c) AS (SELECT DISTINCT a, a FROM sides UNION SELECT b, c FROM reach JOIN sides ON a = doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 @query
 def op11_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_trees.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
