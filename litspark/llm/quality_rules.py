@@ -149,3 +149,35 @@ def judge_lines(docs: DataFrame, text: str = "text", cleaned: str | None = "clea
                     names=[*names, *added])
 
     return source.mapInArrow(run, schema)
+
+
+def oracle() -> str:
+    """The same in SQL, without the cleaned texts."""
+    space, symbols = r"\x20\x09-\x0D", "#*$%&|<>"
+    notices = " OR ".join(f"contains(low, '{n}')" for n in NOTICES)
+    closes = "".join(chr(b) for b in range(128) if _END[b]).replace("'", "''") + "".join(c.decode() for c in _CLOSE_WIDE)
+
+    def count(signs: str, text: str) -> str:
+        return f"length(regexp_replace({text}, '[^{signs}]', '', 'g'))"
+
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{space}]+') AS w FROM documents),
+    every AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+    lines AS (SELECT *, len(regexp_extract_all(l, '[^{space}]+')) AS n, row_number() OVER (PARTITION BY doc_id, l ORDER BY i) > 1 AS again,
+        translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+        right(regexp_replace(l, '[{space}]+$', ''), 1) AS last, {count('A-Z', 'l')} AS ups, {count('a-z', 'l')} AS lows
+        FROM every WHERE regexp_matches(l, '[^{space}]')),
+    judged AS (SELECT *, length(l) AS size, n <= {MAX_NOTICE_WORDS} AND ({notices}) AS notice, NOT contains('{closes}', last)
+        OR {count('|', 'l')} * 5 >= n OR {count(symbols, 'l')} * 2 >= n OR (ups * 100 > {MAX_UPPER_PERCENT} * (ups + lows) AND n >= 3) AS bad FROM lines),
+    sums AS (SELECT doc_id, count_if(again) AS dup, sum(size)::BIGINT AS all_chars, coalesce(sum(size) FILTER (bad OR notice), 0)::BIGINT AS lost,
+        coalesce(sum(size) FILTER (bad AND NOT notice), 0)::BIGINT AS harm, coalesce(sum(size) FILTER (NOT notice), 0)::BIGINT AS rest FROM judged GROUP BY doc_id),
+    windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i + 1:i + {WINDOW}], ' '))) AS n
+        FROM (SELECT doc_id, w, unnest(range(len(w) - {WINDOW - 1})) AS i FROM d WHERE len(w) >= {WINDOW})),
+    repeats AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM windows WHERE n > 1) GROUP BY doc_id),
+    base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[{space}]', '', 'g')) AS word_chars, {count(symbols, 't')} AS n_symbols,
+        coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost_chars, coalesce(all_chars, 0) AS all_chars,
+        coalesce(harm, 0) AS harm, coalesce(rest, 0) AS rest, len(w) < {MIN_WORDS} OR 100 * coalesce(n, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+        FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN repeats USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
+        NOT base_failed AND 100 * lost_chars <= {MAX_GONE_PERCENT} * all_chars AND lost_chars < all_chars AND 100 * harm <= {MAX_LOST_PERCENT} * rest
+        AND 100 * n_symbols <= {MAX_SYMBOL_PERCENT} * word_chars AS kept FROM base"""

@@ -29,6 +29,9 @@ def op10_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_lines(docs, cleaned=None)
 
 
+ORACLE["op10_line_first_quality"] = quality_rules.oracle()
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

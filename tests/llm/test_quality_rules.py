@@ -1,11 +1,13 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from litspark.llm import quality_rules as Q
+from tests.oracle import difference
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SENTENCE = "The quick brown fox jumps over the lazy dog near the old river bank today."
@@ -90,3 +92,16 @@ def test_empty_table_and_clashing_columns(spark):
     assert out.first()["kept"] is True
     assert Q.judge_lines(df.limit(0)).count() == 0
     assert "text" not in Q.judge_lines(df, cleaned=None).columns
+
+
+def test_sql_gives_the_same(spark):
+    good = "A plain sentence of quite some length that ends as it should, without a doubt."
+    lines = [good, good, "Home | News | About", "NO ONE SHOUTS LIKE THAT HERE.", "All Rights Reserved.", "no end", "Ende» ", "句子。", "Quoted.”\t",
+             "## $$ %% x.", "", " \t", "a | b c d e f.", "see our Privacy Policy " + "word " * 18 + ".", "it's", "(so)", "[x]", "{y}", "what؟", "\x0bx\x0c."]
+    rows = [(i, "\n".join(lines[(i * k + k * k) % len(lines)] for k in range(i % 9)) + ("\n" if i % 4 == 0 else "")) for i in range(150)]
+    rows += [(1000 + 4 * k + i, f"{good}\n" * i + x) for i in range(4) for k, x in enumerate(lines)] + [(2000, None), (2001, ""), (2002, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert difference(Q.judge_lines(df, cleaned=None), con, Q.oracle()) is None
