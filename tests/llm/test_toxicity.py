@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -54,6 +55,41 @@ def test_gradients():
         assert dx[r, c] == pytest.approx((loss(a) - loss(b)) / (2 * eps), abs=1e-7)
 
 
+def plain(net, x, codes, length):
+    """One window's output, number by number."""
+    p, h = net.p, X.HIDDEN
+    dot = lambda a, m: [sum(float(a[i]) * float(m[i, j]) for i in range(len(a))) for j in range(m.shape[1])]
+    states = [[0.0] * (2 * h) for _ in range(length)]
+    for side, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
+        now = [0.0] * h
+        for t in order:
+            g, u = dot(x[codes[t]], p[f"W{side}"]), dot(now, p[f"U{side}"])
+            g = [a + float(c) for a, c in zip(g, p[f"c{side}"])]
+            z, r = ([1 / (1 + math.exp(-(g[i + k] + u[i + k]))) for i in range(h)] for k in (0, h))
+            new = [math.tanh(g[2 * h + i] + r[i] * u[2 * h + i]) for i in range(h)]
+            now = [now[i] + (1 - z[i]) * (new[i] - now[i]) for i in range(h)]
+            for i in range(h):
+                states[t][i + (h if side == "b" else 0)] = now[i]
+    weight = []
+    for s in states:
+        a = [math.tanh(v + float(b)) for v, b in zip(dot(s, p["Wa"]), p["ba"])]
+        weight.append(math.exp(sum(v * float(c) for v, c in zip(a, p["v"]))))
+    pooled = [sum(k * s[i] for k, s in zip(weight, states)) / sum(weight) if weight else 0.0 for i in range(2 * h)]
+    return sum(v * float(c) for v, c in zip(pooled, p["w"])) + float(p["b"][0])
+
+
+def test_network_matches_a_plain_loop():
+    net = X.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    own = inputs(["", "one", "Some words of a text é, and more words of a text.", "over " * 30 + "the edge", "\n \n"])
+    codes = own.window(np.arange(len(own.doc)))
+    x = net.embed(own.words, own.chars, own.begins, own.sizes)
+    got = net.forward(x, codes, own.length)
+    assert len(got) >= 6
+    for i in range(len(got)):
+        assert got[i] == pytest.approx(plain(net, x, codes[i], own.length[i]), abs=1e-6)
+
+
 CLEAN = "the river runs past old mills and quiet fields where people walk in the evening light of autumn".split()
 
 
