@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litspark import constants as K
+from litspark import sizing
 from litspark.operators import context, corpus, evaluate, merge, quality, safety
 from litspark.operators.quantiles import positional_quantiles
 
@@ -174,3 +175,18 @@ def test_history_modes(spark):
     q = spark.createDataFrame([("q1", "c"), ("q2", None)], "query_id string, conversation_id string")
     got = {r["query_id"]: r["history"] for r in context.attach_history(q, df, limit=2).collect()}
     assert [m["content"] for m in got["q1"]] == ["t1", "t2"] and got["q2"] is None
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    """Few rows with long texts, lists, maps or structs are as large as they are; nulls take little."""
+    cases = {"id": 8, "repeat('x', 1000)": 1016, "cast(null as string)": 16, "array_repeat(id, 100)": 816, "array_repeat('xyz', 100)": 16 + 1900,
+             "array_repeat(struct(id, 'xy' as s), 10)": 16 + 10 * 42, "cast(null as array<struct<a:int>>)": 16, "map('ab', 1L)": 16 + 18 + 24,
+             "struct(id, cast(null as array<int>) as a)": 16 + 8 + 16}
+    for value, size in cases.items():
+        df = spark.range(10).selectExpr(f"{value} as `a.b`")
+        assert sizing.fits_bytes(df, 10, 10 * size) and not sizing.fits_bytes(df, 10, 10 * size - 1), value
+        assert not sizing.fits_bytes(df, 9, 1 << 30)
+    assert sizing.fits_bytes(spark.range(0), 0, 0)
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000000) as t")
+    plan = lambda small: sizing.join_small(spark.range(100), small, ["id"])._jdf.queryExecution().toString()
+    assert "strategy=broadcast" not in plan(wide) and "strategy=broadcast" in plan(wide.limit(10))
