@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litspark.sizing import fits_bytes
+
 #: The six bytes that part words.
 SPACES = " \t\n\x0b\f\r"
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
@@ -23,5 +25,5 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``max_rows`` narrow rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df`` with a broadcast hint when it has at most ``max_rows`` rows and ``sizing.BROADCAST_BYTES``, its lists and texts counted."""
+    return F.broadcast(df) if fits_bytes(df, max_rows) else df
