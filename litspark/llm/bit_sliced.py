@@ -221,7 +221,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     copies = query_blocks(queries, id_col, vector).withColumn(
         "block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-1 if last is None else last).cast("long"), F.lit(1).cast("long")))
     ) if last is not None else query_blocks(queries.limit(0), id_col, vector).withColumn("block_no", F.lit(0).cast("long"))
-    pairs = index.join(copies, "block_no").select("dim", "ids", "lows", "widths", "slices", "vectors", "q_ids", "q_vectors")
+    # Copies are queries times blocks, which Spark does not see when it estimates them: never broadcast.
+    pairs = index.join(copies.hint("merge"), "block_no").select("dim", "ids", "lows", "widths", "slices", "vectors", "q_ids", "q_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

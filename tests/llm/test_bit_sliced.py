@@ -53,3 +53,12 @@ def test_search(spark, rows):
     assert sorted(map(tuple, got.collect())) == brute(rows)
     if len(rows) == 1:
         assert B.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_copies_are_not_broadcast(spark):
+    """Every query meets every block: the copies outgrow a driver, whatever their estimated size."""
+    df = spark.createDataFrame(UNIT, "vec_id long, embedding array<double>")
+    got = B.search(df, df.where("vec_id % 100 = 0"))
+    assert sorted(map(tuple, got.collect())) == brute(UNIT)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
