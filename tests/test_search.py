@@ -225,3 +225,32 @@ def test_fallback_draws_on_every_document(spark):
     got = [r["n"] for r in QUERIES["fallback_union_all"](spark, sf_dir).where("used_fallback").collect()]
     assert spark.read.parquet(f"{sf_dir}/documents.parquet").count() > spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     assert max(got) > 1 and max(got) <= 5
+
+
+def test_keyword_index_holds_no_pairs(spark, tmp_path):
+    """Counting takes no aggregation over the texts and scoring none over pairs of questions and chunks; copies of an id are one chunk."""
+    rows = [(f"c{i:02}" if i % 11 else None, f"w{i % 7} w{i % 5} w{i % 3} x{i}") for i in range(60)]
+    rows += [("c05", "w1 w1 w2 y"), ("c05", "w1 long"), ("c06", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    asked = spark.createDataFrame([("a", "w1 w4 w1 y"), ("b", "x3 x5 long"), ("c", "nothing")], "query_id string, question string")
+    index = build_keyword_index(chunks)
+    want = {}
+    for i, t in rows:
+        words = (t or "").split()
+        for w in words:
+            want[i, len(words), w] = want.get((i, len(words), w), 0) + 1
+    assert {(r["chunk_id"], r["dl"], r["term"]): r["tf"] for r in index.postings.collect()} == want
+    assert index.postings.count() == len(want)
+    old = keyword.streamed_scores
+    streamed = sorted(map(tuple, keyword_topk(index, asked, 4).collect()), key=str)
+    try:
+        keyword.streamed_scores = lambda postings, wanted, avgdl, carry: keyword.join_small(postings, wanted, ["term"]).groupBy(
+            "query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * keyword.term_weight(F.col("tf"), F.col("dl"), avgdl)).alias("score"))
+        assert sorted(map(tuple, keyword_topk(index, asked, 4).collect()), key=str) == streamed
+    finally:
+        keyword.streamed_scores = old
+    once = spark.createDataFrame([r for r in rows[:20] if r[0]], "chunk_id string, text string").repartition(3)
+    plan = build_keyword_index(once).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan.replace("Exchange RoundRobinPartitioning", "")
+    plan = keyword.keyword_scores(build_keyword_index(once).write(str(tmp_path / "i")), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
