@@ -155,3 +155,26 @@ def test_harvest_windows_stay_below_the_limit(spark):
             assert r["hits"] == sum(h for d, h in days if d and r["start"] <= d <= r["end"])
     assert len(got) == 1
     assert corpus.harvest_windows(df.limit(0)).count() == 0
+
+
+def test_salted_copies_are_not_broadcast(spark):
+    """Spark estimates a table and its copies alike; with copies for every salt it is far beyond what a driver broadcasts."""
+    from litspark.sizing import join_small
+    big = spark.range(2000).withColumn("key", F.col("id") % 50)
+    small = spark.range(40).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    for how, n in (("inner", 1600), ("left", 2000), ("left_semi", 1600)):
+        got = join_small(big, small, ["key"], how, spread=F.col("id"), max_rows=0)
+        assert got.count() == len(got.collect()) == n
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segment_scores_hold_no_pairs(spark, tmp_path):
+    """Blocks are scored by postings, not by pairs of questions and postings."""
+    chunks = spark.createDataFrame([(f"c{i:03}", f"w{i % 7} w{i % 5} v{i % 3} x{i}") for i in range(90)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w1 w4 v{i % 3} x{i}") for i in range(20)], "query_id string, question string")
+    keyword_segments.change(spark, str(tmp_path / "s"), "one", chunks)
+    found = keyword_segments.search(spark, str(tmp_path / "s"), asked, 5).top
+    want = keyword_topk(build_keyword_index(chunks), asked, 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 2
