@@ -104,11 +104,17 @@ def _read(doc_key: str, xml: str | None) -> dict | None:
     }
 
 
+_DOCUMENTS = 64     # parsed and handed on at once
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ("doc_key pmc pmcid pmid doi title abstract journal epub ppub anypub authors nodes").split()
     for batch in batches:
-        rows = [_read(k, x) for k, x in zip(batch["doc_key"], batch["xml"])]
-        yield pd.DataFrame([r for r in rows if r is not None], columns=columns)
+        # The pieces of a document take many times its text: few documents at once, however many a batch has.
+        for at in range(0, len(batch), _DOCUMENTS):
+            part = batch.iloc[at:at + _DOCUMENTS]
+            rows = [_read(k, x) for k, x in zip(part["doc_key"], part["xml"])]
+            yield pd.DataFrame([r for r in rows if r is not None], columns=columns)
 
 
 def _filled(texts: Column) -> Column:

@@ -212,3 +212,13 @@ def test_report_writer_leaves_nothing_of_a_failed_job(spark, tmp_path):
         rows.write.format("report").option("run", "r1").mode("append").save(path)
     with pytest.raises(Exception, match="folder name"):
         rows.write.format("report").option("run", "../r").mode("append").save(path)
+
+
+def test_documents_are_parsed_few_at_a_time():
+    """A batch's parsed pieces never lie in memory together."""
+    import pandas as pd
+    xml = "<article><front><article-meta><title-group><article-title>T</article-title></title-group></article-meta></front><body><sec><title>A</title><p>x</p></sec></body></article>"
+    batch = pd.DataFrame({"doc_key": [str(i) for i in range(1000)], "xml": [xml if i % 10 else "<broken" for i in range(1000)]})
+    found = list(jats._parse(iter([batch])))
+    assert max(map(len, found)) <= 64
+    assert [k for f in found for k in f["doc_key"]] == [str(i) for i in range(1000) if i % 10]
