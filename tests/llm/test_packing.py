@@ -119,3 +119,20 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s")] * 9 + [(None, None, None)], "doc_id long, text string, source string")
     assert sum(r["length"] for r in P.pack(df).collect()) == 9 * 3 + 1
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_texts_reach_the_encoder_in_batches_of_few_bytes(spark, monkeypatch):
+    """A batch of many long texts is never whole in a task; the setting is as before afterwards."""
+    seen, real = spark.sparkContext.accumulator(0), P.slabs
+
+    def watched(column, size):
+        seen.add(int(column.nbytes > 2 * size))
+        return real(column, size)
+
+    monkeypatch.setattr(P, "SLAB_BYTES", 100_000)
+    monkeypatch.setattr(P, "slabs", watched)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "'s' AS source")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    got = P.pack(docs).agg({"length": "sum"}).first()[0]
+    assert got == 300 * 1001 and seen.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
