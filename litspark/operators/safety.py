@@ -100,25 +100,22 @@ def match_entries(
     if table is not None:
         texts = F.struct(F.lower(name_text).alias("n"), F.lower(gate_text).alias("g"))
         return rows.withColumn(out, let(texts, lambda t: F.filter(table, lambda e: hit(e, t["n"], t["g"]))))
-    rows = store(rows.withColumns({"_row": F.monotonically_increasing_id(), "_n": F.lower(name_text), "_g": F.lower(gate_text)}), "safety-rows")
-    texts = rows.select("_row", "_n", "_g")
+    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "safety-rows")
+    texts = rows.select("_row", F.lower(name_text).alias("_n"))
     named = entries.where("entry.message <> ''").select("entry", F.explode(
         F.filter(F.coalesce("entry.names", F.array().cast("array<string>")), lambda n: n != "")).alias("_name"))
     named = named.select("entry", F.lower("_name").alias("_name")).withColumn(
         "_gram", F.left("_name", F.lit(GRAM)))
     # Names shorter than a full gram are looked up by grams of their own length.
     sizes = sorted(r["l"] for r in named.select(F.length("_gram").alias("l")).distinct().collect())
-
-    def gram_list(letters: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)))
-
-        def of_size(size: int) -> Column:
-            return F.transform(starts, lambda i: F.array_join(F.slice(letters, i, size), ""))
-
-        return F.array_distinct(F.concat(*map(of_size, sizes)))
-
-    grams = let(F.split("_n", ""), gram_list)
-    pairs = join_small(texts.withColumn("_gram", F.explode(grams)), named, ["_gram"], spread=F.col("_row"))
+    # Every place of the text, in one pass: the lookahead takes no sign, so grams overlap.
+    grams = F.array_distinct(F.concat(*[
+        F.regexp_extract_all("_n", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes] or [F.array().cast("array<string>")]))
+    # Only numbers and grams are exploded; a text moves once, to meet the grams that it shares with the table.
+    shared = join_small(texts.select("_row", F.explode(grams).alias("_gram")), named.select("_gram").distinct(), ["_gram"], spread=F.col("_row"))
+    shared = shared.groupBy("_row").agg(F.collect_set("_gram").alias("_grams"))
+    near = rows.join(shared, "_row").select("_row", F.lower(name_text).alias("_n"), F.lower(gate_text).alias("_g"), F.explode("_grams").alias("_gram"))
+    pairs = join_small(near, named, ["_gram"], spread=F.col("_row"))
     found = (
         pairs.where(F.col("_n").contains(F.col("_name")) & hit(F.col("entry"), F.col("_n"), F.col("_g")))
         .select("_row", "entry").distinct()
@@ -126,7 +123,7 @@ def match_entries(
     )
     # A row matches at most every entry once, so a group is bounded by the table.
     kind = found.schema[out].dataType
-    return rows.join(found, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast(kind))).drop("_row", "_n", "_g")
+    return rows.join(found, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast(kind))).drop("_row")
 
 
 def append_warnings(answers: DataFrame, withdrawals: DataFrame, language: str = "en",
