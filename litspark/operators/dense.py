@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from litspark import constants as K
 from litspark.operators.keyword import top_ranked
-from litspark.operators.topk import OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, offer
+from litspark.operators.topk import OUT, QUERY_BLOCK, Best, allowed_rows, as_batches, blocks, flag_matrix, in_parts, offer
 from litspark.session import store, store_parts
 
 MAX_QUERY_FLOATS = 8_000_000   # 64 MB of query vectors per task
@@ -90,7 +90,7 @@ def _per_partition(asked: DataFrame, vectors: DataFrame, k: int, digits: int) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_names, q_matrix, q_numbers = shared.value
         bests = blocks(len(q_names), k)
-        for batch in batches:
+        for batch in in_parts(batches):
             if batch.num_rows:
                 m, ids, flags = _batch_arrays(batch)
                 _scan(bests, q_matrix, m, ids, allowed_rows(q_numbers, flags), digits)
