@@ -95,3 +95,20 @@ def test_small_parts_give_the_same(spark, monkeypatch):
         assert sorted(found, key=str) == brute(rows, 24)
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[S.__name__])
+
+
+def test_only_texts_with_repeats_move(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(60))) for i in range(2000)]
+    rows += [(2000 + i, rows[i][1][:40] + str(i)) for i in range(50)] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed, spans = S.repeated_spans(df, "doc_id", "text", 24)
+    told = {(k["doc_id"], k["text"]) for k in keyed.where("_among").collect()}
+    assert {(i, t) for i, t in rows if i is not None and (i < 50 or i >= 2000)} <= told and len(told) < 200
+    assert spans.count() == 100 and keyed.count() == len(rows)
+    # A full bitmap may say yes to all, never no to a key.
+    monkeypatch.setattr(S, "MAX_BITS", 8)
+    monkeypatch.setattr(S, "_BITMAP_BITS", 8)
+    assert S._among(keyed.drop("_among"), spans, 100).where("_among").join(spans, ["_id", "_h"]).count() == 100
+    found = [tuple(r) for r in S.remove_repeats(df, length=24).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(found, key=str) == brute(rows, 24)
