@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -101,6 +102,48 @@ def test_blocks_skip_only_what_cannot_link(drawn):
     assert {k: v for k, v in got.items() if k[0] % 5 and k[1] % 5} == want
 
 
+def long_lists(n, lists):
+    """Entries of ``lists`` shingles that the same ``n`` sets of a size hold at nearly the same position."""
+    e = np.zeros(n * lists, J.ENTRY)
+    e["token"], e["centre"], e["n"], e["at"] = np.repeat(np.arange(lists), n), np.tile(np.arange(n) * 7 - n, lists), 100, np.repeat(np.arange(lists), n)
+    return J._entries([e])
+
+
+def test_a_task_holds_a_bounded_number_of_pairs():
+    e, pairs, total = long_lists(2000, 6), 2000 * 1999 // 2, 0
+    tracemalloc.start()
+    try:
+        for x, y, c in J.pair_runs(e):
+            assert (x < y).all() and len(x) <= J.PAIRS + J.OFFERED
+            total += int(c.sum())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 6 * pairs
+    # 12 million pairs are offered, 2 million of them distinct.
+    assert peak < 200e6
+
+
+def test_runs_add_up_to_all_pairs():
+    e = long_lists(150, 3)
+    x, y, c = J.list_pairs(e)
+    want, runs = dict(zip(zip(x.tolist(), y.tolist()), c.tolist())), list(J.pair_runs(e, 40, 200))
+    assert len(want) == 150 * 149 // 2 and set(want.values()) == {3} and len(runs) > 3
+    got = {}
+    for run in runs:
+        for a, b, k in zip(*(v.tolist() for v in run)):
+            got[a, b] = got.get((a, b), 0) + k
+    assert got == want
+
+
+def test_small_runs_give_the_same(spark, monkeypatch):
+    rows = list(enumerate(corpus(5)))
+    for name, value in (("OFFERED", 5), ("PAIRS", 20), ("BUCKET_ENTRIES", 300), ("PAIR_HOMES", 3)):
+        monkeypatch.setattr(J, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, J.link_sets(df).collect()), key=str) == brute(rows)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
